@@ -62,7 +62,7 @@ class Hasher:
         return (h * _mix[0] >> self.shift).astype(np.int64)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 4, seed: int = 42) -> tuple[np.ndarray, np.ndarray, float]:
     """(indices, weights, intercept) after FTRL-proximal over (feature set, label) rows."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     z0 = n0 = 0.0
