@@ -6,9 +6,9 @@ Aho-Corasick automaton gives the longest tokens from the left; where two adjacen
 one is shortened to its next shorter prefix token, or given up; a bitfield remembers positions from which no
 segmentation can follow, so that a text is done in linear time.
 
-Because no piece of such a vocabulary holds a space mark after another character (this is checked when it is loaded),
-no merge crosses the start of a run of spaces: texts are cut there, each chunk is segmented on its own, and repeated
-chunks are looked up. Very long chunks go through the same code, without look-up.
+No piece of such a vocabulary holds a space mark after another character, or a Latin letter beside anything else (this is
+checked when it is loaded), so no merge crosses such a place: texts are cut there, each chunk is segmented on its own, and
+repeated chunks are looked up. Very long chunks go through the same code, without look-up.
 
 Edge cases: null and empty texts give the end id alone, and decode to the empty text. Characters outside the vocabulary
 become byte tokens. The space mark U+2581 in a text counts as a space, as in the library. Special strings are ordinary text.
@@ -36,6 +36,11 @@ REMEMBERED, LONGEST = 400_000, 48
 class Codec:
     """Encoder and decoder for one .model file of merge type."""
 
+    #: Latin letters and digits; a chunk is a run of these or of other characters, after its space marks.
+    word = "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+    chunks = re.compile(rf"{MARK}*[{word}]+|{MARK}*[^{word}{MARK}]+|{MARK}+")
+    crossing = re.compile(rf"[^{MARK}]{MARK}|[{word}][^{word}{MARK}]|[^{word}{MARK}][{word}]")
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -57,13 +62,18 @@ class Codec:
             else:
                 self.out.append(p.replace(MARK, " ").encode())
                 usable[p] = i
-                if MARK in p.lstrip(MARK):
-                    raise ValueError("a piece holds a space mark after another character: texts can't be cut at spaces")
+                if self.crossing.search(p):
+                    raise ValueError(f"piece {p!r} crosses a place where texts are cut")
         self.score = {p: sp.get_score(i) for p, i in usable.items()}
         self.id = usable
         self.joint: dict[tuple[str, str], bool] = {}
         # a piece that merging never makes can't be part of any segmentation
         self.made = {p for p in usable if len(p) == 1 or self.remerge(p) == [p]}
+        self.shorter = {}
+        for p in self.made:
+            k = next((k for k in range(len(p) - 1, 0, -1) if p[:k] in self.made), 0)
+            if k:
+                self.shorter[p] = p[:k]
         self.auto = ahocorasick.Automaton()
         for p in self.made:
             self.auto.add_word(p, p)
@@ -92,46 +102,28 @@ class Codec:
             ok = self.joint[a, b] = self.remerge(a + b) == [a, b]
         return ok
 
-    def longest(self, text: str, start: int, end: int) -> str | None:
-        """The longest token that starts at `start`; no token crosses `end`."""
-        for stop, p in self.auto.iter_long(text, start, min(end, start + 96)):
-            return p if stop - len(p) + 1 == start else None
-        return None
-
-    def shorter(self, p: str) -> str | None:
-        for k in range(len(p) - 1, 0, -1):
-            if p[:k] in self.made:
-                return p[:k]
-        return None
-
     def segment(self, text: str) -> list[str]:
         """Tokens of a stretch of characters that are all in the vocabulary."""
-        greedy = [p for _, p in self.auto.iter_long(text)]
-        ok = self.compatible
-        if sum(map(len, greedy)) == len(text) and all(map(ok, greedy, greedy[1:])):
-            return greedy
-        end = len(text)
+        end, ok, shorter = len(text), self.compatible, self.shorter
+        longest: list[str] = [""] * end  # at each position, as matches that end later come later
+        for stop, p in self.auto.iter(text):
+            longest[stop - len(p) + 1] = p
         failed = bytearray(end // 8 + 1)
         tokens: list[str] = []
-        at, token = 0, self.longest(text, 0, end)
-        while token is not None:
-            last = tokens[-1] if tokens else None
-            while True:
-                stop = at + len(token)
-                if not failed[stop >> 3] >> (stop & 7) & 1 and (last is None or ok(last, token)):
-                    tokens.append(token)
-                    at = stop
-                    token = self.longest(text, at, end) if at < end else None
-                    break
-                less = self.shorter(token)
-                if less is not None:
-                    token = less
-                    continue
+        at, token = 0, longest[0]
+        while True:
+            stop = at + len(token)
+            if not failed[stop >> 3] >> (stop & 7) & 1 and (not tokens or ok(tokens[-1], token)):
+                tokens.append(token)
+                if stop == end:
+                    return tokens
+                at, token = stop, longest[stop]
+            elif token in shorter:
+                token = shorter[token]
+            else:
                 failed[at >> 3] |= 1 << (at & 7)
                 token = tokens.pop()
                 at -= len(token)
-                break
-        return tokens
 
     def chunk_ids(self, chunk: str) -> bytes:
         """ids as int32 bytes of a chunk in which spaces are already marks."""
@@ -149,7 +141,6 @@ class Codec:
             start = stop
         return ids.tobytes()
 
-    chunks = re.compile(f"{MARK}+[^{MARK}]*")
 
     def encode(self, text: str) -> bytes:
         """int32 ids, the end id last."""
