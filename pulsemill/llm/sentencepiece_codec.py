@@ -74,11 +74,17 @@ class Codec:
             k = next((k for k in range(len(p) - 1, 0, -1) if p[:k] in self.made), 0)
             if k:
                 self.shorter[p] = p[:k]
+        # what the automaton's trie can walk along, with the longest token on the way
+        self.below = {p[:k]: "" for p in self.made for k in range(1, len(p) + 1)}
+        for p in self.below:
+            self.below[p] = next(p[:k] for k in range(len(p), 0, -1) if p[:k] in self.made)
+        self.single = {p for p in usable if len(p) == 1}
         self.auto = ahocorasick.Automaton()
         for p in self.made:
             self.auto.add_word(p, p)
         self.auto.make_automaton()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def remerge(self, text: str) -> list[str]:
         """Plain merging of a short text: the best-scored adjacent pair first, the leftmost of equals."""
@@ -104,11 +110,35 @@ class Codec:
 
     def segment(self, text: str) -> list[str]:
         """Tokens of a stretch of characters that are all in the vocabulary."""
+        end, joint, ok, shorter = len(text), self.joint, self.compatible, self.shorter
+        walk, below = self.auto.longest_prefix, self.below
+        if end > 200:
+            return self.segment_long(text, bytearray(end // 8 + 1))
+        failed = 0
+        tokens: list[str] = []
+        last, at, token = "", 0, below[text[: walk(text)]]
+        while True:
+            stop = at + len(token)
+            if not failed >> stop & 1 and (not at or (joint[last, token] if (last, token) in joint else ok(last, token))):
+                tokens.append(token)
+                if stop == end:
+                    return tokens
+                rest = text[stop:]
+                last, at, token = token, stop, below[rest[: walk(rest)]]
+            elif token in shorter:
+                token = shorter[token]
+            else:
+                failed |= 1 << at
+                token = tokens.pop()
+                at -= len(token)
+                last = tokens[-1] if tokens else ""
+
+    def segment_long(self, text: str, failed: bytearray) -> list[str]:
+        """The same for a long stretch: one pass of the automaton gives the longest token at every position."""
         end, ok, shorter = len(text), self.compatible, self.shorter
-        longest: list[str] = [""] * end  # at each position, as matches that end later come later
+        longest: list[str] = [""] * end  # matches that end later come later
         for stop, p in self.auto.iter(text):
             longest[stop - len(p) + 1] = p
-        failed = bytearray(end // 8 + 1)
         tokens: list[str] = []
         at, token = 0, longest[0]
         while True:
@@ -127,8 +157,11 @@ class Codec:
 
     def chunk_ids(self, chunk: str) -> bytes:
         """ids as int32 bytes of a chunk in which spaces are already marks."""
+        vocab = self.id
+        if self.single.issuperset(chunk):
+            return array("i", map(vocab.__getitem__, self.segment(chunk))).tobytes()
         ids = array("i")
-        start, n, vocab = 0, len(chunk), self.id
+        start, n = 0, len(chunk)
         while start < n:
             stop = start
             while stop < n and chunk[stop] in vocab:
@@ -142,19 +175,27 @@ class Codec:
         return ids.tobytes()
 
 
+    def look_up(self, chunk: str) -> bytes:
+        """ids of a chunk that the newer half of what is remembered doesn't hold."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.chunk_ids(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self.known) >= REMEMBERED // 2:
+                self.older, self.known = self.known, {}
+            self.known[chunk] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         """int32 ids, the end id last."""
         if not text:
             return array("i", [self.eos]).tobytes()
-        known, parts = self.known, []
+        parts, get = [], self.known.get
         for c in self.chunks.findall(MARK + text.replace(" ", MARK)):
-            ids = known.get(c)
+            ids = get(c)
             if ids is None:
-                ids = self.chunk_ids(c)
-                if len(c) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = ids
+                ids = self.look_up(c)
+                get = self.known.get
             parts.append(ids)
         parts.append(array("i", [self.eos]).tobytes())
         return b"".join(parts)
@@ -198,7 +239,7 @@ def decode_documents(encoded: DataFrame, model_path: str, ids: str = "ids", text
 
         def compute(batch: pa.RecordBatch) -> list[pa.Array]:
             column = batch.column(batch.schema.get_field_index(ids))
-            return [pa.array([None if x.as_py() is None else c.decode(x.values.to_pylist()) for x in column], pa.string())]
+            return [pa.array([None if x.as_py() is None else c.decode(x.values.to_numpy().tolist()) for x in column], pa.string())]
 
         return compute
 
