@@ -3,11 +3,13 @@
 A text block is a line of a document; its tokens are its distinct words. A template matches a block that holds at least
 `threshold` of the template's distinct words, its key words among them. The join is exact and never compares all pairs:
 
-* template words are ordered by how many documents hold them, rarest first (one counted pass over the corpus);
+* one narrow pass over the texts writes, for each document, its word count, the places of base phrases, and of each block
+  that holds enough template words to match anything (length filter) just these words;
+* template words are ordered by how many of these blocks hold them, rarest first;
 * a template of n words that needs o of them is indexed by its prefix, its n - o + 1 rarest words: a block without any of
-  them can't match. The scan keeps only blocks that hold a prefix word and enough words at all (length filter);
-* kept blocks join the index on the prefix word; a match at place i of the template and j of the block's template words
-  leaves at most 1 + min(what follows either) common words (positional filter); survivors are verified.
+  them can't match, and only blocks with one of them are compared with just the templates that it stands for;
+* a match at place i of the template and j of the block's template words leaves at most 1 + min(what follows either)
+  common words (positional filter); survivors are verified.
 
 Templates are a parameter of at most MOST_TEMPLATES, so the index and the template words, the only things broadcast, are of
 bounded size. Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased.
@@ -47,7 +49,10 @@ TEMPLATES = [
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """A-Z lower-cased. lower() is far faster than translate() and differs for other letters only, which can't make a
+    word equal to an ASCII word or move a word's ends; but for the Kelvin sign, which becomes a k."""
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.contains(t, F.lit("\u212a")), F.translate(t, UPPER, LOWER)).otherwise(F.lower(t))
 
 
 def words_of(text: Column) -> Column:
@@ -58,11 +63,15 @@ def _array(items: list) -> Column:
     return F.array(*[F.lit(x) for x in items])
 
 
-def _places(words: Column, normal: Column, phrase: str) -> Column:
-    """Where the phrase's words stand, from 0. Only texts that hold the phrase pay for it."""
+def _places(lines: Column, text: Column, phrase: str) -> Column:
+    """Where the phrase's words stand, from 0. Only texts that hold all of them pay for it."""
     p = phrase.split(" ")
+    words = F.flatten(lines)
     at = F.filter(F.sequence(F.lit(0), F.size(words) - len(p)), lambda i: F.slice(words, i + 1, len(p)) == _array(p))
-    return F.when(F.contains(normal, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>"))
+    held = F.size(words) >= len(p)
+    for w in p:
+        held = F.contains(text, F.lit(w)) & held
+    return F.when(held, at).otherwise(F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, phrases=None, threshold: float = 0.85) -> DataFrame:
@@ -74,31 +83,33 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
         raise ValueError(f"1 to {MOST_TEMPLATES} templates")
     sets = [(label, list(dict.fromkeys(notice.split())), key.split()) for label, notice, key in templates]
     vocabulary = sorted({w for _, ws, _ in sets for w in ws})
-    base = docs.select(F.col(doc_id).alias("doc_id"), lowered(F.col(text)).alias("__t"))
+    least = min(math.ceil(threshold * len(ws) - 1e-9) for _, ws, _ in sets)
+    s = docs.select(F.col(doc_id).alias("doc_id"), lowered(F.col(text)).alias("__t"))
+    s = s.select("doc_id", "__t", F.transform(F.split("__t", "\n"), words_of).alias("__l"))
+    near = F.transform("__l", lambda words, k: F.struct(k.cast("int").alias("line"), F.array_intersect(words, _array(vocabulary)).alias("tokens")))
+    s = s.select(
+        "doc_id", F.aggregate("__l", F.lit(0).cast("bigint"), lambda n, words: n + F.size(words)).alias("n_words"),
+        F.struct(*[_places(F.col("__l"), F.col("__t"), p).alias(f"p{k}") for k, p in enumerate(phrases)]).alias("__p"),
+        F.filter(near, lambda b: F.size(b["tokens"]) >= least).alias("__near"),
+    )
+    s = written(s.withColumn("__row", F.monotonically_increasing_id()), "scan")
 
-    hits = base.select(F.explode(F.array_intersect(words_of(F.col("__t")), _array(vocabulary))).alias("w"))
+    hits = s.select(F.explode("__near.tokens").alias("tokens")).select(F.explode("tokens").alias("w"))
     seen = {r["w"]: r["n"] for r in hits.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most the template words
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
-    index, needs, keep = [], [], set()
+    index, keep = [], set()
     for number, (label, ws, key) in enumerate(sets):
         ranks, need = sorted(order[w] for w in ws), math.ceil(threshold * len(ws) - 1e-9)
-        needs.append(need)
         for place, rank in enumerate(ranks[: len(ranks) - need + 1]):
             index.append((rank, number, label, place, need, ranks, sorted(order[w] for w in key)))
             keep.add(rank)
     by_rank = sorted(vocabulary, key=order.__getitem__)
     prefix_words = _array([by_rank[r] for r in sorted(keep)])
 
-    lines = F.transform(F.split("__t", "\n"), lambda line, k: F.struct(k.cast("int").alias("line"), F.array_distinct(words_of(line)).alias("tokens")))
-    near = F.filter(lines, lambda b: F.arrays_overlap(b["tokens"], prefix_words) & (F.size(b["tokens"]) >= min(needs)))
-    s = base.withColumns({"__w": words_of(F.col("__t"))}).withColumn("__normal", F.concat(F.lit(" "), F.array_join("__w", " "), F.lit(" ")))
-    found = F.struct(*[_places(F.col("__w"), F.col("__normal"), p).alias(f"p{k}") for k, p in enumerate(phrases)])
-    s = s.select("doc_id", F.size("__w").cast("bigint").alias("n_words"), found.alias("__p"), near.alias("__near"))
-    s = written(s.withColumn("__row", F.monotonically_increasing_id()), "scan")
-
     rank_of = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, order[w])])
-    b = s.select("__row", F.explode("__near").alias("b")).select("__row", "b.line", F.array_sort(F.filter(F.transform("b.tokens", lambda w: F.try_element_at(rank_of, w)), lambda r: r.isNotNull())).alias("ranks"))
-    b = b.where(F.size("ranks") >= min(needs)).select("__row", "line", "ranks", F.posexplode("ranks").alias("j", "rank"))
+    b = s.select("__row", F.explode(F.filter("__near", lambda b: F.arrays_overlap(b["tokens"], prefix_words))).alias("b"))
+    b = b.select("__row", "b.line", F.array_sort(F.transform("b.tokens", lambda w: F.element_at(rank_of, w))).alias("ranks"))
+    b = b.select("__row", "line", "ranks", F.posexplode("ranks").alias("j", "rank"))
     ix = docs.sparkSession.createDataFrame(index, "rank int, template int, label string, i int, need int, t_ranks array<int>, t_key array<int>")
     m = b.join(F.broadcast(ix), "rank")
     m = m.where((F.size("ranks") >= F.col("need")) & (1 + F.least(F.size("t_ranks") - F.col("i") - 1, F.size("ranks") - F.col("j") - 1) >= F.col("need")))
