@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, written
 
 MOST_TEMPLATES = 1000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Phrases with their labels.
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -56,7 +56,7 @@ def lowered(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    return F.array_remove(F.split(text, NO_WORD), "")
 
 
 def _array(items: list) -> Column:
@@ -66,12 +66,22 @@ def _array(items: list) -> Column:
 def _places(lines: Column, text: Column, phrase: str) -> Column:
     """Where the phrase's words stand, from 0. Only texts that hold all of them pay for it."""
     p = phrase.split(" ")
-    words = F.flatten(lines)
-    at = F.filter(F.sequence(F.lit(0), F.size(words) - len(p)), lambda i: F.slice(words, i + 1, len(p)) == _array(p))
-    held = F.size(words) >= len(p)
+
+    def places(words: Column) -> Column:
+        def here(i: Column) -> Column:
+            same = F.lit(True)
+            for k, w in enumerate(p):
+                same = same & (F.element_at(words, i + (k + 1)) == w)
+            return same
+
+        none = F.array().cast("array<int>")
+        return F.when(F.size(words) < len(p), none).otherwise(F.filter(F.sequence(F.lit(0), F.size(words) - len(p)), here))
+
+    held = F.lit(True)
     for w in p:
-        held = F.contains(text, F.lit(w)) & held
-    return F.when(held, at).otherwise(F.array().cast("array<int>"))
+        held = held & F.contains(text, F.lit(w))
+    # the words are joined once for each text, not once for each place: hence the array of one
+    return F.flatten(F.transform(F.when(held, F.array(F.flatten(lines))).otherwise(F.array().cast("array<array<string>>")), places))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=None, phrases=None, threshold: float = 0.85) -> DataFrame:
