@@ -11,14 +11,18 @@ from ..sources.storage import checkpointed
 def jaccard_pairs(rows: DataFrame, by: str, key: str, tokens: str, threshold: float) -> DataFrame:
     """(group, a, b, jaccard), a < b, of all pairs in a group with this Jaccard similarity of their token arrays: an exact
     prefix-filtered join. Tokens are ordered by their count, rarest first; two sets of this similarity share one of the first
-    n - ceil(threshold n) + 1 tokens of each, so only these are joined, and sizes differ by the factor at most."""
+    n - ceil(threshold n) + 1 tokens of each, so only these are joined; sizes differ by the factor at most; and at their first
+    common token enough tokens of both must follow. Candidates are verified on 64-bit hashes of the tokens."""
     r = rows.select(F.col(by).alias("g"), F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
     each = r.select("g", "k", F.size("t").alias("n"), F.explode("t").alias("w"))
     often = each.groupBy("w").agg(F.count("*").alias("c"))
     ranked = each.join(often, "w").withColumn("rn", F.row_number().over(Window.partitionBy("g", "k").orderBy("c", "w")))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("g", "k", "n", "w")
-    a, b = prefix.select("g", "w", F.col("k").alias("a"), F.col("n").alias("na")), prefix.select("g", "w", F.col("k").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["g", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9)).select("g", "a", "b").distinct()
+    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("g", "k", "n", "w", "rn")
+    a, b = prefix.select("g", "w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra")), prefix.select("g", "w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("rn").alias("rb"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
+    enough = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1 >= need
+    pairs = a.join(b, ["g", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & enough).select("g", "a", "b").distinct()
+    r = r.withColumn("t", F.transform("t", lambda w: F.xxhash64(w)))
     p = pairs.join(r.select("g", F.col("k").alias("a"), F.col("t").alias("ta")), ["g", "a"]).join(r.select("g", F.col("k").alias("b"), F.col("t").alias("tb")), ["g", "b"])
     both = F.size(F.array_intersect("ta", "tb"))
     p = p.withColumn("jaccard", both / (F.size("ta") + F.size("tb") - both).cast("double"))
