@@ -72,9 +72,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
                 unit = raw / np.linalg.norm(raw / np.abs(raw).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(raw).max(axis=1, keepdims=True)
                 keys = bucket_keys(unit, tables, per_table, seed)
                 ids = pa.array(own)
+                single = raw.astype(np.float32)  # vectors that single precision holds exactly travel so
+                sent = pa.array([r.tobytes() for r in (single if (single == raw).all() else raw)], pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [node.take(ids), rep.take(ids), copies.take(ids), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([int(d)] * len(own), pa.int32()), pa.array([t] * len(own), pa.int32()), pa.array(keys[:, t]), pa.array([r.tobytes() for r in keys[:, :t]], pa.binary())],
+                        [node.take(ids), rep.take(ids), copies.take(ids), sent, pa.array([int(d)] * len(own), pa.int32()), pa.array([t] * len(own), pa.int32()), pa.array(keys[:, t]), pa.array([r.tobytes() for r in keys[:, :t]], pa.binary())],
                         ["node", "rep", "copies", "x", "d", "t", "key", "earlier"],
                     )
 
@@ -92,7 +94,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
         d, number = t.column("d")[0].as_py(), t.column("t")[0].as_py()
         node, copies, r, ci, cj = (t.column(c).to_numpy() for c in ("node", "copies", "__r", "__i", "__j"))
         rep = t.column("rep").to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(-1, d)
+        x = np.stack([np.frombuffer(b, np.float64 if len(b) == 8 * d else np.float32) for b in t.column("x").to_pylist()]).astype(np.float64)
         earlier = np.frombuffer(b"".join(t.column("earlier").to_pylist()), np.int64).reshape(len(x), number)
         top = np.abs(x).max(axis=1, keepdims=True)
         norm = np.sqrt(((x / top) ** 2).sum(axis=1))
