@@ -65,9 +65,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]]) -> DataFrame:
+def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], rows: int = 1000) -> DataFrame:
     """df with columns that Python computes from Arrow batches. make() runs once per task and returns the function
-    of a batch. Columns of df that have a new column's name are replaced."""
+    of a batch, which gets at most `rows` rows, so that its memory is small beside the batch that Spark sends. Columns of
+    df that have a new column's name are replaced."""
     ship(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in df.columns if c not in new]
@@ -77,8 +78,9 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names)
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, *compute(part)], names)
 
     return base.mapInArrow(run, T.StructType([*base.schema.fields, *fields]))
 

@@ -28,9 +28,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("piece_bpe_32k.model")
-    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = sentencepiece_codec.decode_documents(encoded, path)
-    return decoded.select(
+    encoded = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded="text")
+    return encoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
 
