@@ -89,11 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 8_000) -> tuple[np.ndarr
         return lambda batch: [pa.array((np.unique(h.features(t)).astype("<i4").tobytes() for t in texts_of(batch, "__text")), pa.binary())]
 
     sample = labelled_sample(docs, labels, "toxic", TRAIN, most)
-    rows = append_columns(sample, [T.StructField("__f", T.BinaryType())], make).select("__id", "__y", "__f").collect()
-    rows.sort(key=lambda r: r["__id"])
-    if not rows:
+    rows = append_columns(sample, [T.StructField("__f", T.BinaryType())], make).select("__id", "__y", "__f").toArrow().combine_chunks()
+    if not rows.num_rows:
         return np.zeros(0, np.int64), np.zeros(0), -30.0
-    return ftrl([(np.frombuffer(r["__f"], "<i4"), r["__y"]) for r in rows])
+    y, f = rows.column("__y").to_numpy(), rows.column("__f").chunk(0)
+    order = np.argsort(rows.column("__id").to_numpy(), kind="stable")
+    return ftrl([(np.frombuffer(f[int(k)].as_buffer(), "<i4"), int(y[k])) for k in order])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
