@@ -153,3 +153,23 @@ def html_text(c: Column) -> Column:
 
 def html_title(c: Column) -> Column:
     return F.trim(F.regexp_extract(c, r"(?is)<title>(.*?)</title>", 1))
+
+
+def interaction_text(json: Column) -> Column:
+    """Reposts, comments and likes that are set, for readers."""
+    # The names of the three counts.
+    names = {"repost": "转发", "comment": "评论", "like": "点赞"}
+    parts = []
+    for k, n in names.items():
+        v = F.get_json_object(json, f"$.{k}")
+        parts.append(F.when(~v.isin("", "0", "null", "false"), F.concat(F.lit(n), F.lit(" "), v)))
+    return F.array_join(F.array_compact(F.array(*parts)), ", ")
+
+
+def tools_used(tools: Column) -> Column:
+    return F.concat(F.lit("（本次使用工具："), F.array_join(F.array_sort(F.array_distinct(tools)), "、"), F.lit("）"))
+
+
+def last_tool(history: Column) -> Column:
+    """The last tool that an answer's footer names."""
+    return F.element_at(F.split(F.regexp_extract(history, r"(?s).*（本次使用工具：([^）]*)）", 1), "[、,，]"), -1)

@@ -641,3 +641,87 @@ def invite_check(s, d):
         F.when(u % 3 == 0, F.when(u % 2 == 0, at("2024-01-01 00:00:00")).otherwise(at("2024-03-01 00:00:00"))).alias("expires_at"), F.when(u % 4 == 1, at("2024-01-01 00:00:00")).otherwise(at("2024-01-30 00:00:00")).alias("created_at"),
     )
     return access.check_invites(inv, A.as_of()).select("id", "verdict")
+
+
+# ---------------------------------------------------------------- more
+
+
+@query(", w AS (SELECT topic_id, id, count(*) OVER (PARTITION BY topic_id) AS n, row_number() OVER (PARTITION BY topic_id ORDER BY fetched_at DESC, id DESC) AS r FROM core WHERE fetched_at >= TIMESTAMP '2024-01-25 00:00:00') SELECT topic_id, id, n AS new_nodes FROM w WHERE r <= 5")
+def new_nodes_compress(s, d):
+    new = A.items(s, d).where(F.col("fetched_at") >= F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+    n = new.groupBy("topic_id").agg(F.count("*").alias("new_nodes"))
+    return T.latest(new, "topic_id", [F.desc("fetched_at"), F.desc("id")], 5).join(n, "topic_id").select("topic_id", "id", "new_nodes")
+
+
+@query("SELECT strftime(first_seen, '%Y-%m-%d') AS day, category, count(*) AS topics_count FROM topics WHERE CAST(first_seen AS DATE) = (SELECT max(CAST(first_seen AS DATE)) FROM topics) GROUP BY 1, 2")
+def latest_category_metrics(s, d):
+    m = A.topics(s, d).groupBy(F.to_date("first_seen").alias("day"), "category").agg(F.count("*").alias("topics_count"))
+    last = m.agg(F.max("day").alias("day"))
+    return m.join(F.broadcast(last), "day").withColumn("day", F.col("day").cast("string"))
+
+
+@query("SELECT conv_id, greatest(0, 32000 - 2000 - sum(length(text) // 2 + 4) - 3 - 2000)::BIGINT AS available FROM conversations GROUP BY conv_id")
+def token_budget(s, d):
+    t = context.message_tokens(A.read(s, d, "conversations"))
+    return t.select("conv_id", context.available_tokens(F.col("tokens"), F.lit(0), F.lit(2000)).cast("bigint").alias("available"))
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN '转发 3, 点赞 7' WHEN 1 THEN '评论 12' ELSE '' END AS shown FROM core")
+def interaction_display(s, d):
+    m = F.col("id") % 3
+    j = F.when(m == 0, '{"repost": 3, "comment": 0, "like": 7}').when(m == 1, '{"comment": "12"}').otherwise("{}")
+    return A.items(s, d).select("id", text.interaction_text(j).alias("shown"))
+
+
+@query("SELECT conv_id, '（本次使用工具：topic_query、topic_search）' AS footer, 'topic_search' AS last_tool FROM (SELECT DISTINCT conv_id FROM conversations)")
+def tool_footer(s, d):
+    f = text.tools_used(F.array(F.lit("topic_search"), F.lit("topic_query"), F.lit("topic_search")))
+    return A.read(s, d, "conversations").select("conv_id").distinct().select("conv_id", f.alias("footer"), text.last_tool(F.concat(F.lit("a\n"), f, F.lit(" b"))).alias("last_tool"))
+
+
+@query("SELECT id, CASE id % 3 WHEN 0 THEN 'A' || id WHEN 1 THEN 'V' || id END AS doc FROM core")
+def document_ids(s, d):
+    from ..sources import hotlist
+
+    i = F.col("id").cast("string")
+    u = F.when(F.col("id") % 3 == 0, F.concat(F.lit("https://n/article/A"), i, F.lit(".html"))).when(F.col("id") % 3 == 1, F.concat(F.lit("https://n/video/V"), i, F.lit(".html"))).otherwise("https://n/x")
+    return A.items(s, d).select("id", hotlist.doc_id(u).alias("doc"))
+
+
+@query(f""", ls AS (SELECT topic_id, arg_max(content, (generated_at, id)) AS content FROM summaries WHERE topic_id = 3 GROUP BY topic_id),
+n AS (SELECT *, row_number() OVER (ORDER BY fetched_at DESC, id DESC) AS pos FROM items WHERE topic_id = 3)
+SELECT 0::BIGINT AS pos, '【主题摘要】' || chr(10) || content AS chunk FROM ls
+UNION ALL SELECT pos, pos || '. [' || platform || '] ' || strftime(fetched_at, '%Y-%m-%d %H:%M') || chr(10) || '   ' || coalesce(title, '') || chr(10) || '   ' || substr(coalesce(summary, ''), 1, 200) FROM n WHERE pos <= 5""")
+def topic_context(s, d):
+    from ..operators import agent
+
+    return agent.topic_context(3, A.summaries(s, d), A.items_titled(s, d)).select(F.col("pos").cast("bigint").alias("pos"), "chunk")
+
+
+@query("SELECT topic_id, '类别：entertainment：娱乐八卦类事件；current_affairs：社会实事类事件；sports_esports：体育电竞类事件' || chr(10) || '主题：' || coalesce(title, '') || chr(10) || '报道：' || chr(10) || coalesce(title, '') || chr(10) || '只回答 JSON：{\"category\": str, \"confidence\": 0-1, \"reason\": str}' AS prompt FROM topics")
+def classify_prompt(s, d):
+    from ..functions import prompts
+
+    return A.topics(s, d).select("topic_id", prompts.classify(F.col("title"), F.array(F.coalesce("title", F.lit("")))).alias("prompt"))
+
+
+@query("SELECT run_hour_text AS run_hour, platform, n FROM (SELECT strftime(run_hour, '%Y-%m-%d %H:%M:%S') AS run_hour_text, platform, count(*) AS n FROM core GROUP BY 1, 2)")
+def runs_by_platform(s, d):
+    return A.items(s, d).groupBy(timex.ts_text(F.col("run_hour")).alias("run_hour"), "platform").agg(F.count("*").alias("n"))
+
+
+@query("SELECT strftime(date_trunc('hour', fetched_at), '%Y-%m-%d %H:%M:%S') AS hour, platform, count(*) AS items, round(coalesce(sum(heat_value), 0), 4) AS heat FROM core GROUP BY 1, 2")
+def hourly_counts(s, d):
+    from ..streaming import pipeline
+
+    w = pipeline.windowed_counts(A.items(s, d))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "platform", "items", F.round(F.coalesce("heat", F.lit(0.0)), 4).alias("heat"))
+
+
+@query("SELECT id, period, CASE WHEN period < '2024-01-15' THEN 'late' ELSE 'open' END AS state FROM core WHERE merge_status = 'pending_event_merge'")
+def late_items(s, d):
+    from ..streaming import pipeline
+
+    i = A.items(s, d).where("merge_status = 'pending_event_merge'")
+    a, b = pipeline.late(i, "2024-01-15_MORN")
+    return a.select("id", "period", F.lit("open").alias("state")).unionByName(b.select("id", "period", F.lit("late").alias("state")))
