@@ -108,4 +108,3 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text", prefix: str =
     return d.withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & expression(rules, prefix))
 
 
-OUT = COUNTS
