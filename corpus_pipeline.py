@@ -24,9 +24,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id stays; of rows with the same doc_id in a
+    """Groups are linked by op5's fingerprints and by five-word shingles of similarity 0.8. Of each, the document with the smallest doc_id stays; of rows with the same doc_id in a
     group, one. Rows with a null doc_id can't be told apart from others, and stay."""
-    found = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    found = simhash.near_duplicates(docs, similarity=0.8).where("doc_id = component_id").select("doc_id").distinct()
     first = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
     return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 

@@ -279,6 +279,53 @@ def test_links_lose_nothing(spark, blocks, most):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def plain_shingles(text, words=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def plain_similar(texts, similarity=0.8):
+    """Pairs of ids whose five-word shingles have at least this Jaccard similarity."""
+    sets = {d: plain_shingles(t) for d, t in texts.items()}
+    return [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+
+
+@pytest.mark.parametrize("most", [1024, 16])
+def test_similar_texts(spark, most, monkeypatch):
+    """Edited copies, a crowd of them, and texts that share half: no link below the similarity, and nearly all above it."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for k in range(90):
+        base = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(60, 400))]
+        texts[len(texts)] = " ".join(base)
+        for _ in range(80 if k == 0 else 2):
+            copy = list(base)
+            for at in rng.choice(len(copy), max(1, int(len(copy) * rng.choice([0.01, 0.02]))), replace=False):
+                copy[at] = "changed"
+            texts[len(texts)] = " ".join(copy)
+        half = base[: len(base) // 2] + [f"v{x}" for x in rng.integers(0, 3000, len(base) // 2)]
+        texts[len(texts)] = " ".join(half)
+    inner = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda *a, **k: inner(*a, most=most, **k))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, similarity=0.8).collect()}
+    fp = {d: plain_fingerprint(t) for d, t in texts.items()}
+    similar = plain_similar(texts)
+    want = plain_components(texts, similar + [(a, b) for a in texts for b in texts if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert all(want[got[d]] == want[d] for d in texts)  # nothing is joined that no link joins
+    lost = sum(got[d] == d for d in texts) - sum(want[d] == d for d in texts)
+    joined = len(texts) - sum(want[d] == d for d in texts)
+    assert joined > 200 and 0 <= lost <= 0.03 * joined
+
+
+def test_similar_odd(spark, odd, none):
+    got = collections.defaultdict(set)
+    for r in simhash.near_duplicates(odd, similarity=0.8).collect():
+        got[r.doc_id].add(r.component_id)
+    assert got[1] == got[3] == {1} and got[7] == {6} and got[9] == {9} and got[None] == {None}
+    assert simhash.near_duplicates(none, similarity=0.8).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 1001), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in common.connected_components(edges).collect()}

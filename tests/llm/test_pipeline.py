@@ -6,7 +6,7 @@ from pulsemill.llm import common, quality_rules, queries, toxicity
 
 import corpus_pipeline
 
-from .test_operators import ODD, check_pieces, plain_components, plain_fingerprint, plain_stats
+from .test_operators import ODD, check_pieces, plain_components, plain_fingerprint, plain_similar, plain_stats
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,7 +30,8 @@ def test_stages(spark):
     c = corpus_pipeline.without_copies(spark, b, SF)
     fp = {r.doc_id: plain_fingerprint(r.text) for r in b.collect()}
     ids = sorted(fp)
-    comp = plain_components(ids, [(x, y) for x in ids for y in ids if x < y and (fp[x] ^ fp[y]).bit_count() <= 3])
+    similar = plain_similar({r.doc_id: r.text for r in b.collect()})
+    comp = plain_components(ids, similar + [(x, y) for x in ids for y in ids if x < y and (fp[x] ^ fp[y]).bit_count() <= 3])
     assert c.columns == all_docs.columns and sorted(r.doc_id for r in c.collect()) == [d for d in ids if comp[d] == d]
 
 
