@@ -12,7 +12,7 @@ Buckets over `most` fingerprints are dealt out as blocks of two chunks each. Wha
 forest of as many edges as nodes at most. Components come from alternating stars over these edges.
 
 With a `similarity`, texts that the fingerprints' radius doesn't link are linked too if the Jaccard similarity of their sets
-of `words`-word shingles is that or more. Such pairs mostly differ in 4 to 12 bits, for which no choice of whole blocks is
+of five-word shingles is that or more. Such pairs mostly differ in 4 to 12 bits, for which no choice of whole blocks is
 small enough; so the local pivots are those of random bits, in as many tables as a pair `typical` bits apart needs to meet
 with a probability of `recall` (figures in similar_links). Within buckets, the distance table discards and Hamming
 distances verify pairs within `wide` bits, the shingle sets of just these texts are fetched, and the similarity is computed
@@ -140,24 +140,25 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int = 5, width: int = 3, radius: int = 3, wide: int = 14, typical: int = 10, recall: float = 0.95, bucket: int = 64, n_pivots: int = 48, most: int = 1024, seed: int = 42) -> DataFrame:
-    """Edges (u, v) between reps of nodes that connect texts of at least this similarity which links within radius bits don't.
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int = 5, width: int = 3, wide: int = 14, typical: int = 10, recall: float = 0.95, bucket: int = 64, n_pivots: int = 48, most: int = 1024, seed: int = 42) -> DataFrame:
+    """Edges (u, v) between components of nodes (fp, rep, component) that connect texts of at least this similarity. Pairs within
+    a component are skipped, so that what is compared of a crowd of copies is the few that radius bits leave outside.
 
     Pairs that few tables or over `wide` bits keep apart are missed: of pairs at 0.8 or more that differ in up to 8 bits
     about 1 in 100, of those that differ in 12 bits about 1 in 7. Larger groups connect by other pairs as well."""
     masks = random_masks(nodes.count(), typical, recall, bucket, seed)
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("b", "key"))
+    keyed = nodes.select("fp", "component", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("b", "key"))
     keys = ["b", "key", "__i", "__j"]
     rows = split_hot(keyed, ["b", "key"], "fp", most)
     pivots = np.random.default_rng(seed).integers(0, 1 << 64, n_pivots, np.uint64)
     bits = np.array(masks, np.uint64)
 
     def open_pairs(t: pa.Table, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs that radius doesn't link, each in the first table in which it meets only."""
-        fp, number = t.column("fp").to_numpy().view(np.uint64), t.column("b").to_numpy()
-        for a, b, distance in near_pairs(t, runs, pivots, wide):
-            new = distance > radius
-            a, b = a[new], b[new]
+        """Pairs of two components, each in the first table in which it meets only."""
+        fp, component, number = t.column("fp").to_numpy().view(np.uint64), t.column("component").to_numpy(), t.column("b").to_numpy()
+        for a, b, _ in near_pairs(t, runs, pivots, wide):
+            apart = component[a] != component[b]
+            a, b = a[apart], b[apart]
             if len(a):
                 first = (((fp[a] ^ fp[b])[:, None] & bits[None, :]) == 0).argmax(axis=1) == number[a]
                 if first.any():
@@ -171,8 +172,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: i
             if some.any():
                 yield from t.filter(pa.array(some)).to_batches()
 
-    flagged = rows.select("fp", "b", "key", "__i", "__j", "__r").repartition(*keys).sortWithinPartitions(*keys)
-    flagged = written(flagged.mapInArrow(flag, "fp bigint, b int, key bigint, __i int, __j int, __r int"), "flagged")
+    flagged = rows.select("fp", "component", "b", "key", "__i", "__j", "__r").repartition(*keys).sortWithinPartitions(*keys)
+    flagged = written(flagged.mapInArrow(flag, "fp bigint, component bigint, b int, key bigint, __i int, __j int, __r int"), "flagged")
 
     def make():
         return lambda batch: [
@@ -183,12 +184,12 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: i
     need = flagged.select("fp").distinct().join(nodes, "fp").select(F.col("fp").alias("of"), "rep")
     texts = docs.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     sets = append_columns(texts, [T.StructField("fp", T.LongType()), T.StructField("shingles", T.BinaryType())], make, 100).drop("text")
-    sets = sets.join(need, (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("of"))).select("fp", "rep", "shingles").dropDuplicates(["fp"])
+    sets = sets.join(need, (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("of"))).select("fp", "shingles").dropDuplicates(["fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in whole_runs(batches, keys):
-            rep, shingles = t.column("rep").to_numpy(), t.column("shingles").combine_chunks()
-            group, u, v = np.arange(t.num_rows), [], []
+            component, shingles = t.column("component").to_numpy(), t.column("shingles").combine_chunks()
+            group, u, v = np.unique(component, return_inverse=True)[1], [], []
             for a, b in open_pairs(t, runs):
                 for i, j in zip(a.tolist(), b.tolist(), strict=True):
                     if group[i] == group[j]:
@@ -199,8 +200,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: i
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if common and common >= similarity * (len(x) + len(y) - common):
                         group[group == group[j]] = group[i]
-                        u.append(rep[i])
-                        v.append(rep[j])
+                        u.append(component[i])
+                        v.append(component[j])
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -213,12 +214,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, text: str
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fps = written(fingerprints(docs, width, "text", "fp").drop("text"), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    known = nodes.where("rep IS NOT NULL")
-    edges = links(known, radius)
+    components = connected_components(links(nodes.where("rep IS NOT NULL"), radius))
+    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     if similarity is not None:
-        edges = edges.unionByName(similar_links(docs, known, similarity, width=width, radius=radius))
-    components = connected_components(edges)
-    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        of_fp = written(of_fp, "linked")
+        wider = connected_components(similar_links(docs, of_fp.where("rep IS NOT NULL"), similarity, width=width)).withColumnRenamed("component", "wider")
+        of_fp = of_fp.join(wider, of_fp.component == wider.node, "left").withColumn("component", F.coalesce("wider", "component"))
+    of_fp = of_fp.select("fp", F.col("component").alias("component_id"))
     return fps.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
