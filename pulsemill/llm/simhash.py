@@ -140,14 +140,16 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int = 5, width: int = 3, wide: int = 14, typical: int = 10, recall: float = 0.95, bucket: int = 64, n_pivots: int = 48, most: int = 1024, seed: int = 42) -> DataFrame:
-    """Edges (u, v) between components of nodes (fp, rep, component) that connect texts of at least this similarity. Pairs within
-    a component are skipped, so that what is compared of a crowd of copies is the few that radius bits leave outside.
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int = 5, width: int = 3, wide: int = 14, wide_other: int = 18, typical: int = 10, recall: float = 0.95, bucket: int = 64, n_pivots: int = 48, most: int = 1024, seed: int = 42) -> DataFrame:
+    """Edges (u, v) between components of nodes (fp, rep, other, component) that connect texts of at least this similarity. Pairs within
+    a component are skipped, so that what is compared of a crowd of copies is the few that radius bits leave outside. A second fingerprint, `other`, of shingles
+    of `words` words, has to be within `wide_other` bits: this discards the pairs of unrelated texts that meet by chance, whose
+    number would grow faster than the input.
 
     Pairs that few tables or over `wide` bits keep apart are missed: of pairs at 0.8 or more that differ in up to 8 bits
     about 1 in 100, of those that differ in 12 bits about 1 in 7. Larger groups connect by other pairs as well."""
     masks = random_masks(nodes.count(), typical, recall, bucket, seed)
-    keyed = nodes.select("fp", "component", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("b", "key"))
+    keyed = nodes.select("fp", "other", "component", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("b", "key"))
     keys = ["b", "key", "__i", "__j"]
     rows = split_hot(keyed, ["b", "key"], "fp", most)
     pivots = np.random.default_rng(seed).integers(0, 1 << 64, n_pivots, np.uint64)
@@ -156,8 +158,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: i
     def open_pairs(t: pa.Table, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of two components, each in the first table in which it meets only."""
         fp, component, number = t.column("fp").to_numpy().view(np.uint64), t.column("component").to_numpy(), t.column("b").to_numpy()
+        other = t.column("other").to_numpy().view(np.uint64)
         for a, b, _ in near_pairs(t, runs, pivots, wide):
-            apart = component[a] != component[b]
+            apart = (component[a] != component[b]) & (np.bitwise_count(other[a] ^ other[b]) <= wide_other)
             a, b = a[apart], b[apart]
             if len(a):
                 first = (((fp[a] ^ fp[b])[:, None] & bits[None, :]) == 0).argmax(axis=1) == number[a]
@@ -172,8 +175,8 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: i
             if some.any():
                 yield from t.filter(pa.array(some)).to_batches()
 
-    flagged = rows.select("fp", "component", "b", "key", "__i", "__j", "__r").repartition(*keys).sortWithinPartitions(*keys)
-    flagged = written(flagged.mapInArrow(flag, "fp bigint, component bigint, b int, key bigint, __i int, __j int, __r int"), "flagged")
+    flagged = rows.select("fp", "other", "component", "b", "key", "__i", "__j", "__r").repartition(*keys).sortWithinPartitions(*keys)
+    flagged = written(flagged.mapInArrow(flag, "fp bigint, other bigint, component bigint, b int, key bigint, __i int, __j int, __r int"), "flagged")
 
     def make():
         return lambda batch: [
@@ -212,10 +215,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, text: str
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links reach. Links are pairs within
     radius bits and, with a similarity, pairs of at least that Jaccard similarity of five-word shingles (similar_links)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fps = written(fingerprints(docs, width, "text", "fp").drop("text"), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    fps = fingerprints(docs, width, "text", "fp")
+    fps = fps.withColumn("other", F.lit(0).cast("bigint")) if similarity is None else fingerprints(fps, 5, "text", "other")
+    fps = written(fps.drop("text"), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("other", "doc_id").alias("other")), "nodes")
     components = connected_components(links(nodes.where("rep IS NOT NULL"), radius))
-    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
+    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", "rep", "other", F.coalesce("component", "rep").alias("component"))
     if similarity is not None:
         of_fp = written(of_fp, "linked")
         wider = connected_components(similar_links(docs, of_fp.where("rep IS NOT NULL"), similarity, width=width)).withColumnRenamed("component", "wider")
