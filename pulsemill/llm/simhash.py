@@ -12,11 +12,9 @@ Buckets over `most` fingerprints are dealt out as blocks of two chunks each. Wha
 forest of as many edges as nodes at most. Components come from alternating stars over these edges.
 
 With a `similarity`, texts that the fingerprints' radius doesn't link are linked too if the Jaccard similarity of their sets
-of five-word shingles is that or more. Such pairs mostly differ in 4 to 12 bits, for which no choice of whole blocks is
-small enough; so the local pivots are those of random bits, in as many tables as a pair `typical` bits apart needs to meet
-with a probability of `recall` (figures in similar_links). Within buckets, the distance table discards and Hamming
-distances verify pairs within `wide` bits, the shingle sets of just these texts are fetched, and the similarity is computed
-exactly: no pair below it is linked.
+of five-word shingles is that or more. All such pairs are found, whatever their fingerprints: an exact prefix-filtered join
+of the distinct shingle sets (similar_links). Shingles are ordered by their count in a sample, rarest first. Candidates are
+verified on the whole sets: no pair below the similarity is linked, and none at or above it is missed.
 
 Edge cases: null and empty texts have fingerprint zero, which links like any other. Rows with a null doc_id get a
 fingerprint and a null component. Repeated rows share their component. Extra columns are ignored.
@@ -35,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, connected_components, forest, pairs_in_runs, same_block, split_hot, texts_of, whole_runs, written
+from .common import append_columns, connected_components, forest, pairs_in_runs, same_block, ship, split_hot, texts_of, whole_runs, written
 
 PIECE = 1 << 16  # shingles whose bits are counted at once
 
@@ -122,15 +120,6 @@ def links(nodes: DataFrame, radius: int = 3, n_pivots: int = 48, blocks: int | N
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint")
 
 
-def random_masks(n: int, typical: int, recall: float, bucket: int, seed: int) -> list[int]:
-    """Masks of random bits: so many bits that n random fingerprints make buckets of about `bucket`, and so many masks that
-    fingerprints `typical` bits apart agree under one of them with a probability of `recall`."""
-    k = min(40, max(4, math.ceil(math.log2(max(2, n / bucket)))))
-    rng = np.random.default_rng([seed, k])
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - math.comb(64 - typical, k) / math.comb(64, k)))
-    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(tables)]
-
-
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; of a shorter text, of the whole sequence."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
@@ -140,75 +129,153 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, words: int = 5, width: int = 3, wide: int = 14, wide_other: int = 18, typical: int = 10, recall: float = 0.95, bucket: int = 64, n_pivots: int = 48, most: int = 1024, seed: int = 42) -> DataFrame:
-    """Edges (u, v) between components of nodes (fp, rep, other, component) that connect texts of at least this similarity. Pairs within
-    a component are skipped, so that what is compared of a crowd of copies is the few that radius bits leave outside. A second fingerprint, `other`, of shingles
-    of `words` words, has to be within `wide_other` bits: this discards the pairs of unrelated texts that meet by chance, whose
-    number would grow faster than the input.
+def signed_digest(x: bytes) -> int:
+    return signed(xxhash.xxh64_intdigest(x))
 
-    Pairs that few tables or over `wide` bits keep apart are missed: of pairs at 0.8 or more that differ in up to 8 bits
-    about 1 in 100, of those that differ in 12 bits about 1 in 7. Larger groups connect by other pairs as well."""
-    masks = random_masks(nodes.count(), typical, recall, bucket, seed)
-    keyed = nodes.select("fp", "other", "component", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("b", "key"))
-    keys = ["b", "key", "__i", "__j"]
-    rows = split_hot(keyed, ["b", "key"], "fp", most)
-    pivots = np.random.default_rng(seed).integers(0, 1 << 64, n_pivots, np.uint64)
-    bits = np.array(masks, np.uint64)
-
-    def open_pairs(t: pa.Table, runs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of two components, each in the first table in which it meets only."""
-        fp, component, number = t.column("fp").to_numpy().view(np.uint64), t.column("component").to_numpy(), t.column("b").to_numpy()
-        other = t.column("other").to_numpy().view(np.uint64)
-        for a, b, _ in near_pairs(t, runs, pivots, wide):
-            apart = (component[a] != component[b]) & (np.bitwise_count(other[a] ^ other[b]) <= wide_other)
-            a, b = a[apart], b[apart]
-            if len(a):
-                first = (((fp[a] ^ fp[b])[:, None] & bits[None, :]) == 0).argmax(axis=1) == number[a]
-                if first.any():
-                    yield a[first], b[first]
-
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, runs in whole_runs(batches, keys):
-            some = np.zeros(t.num_rows, bool)
-            for a, b in open_pairs(t, runs):
-                some[a] = some[b] = True
-            if some.any():
-                yield from t.filter(pa.array(some)).to_batches()
 
-    flagged = rows.select("fp", "other", "component", "b", "key", "__i", "__j", "__r").repartition(*keys).sortWithinPartitions(*keys)
-    flagged = written(flagged.mapInArrow(flag, "fp bigint, other bigint, component bigint, b int, key bigint, __i int, __j int, __r int"), "flagged")
+def common_shingles(docs: DataFrame, words: int, sample: int = 10_000, least: int = 3, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, and their counts. They only put shingles in an order (see
+    rarest): whatever the sample misses costs time, not links."""
+    share = max(1, docs.count() // sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                sets = [shingle_set(t, words) for t in texts_of(batch.slice(at, 100))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
+
+    ship(docs.sparkSession)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "s bigint")
+    t = some.groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(most).toArrow()
+    s, n = t.column("s").to_numpy().view(np.uint64), t.column("count").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def rarest(x: np.ndarray, similarity: float, often: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The prefix of a sorted shingle set: the n - ceil(similarity n) + 1 shingles that come first by (count, hash)."""
+    if not len(x):
+        return x
+    c = np.zeros(len(x), np.int64)
+    if len(often):
+        at = np.minimum(np.searchsorted(often, x), len(often) - 1)
+        c = np.where(often[at] == x, count[at], 0)
+    return x[np.argsort(c, kind="stable")][: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
+
+
+def with_prefixes(docs: DataFrame, similarity: float, words: int = 5) -> DataFrame:
+    """docs with set_id, a hash of the shingle set, its size n, and its prefix."""
+    often, count = common_shingles(docs, words)
+
+    def make():
+        def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+            sets = [shingle_set(t, words) for t in texts_of(batch)]
+            return [
+                pa.array([signed_digest(x.tobytes()) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
+                pa.array([rarest(x, similarity, often, count).tobytes() for x in sets], pa.binary()),
+            ]
+
+        return columns
+
+    return append_columns(docs, [T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.BinaryType())], make, 100)
+
+
+def may_be_similar(n: np.ndarray, place: np.ndarray, other_n: np.ndarray, other_place: np.ndarray, similarity: float) -> np.ndarray:
+    """Length and positional filter: what two sets can share from these places on, if this is the first that they share."""
+    fits = np.minimum(n, other_n) >= similarity * np.maximum(n, other_n) - 1e-9
+    return fits & (np.minimum(n - place, other_n - other_place) >= similarity / (1 + similarity) * (n + other_n) - 1e-9)
+
+
+def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, words: int = 5, most: int = 1024) -> DataFrame:
+    """Edges (u, v) between components of sets (set_id, n, prefix, rep, component; set_id distinct) that connect just what
+    pairs of at least this similarity connect: an exact prefix-filtered join. Two such sets share a shingle of both prefixes.
+
+    Of the sets that share one, first each is compared with the first only, which joins crowds of copies in linear time.
+    Then all pairs that still lie in two components are."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("prefix")]
+                size = np.array([len(k) for k in keys])
+                row = np.repeat(np.arange(len(keys)), size)
+                place = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+                rest = [b.column(c).take(pa.array(row)) for c in ("set_id", "n", "component")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(place), *rest], ["key", "place", "set_id", "n", "component"])
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a shingle that sets of several components share, with the first of them."""
+        for t, runs in whole_runs(batches, ["key"]):
+            component = t.column("component").to_numpy()
+            first = np.searchsorted(runs, runs)
+            several = np.zeros(runs[-1] + 1, bool)
+            several[runs[component != component[first]]] = True
+            keep = np.flatnonzero(several[runs])
+            if len(keep):
+                out = t.take(pa.array(keep))
+                for c in ("place", "set_id", "n", "component"):
+                    out = out.append_column(f"hub_{c}", t.column(c).take(pa.array(first[keep])))
+                yield from out.to_batches(10_000)
+
+    row = "key bigint, place int, set_id bigint, n int, component bigint"
+    ship(docs.sparkSession)
+    rows = sets.select("set_id", "n", "prefix", "component").mapInArrow(spread, row)
+    rows = rows.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(mixed, f"{row}, hub_place int, hub_set_id bigint, hub_n int, hub_component bigint")
+    rows = written(rows, "shared")
 
     def make():
-        return lambda batch: [
-            pa.array((fingerprint(t, width) for t in texts_of(batch)), pa.int64()),
-            pa.array((shingle_set(t, words).tobytes() for t in texts_of(batch)), pa.binary()),
-        ]
+        def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+            found = [shingle_set(t, words).tobytes() for t in texts_of(batch)]
+            return [pa.array(map(signed_digest, found), pa.int64()), pa.array(found, pa.binary())]
+
+        return columns
+
+    need = rows.select("set_id").distinct().join(sets.select("set_id", "rep"), "set_id")
+    texts = docs.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text")
+    texts = append_columns(texts, [T.StructField("set_id", T.LongType()), T.StructField("shingles", T.BinaryType())], make, 100).drop("text")
+    texts = written(texts.join(need.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                xs, ys = batch.column("x"), batch.column("y")
+                keep = []
+                for i in range(batch.num_rows):
+                    x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (xs, ys))
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if common >= similarity * (len(x) + len(y) - common):
+                        keep.append(i)
+                if keep:
+                    yield batch.select(["u", "v"]).take(pa.array(keep))
 
-    need = flagged.select("fp").distinct().join(nodes, "fp").select(F.col("fp").alias("of"), "rep")
-    texts = docs.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = append_columns(texts, [T.StructField("fp", T.LongType()), T.StructField("shingles", T.BinaryType())], make, 100).drop("text")
-    sets = sets.join(need, (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("of"))).select("fp", "shingles").dropDuplicates(["fp"])
+        both = pairs.distinct().join(texts.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
+        return both.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint").distinct()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    least, size = F.lit(similarity) * F.greatest("n", "hub_n") - 1e-9, F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("hub_n")) - 1e-9
+    fits = (F.least("n", "hub_n") >= least) & (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= size)
+    stars = rows.where((F.col("component") != F.col("hub_component")) & fits)
+    stars = written(verified(stars.select(F.col("set_id").alias("a"), F.col("hub_set_id").alias("b"), F.col("component").alias("u"), F.col("hub_component").alias("v"))), "stars")
+
+    rows = rows.select("key", "place", "set_id", "n", "component").join(connected_components(stars).withColumnRenamed("component", "wider"), F.col("component") == F.col("node"), "left")
+    rows = split_hot(rows.select("key", "place", "set_id", "n", F.coalesce("wider", "component").alias("component")), ["key"], "set_id", most)
+    keys = ["key", "__i", "__j"]
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in whole_runs(batches, keys):
-            component, shingles = t.column("component").to_numpy(), t.column("shingles").combine_chunks()
-            group, u, v = np.unique(component, return_inverse=True)[1], [], []
-            for a, b in open_pairs(t, runs):
-                for i, j in zip(a.tolist(), b.tolist(), strict=True):
-                    if group[i] == group[j]:
-                        continue
-                    x, y = (np.frombuffer(shingles[k].as_buffer(), np.uint64) for k in (i, j))
-                    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                        continue
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common and common >= similarity * (len(x) + len(y) - common):
-                        group[group == group[j]] = group[i]
-                        u.append(component[i])
-                        v.append(component[j])
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            of, component, n, place, r, ci, cj = (t.column(c).to_numpy() for c in ("set_id", "component", "n", "place", "__r", "__i", "__j"))
+            for a, b in pairs_in_runs(runs):
+                near = (component[a] != component[b]) & same_block(a, b, r, ci, cj)
+                a, b = a[near], b[near]
+                near = may_be_similar(n[a], place[a], n[b], place[b], similarity)
+                a, b = a[near], b[near]
+                if len(a):
+                    swap = of[a] > of[b]
+                    a, b = np.where(swap, b, a), np.where(swap, a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(of[a]), pa.array(of[b]), pa.array(component[a]), pa.array(component[b])], ["a", "b", "u", "v"])
 
-    return flagged.join(sets, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "u bigint, v bigint")
+    rest = rows.repartition(*keys).sortWithinPartitions(*keys, "set_id").mapInArrow(pairs, "a bigint, b bigint, u bigint, v bigint")
+    return stars.unionByName(verified(rest))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
@@ -216,16 +283,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, text: str
     radius bits and, with a similarity, pairs of at least that Jaccard similarity of five-word shingles (similar_links)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fps = fingerprints(docs, width, "text", "fp")
-    fps = fps.withColumn("other", F.lit(0).cast("bigint")) if similarity is None else fingerprints(fps, 5, "text", "other")
-    fps = written(fps.drop("text"), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("other", "doc_id").alias("other")), "nodes")
-    components = connected_components(links(nodes.where("rep IS NOT NULL"), radius))
-    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", "rep", "other", F.coalesce("component", "rep").alias("component"))
+    fps = written((fps if similarity is None else with_prefixes(fps, similarity)).drop("text"), "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    edges = links(nodes.where("rep IS NOT NULL"), radius)
+    if similarity is not None:  # equal shingle sets are one node from here on
+        of_set = fps.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "fp").distinct().join(nodes, "fp").select("set_id", "rep")
+        edges = edges.unionByName(of_set.join(of_set.groupBy("set_id").agg(F.min("rep").alias("first")), "set_id").where("rep != first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
+    components = connected_components(edges)
+    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
     if similarity is not None:
         of_fp = written(of_fp, "linked")
-        wider = connected_components(similar_links(docs, of_fp.where("rep IS NOT NULL"), similarity, width=width)).withColumnRenamed("component", "wider")
+        sets = fps.where("n > 0 AND doc_id IS NOT NULL").join(of_fp.select("fp", "component"), "fp")
+        sets = written(sets.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("doc_id").alias("rep"), F.min("component").alias("component")), "sets")
+        wider = connected_components(similar_links(docs, sets, similarity)).withColumnRenamed("component", "wider")
         of_fp = of_fp.join(wider, of_fp.component == wider.node, "left").withColumn("component", F.coalesce("wider", "component"))
     of_fp = of_fp.select("fp", F.col("component").alias("component_id"))
-    return fps.join(of_fp, "fp").select(
+    return fps.select("doc_id", "fp").join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )

@@ -318,6 +318,29 @@ def test_similar_texts(spark, most, monkeypatch):
     assert joined > 200 and 0 <= lost <= 0.03 * joined
 
 
+def check_all_links(spark, texts):
+    """The components are just those of brute force; returns the pairs that no fingerprints link."""
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    fp = {d: plain_fingerprint(t) for d, t in texts.items()}
+    similar = plain_similar(texts)
+    want = plain_components(texts, similar + [(a, b) for a in texts for b in texts if a < b and (fp[a] ^ fp[b]).bit_count() <= 3])
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, similarity=0.8).collect()} == want
+    return [(fp[a] ^ fp[b]).bit_count() for a, b in similar]
+
+
+def test_similar_repeated_lines(spark):
+    """Nearly equal shingle sets whose multisets, and so fingerprints, are far apart; and equal sets."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(60):
+        body, footer = (" ".join(f"w{x}" for x in rng.integers(0, 3000, n)) for n in (300, 12))
+        texts[3 * k] = f"{body}\n{footer}"
+        for j, times in ((1, 6), (2, 12)):
+            texts[3 * k + j] = body + f"\n{footer}" * times
+    texts[180], texts[181] = "a b c d e " * 12, "a b c d e " * 90
+    assert sum(d > 14 for d in check_all_links(spark, texts)) > 30
+
+
 def test_similar_odd(spark, odd, none):
     got = collections.defaultdict(set)
     for r in simhash.near_duplicates(odd, similarity=0.8).collect():
