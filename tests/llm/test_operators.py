@@ -341,6 +341,18 @@ def test_similar_repeated_lines(spark):
     assert sum(d > 14 for d in check_all_links(spark, texts)) > 30
 
 
+def test_similar_appended_and_replaced(spark):
+    """Pairs without a third copy, just above the similarity, that differ in one long passage."""
+    rng = np.random.default_rng(6)
+    texts = {}
+    for k in range(150):
+        base, more = ([f"w{x}" for x in rng.integers(0, 30_000, n)] for n in (300, 72))
+        texts[4 * k], texts[4 * k + 1] = " ".join(base), " ".join(base + more)
+        base = [f"w{x}" for x in rng.integers(0, 30_000, 300)]
+        texts[4 * k + 2], texts[4 * k + 3] = " ".join(base), " ".join(base[:150] + more[:28] + base[178:])
+    assert len(check_all_links(spark, texts)) == 300
+
+
 def test_similar_odd(spark, odd, none):
     got = collections.defaultdict(set)
     for r in simhash.near_duplicates(odd, similarity=0.8).collect():
