@@ -1,6 +1,7 @@
 """License scans: an exact containment join of text lines with license templates, in DataFrame operations only.
 
-A text block is a line of a document; its tokens are its distinct words. A template matches a block that holds at least
+A text block is a line of a document, or what surrounds a line end: the last words of a line and the words that follow, as many of
+each as hold a notice of the longest template, so that hard-wrapped notices lie in one block. Its tokens are its distinct words. A template matches a block that holds at least
 `threshold` of the template's distinct words, its key words among them. The join is exact and never compares all pairs:
 
 * one narrow pass over the texts writes, for each document, its word count, the places of base phrases, and of each block
@@ -94,9 +95,20 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     sets = [(label, list(dict.fromkeys(notice.split())), key.split()) for label, notice, key in templates]
     vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     least = min(math.ceil(threshold * len(ws) - 1e-9) for _, ws, _ in sets)
+    reach = max(1, math.ceil(max(len(notice.split()) for _, notice, _ in templates) / threshold) - 1)  # words of a notice on one side of a line end
     s = docs.select(F.col(doc_id).alias("doc_id"), lowered(F.col(text)).alias("__t"))
     s = s.select("doc_id", "__t", F.transform(F.split("__t", "\n"), words_of).alias("__l"))
-    near = F.transform("__l", lambda words, k: F.struct(k.cast("int").alias("line"), F.array_intersect(words, _array(vocabulary)).alias("tokens")))
+    numbered = F.filter(F.transform("__l", lambda words, k: F.struct(k.cast("int").alias("line"), words.alias("words"))), lambda b: F.size(b["words"]) > 0)
+    s = s.withColumn("__n", numbered)
+    s = s.withColumn("__h", F.transform("__n", lambda b: F.slice(b["words"], 1, reach)))  # each of these lines has a word, so `reach` lines hold `reach` words
+
+    def around(b: Column, k: Column) -> Column:
+        tail = F.slice(b["words"], F.greatest(F.lit(1), F.size(b["words"]) - (reach - 1)), F.lit(reach))
+        return F.concat(tail, F.slice(F.flatten(F.slice(F.col("__h"), k + 2, F.lit(reach))), 1, reach))
+
+    within = F.transform("__n", lambda b: F.struct(b["line"].alias("line"), F.array_intersect(b["words"], _array(vocabulary)).alias("tokens")))
+    wrapped = F.transform("__n", lambda b, k: F.struct(b["line"].alias("line"), F.array_intersect(around(b, k), _array(vocabulary)).alias("tokens")))
+    near = F.concat(within, wrapped)
     s = s.select(
         "doc_id", F.aggregate("__l", F.lit(0).cast("bigint"), lambda n, words: n + F.size(words)).alias("n_words"),
         F.struct(*[_places(F.col("__l"), F.col("__t"), p).alias(f"p{k}") for k, p in enumerate(phrases)]).alias("__p"),

@@ -79,6 +79,15 @@ def test_license_scan(spark, odd, none):
     assert {r.doc_id: r.score for r in got}[5] == 1.0 and license_scan.scan(none).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    cc0 = "To the extent possible under law, the author has waived all copyright and\n\n# related or neighboring rights to this work."
+    texts = [mit, bsd, cc0, "before it\n" + "\n".join(bsd.split()) + "\nafter it", "redistribution of binary files\n" + "other words\n" * 40 + "modification is permitted"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(rows).collect()} == {0: "mit", 1: "bsd", 2: "cc0", 3: "bsd", 4: ""}
+
+
 def test_license_scan_is_native(spark, odd):
     plan = license_scan.scan(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
