@@ -68,7 +68,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
     n = items(spark, sf_dir).agg(F.countDistinct("topic_id").alias("n"))
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    return d.crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("id"), (F.col("doc_id") % F.col("n")).alias("topic_id"), F.substring("text", 1, 300).alias("content"), at.alias("generated_at"))
+    return d.crossJoin(F.broadcast(n)).select(F.col("doc_id").alias("id"), (F.col("doc_id") % F.col("n")).alias("topic_id"), F.col("text").alias("content"), at.alias("generated_at"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

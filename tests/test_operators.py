@@ -241,3 +241,8 @@ def test_providers(spark):
     rows = judge_batch(spark.createDataFrame([(1, "q 答：yes"), (2, None)], "id int, p string"), "p").orderBy("id").collect()
     assert rows[0].answer == "yes" and rows[1].status == "success"
     assert "".join(chat_model().stream([{"role": "user", "content": "答：ab"}])) == "ab"
+
+
+def test_summaries_hold_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in A.read(spark, SF, "documents").collect()}
+    assert max(len(t or "") for t in texts.values()) > 300 and {r.id: r.content for r in A.summaries(spark, SF).collect()} == texts
