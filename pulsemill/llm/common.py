@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+#: Texts go to Python in small batches: each is held several times, by Spark, Arrow and the worker. Only Spark's own
+#: defaults are replaced, not what a session sets.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b"}
+BATCHES_UNSET = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b"}
+#: Rows of scratch tables wait in a writer's memory until a row group is full.
+ROW_GROUP = 16 << 20
+#: Keys that are broadcast at most; more are shuffled.
+MOST_BROADCAST = 100_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,6 +43,9 @@ def ship(spark: SparkSession) -> None:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         sc.addPyFile(str(to))
+    for key, value in BATCHES.items():
+        if spark.conf.get(key) == BATCHES_UNSET[key]:
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,19 +57,42 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pulsemill-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts the lineage and survives lost executors. It goes when the application ends."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/pulsemill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """rows whose key is (or with left_anti: isn't) among the keys. Up to MOST_BROADCAST keys are broadcast; more are shuffled."""
+    keys = written(keys.select(key).distinct(), "keys")
+    return rows.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, key, how)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
+    """rows joined with table (key distinct; count: how many rows hold the key). Keys with over a `most`-th of all rows,
+    of which there are fewer than `most`, are looked up by broadcast where the rows lie; the others are shuffled."""
+    table = written(table, "keyed")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    limit = max(10_000, total // most)
+    hot, others = table.where(F.col(count) > limit).drop(count), table.where(F.col(count) <= limit).drop(count)
+    if hot.isEmpty():
+        return rows.join(others, key)
+    here = rows.join(F.broadcast(hot), key)
+    return here.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(others, key))
+
+
 def cut(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     shared_dir(df.sparkSession)
@@ -91,30 +125,46 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Of batches sorted by keys: tables that hold whole runs of equal keys, and each row's run number."""
-    held: pa.Table | None = None
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | None = None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of batches sorted by keys: tables that hold whole runs of equal keys, and each row's run number. With `most`, a run
+    comes in parts, each a table of its own, as soon as that many of its rows are held."""
+    held: list[pa.Table] = []
+    last: tuple | None = None
 
-    def numbered(t: pa.Table) -> np.ndarray:
-        n = t.num_rows
-        change = np.zeros(n, bool)
+    def changes(t: pa.Table) -> np.ndarray:
+        change = np.zeros(t.num_rows, bool)
         for k in keys:
             v = t.column(k).to_numpy(zero_copy_only=False)
             change[1:] |= v[1:] != v[:-1]
-        return np.cumsum(change)
+        return change
+
+    def numbered(parts: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.concat_tables(parts).combine_chunks()
+        return t, np.cumsum(changes(t))
 
     for batch in batches:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch])
-        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        run = numbered(t)
-        start = int(np.searchsorted(run, run[-1]))
-        held = t.slice(start)
-        if start:
-            yield t.slice(0, start), run[:start]
-    if held is not None and held.num_rows:
-        yield held, numbered(held)
+        change = changes(t)
+        key = tuple(t.column(k)[0].as_py() for k in keys)
+        if last is not None and key != last:
+            change[0] = True
+        at = np.flatnonzero(change)
+        if len(at):  # what is held so far is complete up to the last change
+            head = t.slice(0, int(at[-1]))
+            parts = [*held, head] if head.num_rows else held
+            if parts:
+                yield numbered(parts)
+            held = [t.slice(int(at[-1]))]
+        else:
+            held.append(t)
+        last = tuple(t.column(k)[t.num_rows - 1].as_py() for k in keys)
+        if most is not None and sum(x.num_rows for x in held) >= most:
+            yield numbered(held)
+            held = []
+    if held:
+        yield numbered(held)
 
 
 def pairs_in_runs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

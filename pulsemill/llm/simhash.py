@@ -12,17 +12,18 @@ Buckets over `most` fingerprints are dealt out as blocks of two chunks each. Wha
 forest of as many edges as nodes at most. Components come from alternating stars over these edges.
 
 With a `similarity`, texts that the fingerprints' radius doesn't link are linked too if the Jaccard similarity of their sets
-of five-word shingles is that or more. All such pairs are found, whatever their fingerprints: an exact prefix-filtered join
-of the distinct shingle sets (similar_links). Shingles are ordered by their count in a sample, rarest first. Candidates are
-verified on the whole sets: no pair below the similarity is linked, and none at or above it is missed.
+of five-word shingles is that or more: an exact join, whatever their fingerprints and whatever the size (shingle_join).
 
-Edge cases: null and empty texts have fingerprint zero, which links like any other. Rows with a null doc_id get a
-fingerprint and a null component. Repeated rows share their component. Extra columns are ignored.
+Nodes of the graph are fingerprints, so rows without an id, and rows that share an id, link like any others.
+
+Edge cases: null and empty texts have fingerprint zero, which links like any other. Rows with a null doc_id join what they
+link and get a fingerprint and a null component. Rows with one doc_id and different texts keep a fingerprint each. Repeated
+rows share their component. Very long texts are fingerprinted whole, in pieces. Extra columns are ignored, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, connected_components, forest, pairs_in_runs, same_block, ship, split_hot, texts_of, whole_runs, written
+from . import shingle_join
+from .common import append_columns, connected_components, forest, join_hot, pairs_in_runs, same_block, split_hot, texts_of, whole_runs, written
+from .shingle_join import words_of
 
 PIECE = 1 << 16  # shingles whose bits are counted at once
 
 
-def fingerprint(text: str, width: int) -> int:
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space only
+def fingerprint(words: list[bytes], width: int) -> int:
     if not words:
         return 0
     count = np.zeros(64, np.int64)
@@ -58,7 +60,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text", out: str =
     """docs with long `out`, the 64-bit fingerprint as a signed number."""
 
     def make():
-        return lambda batch: [pa.array((fingerprint(t, width) for t in texts_of(batch, text)), pa.int64())]
+        return lambda batch: [pa.array((fingerprint(words_of(t), width) for t in texts_of(batch, text)), pa.int64())]
 
     return append_columns(docs, [T.StructField(out, T.LongType())], make)
 
@@ -79,225 +81,104 @@ def pivot_table(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp[:, None] ^ pivots[None, :]).astype(np.int8)
 
 
-def near_pairs(t: pa.Table, runs: np.ndarray, pivots: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Index pairs within each run that this block counts and that are within radius bits, with their distances."""
+def near_pairs(t: pa.Table, runs: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within each run that this block counts and that are within radius bits."""
     fp = t.column("fp").to_numpy().view(np.uint64)
     r, ci, cj = (t.column(c).to_numpy() for c in ("__r", "__i", "__j"))
-    table = pivot_table(fp, pivots)
+    table = np.frombuffer(b"".join(t.column("distances").to_pylist()), np.int8).reshape(len(fp), -1)
     for a, b in pairs_in_runs(runs):
         near = same_block(a, b, r, ci, cj) & (np.abs(table[a, 0] - table[b, 0]) <= radius)
         a, b = a[near], b[near]
         if len(a):
             near = np.abs(table[a] - table[b]).max(axis=1) <= radius  # the maximum coordinate difference
             a, b = a[near], b[near]
-            distance = np.bitwise_count(fp[a] ^ fp[b])
-            near = distance <= radius
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
             if near.any():
-                yield a[near], b[near], distance[near]
+                yield a[near], b[near]
 
 
-def links(nodes: DataFrame, radius: int = 3, n_pivots: int = 48, blocks: int | None = None, most: int = 4096, seed: int = 42) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, n_pivots: int = 16, blocks: int | None = None, most: int = 4096, seed: int = 42) -> DataFrame:
     """Edges (u, v) between reps of nodes (fp, rep; fp distinct) that connect just what links within radius bits connect."""
     if blocks is None:  # more blocks make more rows but finer buckets; buckets stay small while nodes are far fewer than their keys
         blocks = radius + 1 if nodes.count() < 2_000_000 else 2 * radius
+    pivots = np.random.default_rng(seed).integers(0, 1 << 64, n_pivots, np.uint64)
+
+    def make():
+        def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+            table = pivot_table(batch.column("fp").to_numpy().view(np.uint64), pivots)
+            return [pa.FixedSizeBinaryArray.from_buffers(pa.binary(n_pivots), len(table), [None, pa.py_buffer(table.tobytes())]).cast(pa.binary())]
+
+        return columns
+
+    placed = append_columns(nodes.select("fp", "rep"), [T.StructField("distances", T.BinaryType())], make, 100_000)
     masks = block_masks(blocks, radius)
-    keyed = nodes.select("fp", "rep", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("x")).select("fp", "rep", "x.b", "x.key")
+    choices = F.array(*[F.struct(F.lit(k).alias("b"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(masks)])
+    keyed = placed.select("fp", "rep", "distances", F.explode(choices).alias("x")).select("fp", "rep", "distances", "x.b", "x.key")
     rows = split_hot(keyed, ["b", "key"], "fp", most)
     keys = ["b", "key", "__i", "__j"]
-    pivots = np.random.default_rng(seed).integers(0, 1 << 64, n_pivots, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, runs in whole_runs(batches, keys):
-            fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
-            found_a, found_b = [], []
-            for a, b, _ in near_pairs(t, runs, pivots, radius):
-                found_a.append(a)
-                found_b.append(b)
-            if found_a:
-                child, root = forest(len(fp), np.concatenate(found_a), np.concatenate(found_b), rep)
+            rep = t.column("rep").to_numpy()
+            found = list(near_pairs(t, runs, radius))
+            if found:
+                child, root = forest(len(rep), *(np.concatenate(x) for x in zip(*found, strict=True)), rep)
                 yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root])], ["u", "v"])
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u bigint, v bigint")
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; of a shorter text, of the whole sequence."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), np.uint64))
-
-
-def signed_digest(x: bytes) -> int:
-    return signed(xxhash.xxh64_intdigest(x))
-
-
-def common_shingles(docs: DataFrame, words: int, sample: int = 10_000, least: int = 3, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample hold, sorted, and their counts. They only put shingles in an order (see
-    rarest): whatever the sample misses costs time, not links."""
-    share = max(1, docs.count() // sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                sets = [shingle_set(t, words) for t in texts_of(batch.slice(at, 100))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
-
-    ship(docs.sparkSession)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text").mapInArrow(run, "s bigint")
-    t = some.groupBy("s").count().where(F.col("count") >= least).orderBy(F.desc("count"), "s").limit(most).toArrow()
-    s, n = t.column("s").to_numpy().view(np.uint64), t.column("count").to_numpy()
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def rarest(x: np.ndarray, similarity: float, often: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The prefix of a sorted shingle set: the n - ceil(similarity n) + 1 shingles that come first by (count, hash)."""
-    if not len(x):
-        return x
-    c = np.zeros(len(x), np.int64)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, x), len(often) - 1)
-        c = np.where(often[at] == x, count[at], 0)
-    return x[np.argsort(c, kind="stable")][: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1]
-
-
-def with_prefixes(docs: DataFrame, similarity: float, words: int = 5) -> DataFrame:
-    """docs with set_id, a hash of the shingle set, its size n, and its prefix."""
-    often, count = common_shingles(docs, words)
-
-    def make():
-        def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-            sets = [shingle_set(t, words) for t in texts_of(batch)]
-            return [
-                pa.array([signed_digest(x.tobytes()) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32()),
-                pa.array([rarest(x, similarity, often, count).tobytes() for x in sets], pa.binary()),
-            ]
-
-        return columns
-
-    return append_columns(docs, [T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("prefix", T.BinaryType())], make, 100)
-
-
-def may_be_similar(n: np.ndarray, place: np.ndarray, other_n: np.ndarray, other_place: np.ndarray, similarity: float) -> np.ndarray:
-    """Length and positional filter: what two sets can share from these places on, if this is the first that they share."""
-    fits = np.minimum(n, other_n) >= similarity * np.maximum(n, other_n) - 1e-9
-    return fits & (np.minimum(n - place, other_n - other_place) >= similarity / (1 + similarity) * (n + other_n) - 1e-9)
-
-
-def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, words: int = 5, most: int = 1024) -> DataFrame:
-    """Edges (u, v) between components of sets (set_id, n, prefix, rep, component; set_id distinct) that connect just what
-    pairs of at least this similarity connect: an exact prefix-filtered join. Two such sets share a shingle of both prefixes.
-
-    Of the sets that share one, first each is compared with the first only, which joins crowds of copies in linear time.
-    Then all pairs that still lie in two components are."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                keys = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("prefix")]
-                size = np.array([len(k) for k in keys])
-                row = np.repeat(np.arange(len(keys)), size)
-                place = (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-                rest = [b.column(c).take(pa.array(row)) for c in ("set_id", "n", "component")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(place), *rest], ["key", "place", "set_id", "n", "component"])
-
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a shingle that sets of several components share, with the first of them."""
-        for t, runs in whole_runs(batches, ["key"]):
-            component = t.column("component").to_numpy()
-            first = np.searchsorted(runs, runs)
-            several = np.zeros(runs[-1] + 1, bool)
-            several[runs[component != component[first]]] = True
-            keep = np.flatnonzero(several[runs])
-            if len(keep):
-                out = t.take(pa.array(keep))
-                for c in ("place", "set_id", "n", "component"):
-                    out = out.append_column(f"hub_{c}", t.column(c).take(pa.array(first[keep])))
-                yield from out.to_batches(10_000)
-
-    row = "key bigint, place int, set_id bigint, n int, component bigint"
-    ship(docs.sparkSession)
-    rows = sets.select("set_id", "n", "prefix", "component").mapInArrow(spread, row)
-    rows = rows.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(mixed, f"{row}, hub_place int, hub_set_id bigint, hub_n int, hub_component bigint")
-    rows = written(rows, "shared")
+def groups(docs: DataFrame, width: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
+    """docs (row, doc_id, text; row distinct) as row, doc_id, fp, component: a number that just the rows of one group share,
+    by links within radius bits and, with a similarity, of at least that Jaccard similarity of five-word shingles."""
+    if similarity is None:
+        fps = fingerprints(docs, width).drop("text")
+    else:
+        fps = _both(docs, width, similarity).drop("text")
+    fps = written(fps, "fingerprints")
+    nodes = written(fps.groupBy("fp").agg(F.count("*").alias("rows")), "nodes")
+    edges = links(nodes.select("fp", F.col("fp").alias("rep")), radius)
+    if similarity is not None:  # equal shingle sets are one node from here on
+        of_set = fps.where("n > 0").groupBy("set_id", "fp").agg(F.min("row").alias("row"))
+        of_set = written(of_set, "set-fingerprints")
+        reps = of_set.groupBy("set_id").agg(F.min("row").alias("row"), F.min("fp").alias("first"))
+        same = of_set.join(reps.select("set_id", "first"), "set_id").where("fp != first")
+        edges = edges.unionByName(same.select(F.col("fp").alias("u"), F.col("first").alias("v")))
+    linked = connected_components(edges).withColumnRenamed("node", "fp")
+    if similarity is not None:
+        linked = written(linked, "linked")
+        of_row = of_set.join(reps.select("row"), "row").join(linked, "fp", "left").select("row", F.coalesce("component", "fp").alias("component"))
+        sets = fps.join(of_row, "row")
+        sets = written(sets.select("set_id", "n", "prefix", "bits", "row", "component"), "sets")
+        more = shingle_join.similar_links(docs, sets, similarity)
+        wider = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        of = nodes.select("fp").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")).join(wider, "component", "left")
+        linked = of.select("fp", F.coalesce("wider", "component").alias("component"))
+    of_fp = nodes.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return join_hot(fps.select("row", "doc_id", "fp"), of_fp, "fp", "rows")
+
+
+def _both(docs: DataFrame, width: int, similarity: float, shingle: int = 5) -> DataFrame:
+    """docs with fp and the columns of their shingle sets, in one pass over the texts."""
+    often, count = shingle_join.common_shingles(docs, shingle)
 
     def make():
         def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [shingle_set(t, words).tobytes() for t in texts_of(batch)]
-            return [pa.array(map(signed_digest, found), pa.int64()), pa.array(found, pa.binary())]
+            words = [shingle_join.words_of(t) for t in texts_of(batch)]
+            fp = pa.array([fingerprint(w, width) for w in words], pa.int64())
+            return [fp, *shingle_join.set_columns(words, shingle, similarity, often, count)]
 
         return columns
 
-    need = rows.select("set_id").distinct().join(sets.select("set_id", "rep"), "set_id")
-    texts = docs.join(need.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text")
-    texts = append_columns(texts, [T.StructField("set_id", T.LongType()), T.StructField("shingles", T.BinaryType())], make, 100).drop("text")
-    texts = written(texts.join(need.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "shingles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                xs, ys = batch.column("x"), batch.column("y")
-                keep = []
-                for i in range(batch.num_rows):
-                    x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (xs, ys))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    if common >= similarity * (len(x) + len(y) - common):
-                        keep.append(i)
-                if keep:
-                    yield batch.select(["u", "v"]).take(pa.array(keep))
-
-        both = pairs.distinct().join(texts.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(texts.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.select("u", "v", "x", "y").mapInArrow(run, "u bigint, v bigint").distinct()
-
-    least, size = F.lit(similarity) * F.greatest("n", "hub_n") - 1e-9, F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("hub_n")) - 1e-9
-    fits = (F.least("n", "hub_n") >= least) & (F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) >= size)
-    stars = rows.where((F.col("component") != F.col("hub_component")) & fits)
-    stars = written(verified(stars.select(F.col("set_id").alias("a"), F.col("hub_set_id").alias("b"), F.col("component").alias("u"), F.col("hub_component").alias("v"))), "stars")
-
-    rows = rows.select("key", "place", "set_id", "n", "component").join(connected_components(stars).withColumnRenamed("component", "wider"), F.col("component") == F.col("node"), "left")
-    rows = split_hot(rows.select("key", "place", "set_id", "n", F.coalesce("wider", "component").alias("component")), ["key"], "set_id", most)
-    keys = ["key", "__i", "__j"]
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, runs in whole_runs(batches, keys):
-            of, component, n, place, r, ci, cj = (t.column(c).to_numpy() for c in ("set_id", "component", "n", "place", "__r", "__i", "__j"))
-            for a, b in pairs_in_runs(runs):
-                near = (component[a] != component[b]) & same_block(a, b, r, ci, cj)
-                a, b = a[near], b[near]
-                near = may_be_similar(n[a], place[a], n[b], place[b], similarity)
-                a, b = a[near], b[near]
-                if len(a):
-                    swap = of[a] > of[b]
-                    a, b = np.where(swap, b, a), np.where(swap, a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(of[a]), pa.array(of[b]), pa.array(component[a]), pa.array(component[b])], ["a", "b", "u", "v"])
-
-    rest = rows.repartition(*keys).sortWithinPartitions(*keys, "set_id").mapInArrow(pairs, "a bigint, b bigint, u bigint, v bigint")
-    return stars.unionByName(verified(rest))
+    return append_columns(docs, [T.StructField("fp", T.LongType()), *shingle_join.FIELDS], make, 100)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, text: str = "text", doc_id: str = "doc_id", similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id that links reach. Links are pairs within
-    radius bits and, with a similarity, pairs of at least that Jaccard similarity of five-word shingles (similar_links)."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fps = fingerprints(docs, width, "text", "fp")
-    fps = written((fps if similarity is None else with_prefixes(fps, similarity)).drop("text"), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    edges = links(nodes.where("rep IS NOT NULL"), radius)
-    if similarity is not None:  # equal shingle sets are one node from here on
-        of_set = fps.where("n > 0 AND doc_id IS NOT NULL").select("set_id", "fp").distinct().join(nodes, "fp").select("set_id", "rep")
-        edges = edges.unionByName(of_set.join(of_set.groupBy("set_id").agg(F.min("rep").alias("first")), "set_id").where("rep != first").select(F.col("rep").alias("u"), F.col("first").alias("v")))
-    components = connected_components(edges)
-    of_fp = nodes.join(components, nodes.rep == components.node, "left").select("fp", "rep", F.coalesce("component", "rep").alias("component"))
-    if similarity is not None:
-        of_fp = written(of_fp, "linked")
-        sets = fps.where("n > 0 AND doc_id IS NOT NULL").join(of_fp.select("fp", "component"), "fp")
-        sets = written(sets.groupBy("set_id").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.min("doc_id").alias("rep"), F.min("component").alias("component")), "sets")
-        wider = connected_components(similar_links(docs, sets, similarity)).withColumnRenamed("component", "wider")
-        of_fp = of_fp.join(wider, of_fp.component == wider.node, "left").withColumn("component", F.coalesce("wider", "component"))
-    of_fp = of_fp.select("fp", F.col("component").alias("component_id"))
-    return fps.select("doc_id", "fp").join(of_fp, "fp").select(
+    radius bits and, with a similarity, pairs of at least that Jaccard similarity of five-word shingles."""
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    of = groups(named if similarity is None else written(named, "texts"), width, radius, similarity)
+    smallest = of.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    return join_hot(of, smallest, "component", "rows").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )

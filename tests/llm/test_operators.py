@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsemill.llm import common, embedding_dedup, license_scan, packing, quality_ranking, quality_rules, queries, sentencepiece_codec, sharding, simhash, text_stats, token_counts, toxicity
+from pulsemill.llm import common, embedding_dedup, license_scan, packing, quality_ranking, quality_rules, queries, sentencepiece_codec, sharding, shingle_join, simhash, text_stats, token_counts, toxicity
 
 SF = "/root/testdata/sf0.001"
 MODEL = queries.vocabulary("piece_bpe_32k.model")
@@ -288,6 +288,43 @@ def test_links_lose_nothing(spark, blocks, most):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_null_ids_link_others(spark):
+    """A chain of fingerprints two bits apart, the middle one under a null id."""
+    near = simhash.signed
+    fp = {1: 0, None: 3, 2: 15}
+    nodes = spark.createDataFrame([(near(f), near(f)) for f in fp.values()], "fp long, rep long")
+    got = {r.node: r.component for r in common.connected_components(simhash.links(nodes)).collect()}
+    assert got == {0: 0, 3: 0, 15: 0}
+    t = " ".join(f"w{k}" for k in range(200))
+    rows = spark.createDataFrame([(None, t), (4, t), (3, t + " x"), (None, "other")], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(rows, similarity=0.8).collect()]
+    assert sorted(got, key=repr) == [(3, 3), (4, 3), (None, None), (None, None)]
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n, m, common_n = rng.integers(1, 900), rng.integers(1, 900), rng.integers(0, 500)
+        both = rng.integers(0, 1 << 64, common_n, np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 1 << 64, k, np.uint64)])) for k in (n, m))
+        bound = shingle_join.differing_bits([shingle_join.bitmap(a)], [shingle_join.bitmap(b)])[0]
+        assert bound <= len(np.setxor1d(a, b))
+
+
+def test_long_runs_come_in_parts():
+    """A shingle of very many sets is passed on whole, in parts; one of a single component is left out if it fits."""
+    import pyarrow as pa
+
+    key = np.repeat([1, 2, 3, 4], [3, 25, 4, 2])
+    component = np.r_[0, 0, 0, np.repeat([5, 6], [21, 4]), 1, 2, 1, 1, 9, 9]
+    cols = {"key": key, "place": key, "set_id": np.arange(len(key)), "n": key, "component": component}
+    batches = pa.table({k: pa.array(v.astype(np.int64)) for k, v in cols.items()}).to_batches(max_chunksize=4)
+    out = pa.Table.from_batches(list(shingle_join._shared(iter(batches), most=10)))
+    assert out.column("key").to_pylist() == [2] * 25 + [3] * 4
+    whole = [(t.num_rows, r[-1]) for t, r in common.whole_runs(iter(batches), ["key"])]
+    assert sum(n for n, _ in whole) == len(key)
+
+
 def plain_shingles(text, words=5):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
@@ -314,8 +351,8 @@ def test_similar_texts(spark, most, monkeypatch):
             texts[len(texts)] = " ".join(copy)
         half = base[: len(base) // 2] + [f"v{x}" for x in rng.integers(0, 3000, len(base) // 2)]
         texts[len(texts)] = " ".join(half)
-    inner = simhash.similar_links
-    monkeypatch.setattr(simhash, "similar_links", lambda *a, **k: inner(*a, most=most, **k))
+    inner = shingle_join.similar_links
+    monkeypatch.setattr(shingle_join, "similar_links", lambda *a, **k: inner(*a, most=most, **k))
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, similarity=0.8).collect()}
     fp = {d: plain_fingerprint(t) for d, t in texts.items()}

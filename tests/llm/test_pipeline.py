@@ -57,8 +57,22 @@ def test_odd_rows(spark):
         assert stage(spark, none, SF).count() == 0
 
 
+def words(prefix, n=60):
+    return " ".join(f"{prefix}{k}" for k in range(n))
+
+
+def as_documents(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
+
+
 def test_repeated_and_null_ids_stay_defined(spark):
-    t = " ".join(f"w{k}" for k in range(60))
-    rows = spark.createDataFrame([(1, t), (1, t), (2, t), (None, t), (3, t + " and more words here than before " * 9)], "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
-    got = sorted((r.doc_id is None, r.doc_id or 0) for r in corpus_pipeline.without_copies(spark, rows, SF).collect())
-    assert got == [(False, 1), (False, 3), (True, 0)]
+    t = words("w")
+    rows = as_documents(spark, [(1, t), (1, t), (2, t), (None, t), (3, t + " and more words here than before " * 9), (4, words("x")), (None, words("y"))])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text[0]) for r in corpus_pipeline.without_copies(spark, rows, SF).collect())
+    assert got == [(False, 1, "w"), (False, 4, "x"), (True, 0, "y")]  # row 3 shares 56 of 66 shingles with row 1
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark):
+    rows = as_documents(spark, [(5, words("a")), (5, words("b")), (6, words("a")), (7, words("b") + " end"), (None, words("c")), (8, words("c"))])
+    got = sorted((r.doc_id, r.text[0]) for r in corpus_pipeline.without_copies(spark, rows, SF).collect())
+    assert got == [(5, "a"), (5, "b"), (8, "c")]
