@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulsemill.llm import packing, quality_rules, simhash, toxicity
-from pulsemill.llm.common import table, written
+from pulsemill.llm.common import only, table, written
 from pulsemill.llm.queries import split_pattern, vocabulary
 
 
@@ -24,11 +25,15 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Groups are linked by op5's fingerprints and by five-word shingles of similarity 0.8. Of each, the document with the smallest doc_id stays; of rows with the same doc_id in a
-    group, one. Rows with a null doc_id can't be told apart from others, and stay."""
-    found = simhash.near_duplicates(docs, similarity=0.8).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """Groups are linked by op5's fingerprints and by five-word shingles of similarity 0.8. Of each, the row with the smallest
+    doc_id stays (a null one only if there is no other); of several such rows, the one that was written first. Rows go by a
+    number of their own, so rows with one doc_id and different texts are told apart."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    of = simhash.groups(numbered.select(F.col("__row").alias("row"), "doc_id", "text"), similarity=0.8)
+    of = written(of.select(F.col("row").alias("__row"), "doc_id", "component"), "groups")
+    first = of.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    copies = of.select("__row").join(first.select("first.__row"), "__row", "left_anti")
+    return only(numbered, copies, "__row", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
