@@ -63,12 +63,14 @@ def plain_license(text):
         at = [k for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
         places += at
         labels |= {label} if at else set()
-    more = set()
+    more, end, reach = set(), 0, license_scan.words_around(license_scan.TEMPLATES)
     for line in low.split("\n"):
-        have = set(find(line))
-        for label, t, key in license_scan.TEMPLATES:
-            if len(have & set(t.split())) >= 0.85 * len(set(t.split())) and set(key.split()) <= have:
-                more.add(label)
+        n = len(find(line))
+        end += n
+        for have in (set(words[end - n : end]), set(words[max(end - n, end - reach) : end + reach])) if n else ():
+            for label, t, threshold in license_scan.TEMPLATES:
+                if len(have & set(t.split())) >= threshold * len(set(t.split())):
+                    more.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more))
 
 
@@ -88,6 +90,17 @@ def test_license_scan_of_wrapped_notices(spark):
     assert {r.doc_id: r.labels for r in license_scan.scan(rows).collect()} == {0: "mit", 1: "bsd", 2: "cc0", 3: "bsd", 4: ""}
 
 
+def test_license_scan_near_misses(spark):
+    """A notice with one word replaced is over the threshold; other versions and licenses aren't, and template chunks don't matter."""
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this work and associated documentation files"
+    texts = [mit, "this work is licensed under the gnu general public license version 2", "licensed under the gnu license version 2.0", "copyright reserved", mit + " x" * 9000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {0: "mit", 1: "", 2: "", 3: "", 4: "mit"}
+    assert {r.doc_id: r.labels for r in license_scan.scan(rows).collect()} == want
+    assert {r.doc_id: r.labels for r in license_scan.scan(rows, chunk=2).collect()} == want
+    assert {r.doc_id: r.score for r in license_scan.scan(rows, chunk=4).collect()}[0] == 18 / 19
+
+
 def test_license_scan_is_native(spark, odd):
     plan = license_scan.scan(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
