@@ -454,6 +454,43 @@ def test_embeddings(spark, most):
     assert embedding_dedup.near_duplicates(v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [64, 100, 768])
+def test_codes_bound_the_cosine(d):
+    """The estimates are unbiased, and the bounds hold as often as they say."""
+    rng = np.random.default_rng(d)
+    base = rng.normal(size=(400, d))
+    x = np.concatenate([base, base + rng.normal(size=(400, d)) * rng.uniform(0.1, 2, (400, 1))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    code = embedding_dedup.Codes(embedding_dedup.Codes.pack(unit, 7), d)
+    a, b = np.arange(400), np.arange(400, 800)
+    true = (unit[a] * unit[b]).sum(axis=1)
+    assert abs((code.upper_bounds(a, b, 0.0) - true).mean()) < 0.02
+    assert (code.upper_bounds(a, b, 4.0) >= true).all() and (code.upper_bounds(a, b, 2.0) >= true).mean() > 0.95
+    far = code.upper_bounds(a, np.roll(a, 1), 4.0)
+    assert (far < 0.9).mean() > 0.99  # unrelated pairs are discarded
+
+
+@pytest.mark.parametrize("d", [256, 768])
+def test_embeddings_recall_by_dimension(spark, d):
+    """Pairs just over the threshold, the hardest ones, are found whatever the dimension."""
+    rng = np.random.default_rng(d)
+    n, cosine = 1500, 0.905
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.normal(size=(n, d))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(v).where("vec_id >= 1500 AND component_id = vec_id - 1500 AND n_links = 1").count()
+    assert got >= 0.95 * n
+
+
+def test_embeddings_repeated_ids(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (None, [1.0, 0.1])], "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(v).collect()), key=repr)
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 1, 1)]
+
+
 # ------------------------------------------------------------------ 7
 
 
