@@ -504,6 +504,39 @@ def test_round_robin_holds_the_mixture():
     assert early[-1].tolist() == [100, 900] and np.diff(early, axis=0)[0].tolist() == [25, 25] and (np.diff(early, axis=0)[:-1].sum(1) == 50).all()
 
 
+def test_tree_of_queues():
+    """Positions never fall, windows are full, quotas are held within the tree's depth, and all queues end together."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        totals = [int(x) for x in rng.choice([0, 1, 3, 50, 4000, 90_000], rng.integers(1, 40))]
+        sums, total = np.concatenate([[0], np.cumsum(totals)]), sum(totals)
+        paths = [packing.path_by_tokens(sums, k) for k in range(len(totals))]
+        at = np.array([[packing.dealt(p, min(n, total)) for p, t in zip(paths, totals, strict=True) if t] for n in range(0, total + 512, 512)])
+        if not at.size:
+            continue
+        size = np.array([t for t in totals if t])
+        assert (np.diff(at[:, :, 1], axis=0) >= 0).all() and (at[:, :, 1].sum(1) == np.minimum(np.arange(len(at)) * 512, total)).all()
+        assert at[-1, :, 1].tolist() == size.tolist() and (at[:, 1:, 0] == at[:, :-1, 0] + at[:, :-1, 1]).all()
+        ideal = np.minimum(np.arange(len(at)) * 512, total)[:, None] * size / total
+        assert np.abs(at[:, :, 1] - ideal).max() <= 0.5 * np.log2(len(totals) + 1) + 1
+
+
+def test_packing_many_sources(spark):
+    """More sources than are broadcast or than groups; every window of the large one holds its share."""
+    n = 200_000
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('source ', id) AS source", "'a' AS text")
+    rows = rows.unionByName(spark.range(n, n + 400).selectExpr("id AS doc_id", "'large' AS source", f"'{'word ' * 999}' AS text"))
+    pieces = packing.pack(rows, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_pattern(), with_ids=False)
+    pieces = common.written(pieces, "pieces")
+    got = pieces.agg(F.sum("length"), F.countDistinct("doc_id"), F.countDistinct("sequence_id"), F.max("sequence_id")).first()
+    assert got[1] == n + 400 and got[2] == got[3] + 1 == -(-got[0] // 1024)
+    by = pieces.groupBy("window").agg(F.sum("length").alias("all"), F.sum(F.expr("if(source = 'large', length, 0)")).alias("large")).orderBy("window").collect()
+    share = sum(r.large for r in by) / got[0]
+    assert all(r["all"] == 64 * 1024 for r in by[:-1]) and all(abs(r.large - share * r["all"]) <= 20 for r in by)
+    odd = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("starts"), F.count("*").alias("pieces"))
+    assert odd.where("n != end OR starts != pieces").count() == 0
+
+
 def check_pieces(pieces, ids):
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in pieces:
