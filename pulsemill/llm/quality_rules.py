@@ -7,8 +7,11 @@ rows it covers go, and the next one is grown. The list is emitted as one ordered
 
 Fitting takes at most `most` labelled rows (a parameter); the rules then hold for all rows, narrowly, without a shuffle.
 
-Edge cases: null and empty texts fail the base rule. Without labels, or where no rule is precise enough, only the base
-rule rejects. Rows are independent: nulls in other columns, repeated rows and extra columns don't matter.
+Edge cases: null and empty texts fail the base rule. Very long texts are judged whole. Without labels, or where no rule is
+precise enough, only the base rule rejects. Of conditions with the same gain the first one, in the order of the statistics, is taken; of rows
+that share a labelled id, one is learned from. A rule that covers no row of the pruning third has no evidence and ends the list. Rows are
+independent: nulls in other columns, repeated rows and extra columns don't matter; columns that have a result's name are
+replaced, unless a prefix keeps them apart. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import COUNTS, RATIOS, labelled_sample, with_stats
+from .text_stats import COUNTS, RATIOS, labelled_sample, one_each, with_stats
 
 Rule = list[tuple[str, str, float]]
 
@@ -71,7 +74,7 @@ def learn(x: dict[str, np.ndarray], y: np.ndarray, precision: float = 0.9, most_
             rule = rule[:-1]
         covered = _covers(rule, x) if rule else np.zeros(len(y), bool)
         hit = _covers(rule, prune) if rule else covered
-        if covered.sum() < least or (y & covered).sum() < precision * covered.sum() or hit.sum() and (y[~part] & hit).sum() < precision * hit.sum():
+        if covered.sum() < least or (y & covered).sum() < precision * covered.sum() or not hit.sum() or (y[~part] & hit).sum() < precision * hit.sum():
             break
         rules.append(rule)
         x, y = {k: v[~covered] for k, v in x.items()}, y[~covered]
@@ -79,7 +82,7 @@ def learn(x: dict[str, np.ndarray], y: np.ndarray, precision: float = 0.9, most_
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> list[Rule]:
-    rows = with_stats(labelled_sample(docs, labels, "quality", None, most), "__text").drop("__text").orderBy("__id").toPandas()
+    rows = one_each(with_stats(labelled_sample(docs, labels, "quality", None, most), "__text").drop("__text")).orderBy("__id").toPandas()
     if not len(rows):
         return []
     return learn({c: rows[c].to_numpy(float) for c in [*RATIOS, "n_words"]}, (rows["__y"] == 0).to_numpy())

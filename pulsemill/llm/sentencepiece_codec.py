@@ -12,6 +12,8 @@ repeated chunks are looked up. Very long chunks go through the same code, withou
 
 Edge cases: null and empty texts give the end id alone, and decode to the empty text. Characters outside the vocabulary
 become byte tokens. The space mark U+2581 in a text counts as a space, as in the library. Special strings are ordinary text.
+Very long texts are encoded whole. Repeated rows are encoded each. Other columns are carried along; one that has a result's name is
+replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ The matrix takes blocks x shards numbers: there are at most `most_blocks` blocks
 the driver and joined by block. Randomness is a hash with a seed of the rows' numbers in the written table, so a task that
 is run again gives the same rows the same shards.
 
-Edge cases: null texts have size 1 and crc32 0. Equal rows have numbers of their own. Rows with null ids are sharded like
-others. Extra columns are carried along. An empty table gives no rows.
+Edge cases: null texts have size 1 and crc32 0. Equal rows have numbers of their own, and ties in the random keys go by
+these. Rows with null ids and rows of any length are sharded like others. Extra columns are carried along; columns named
+shard or slot are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,6 +1,10 @@
 """Statistics of whole texts that the quality operators learn from, computed in one narrow Arrow pass.
 
-Words are `[^\\x20\\x09-\\x0D]+`. Edge cases: null and empty texts have no words and all statistics 0."""
+Words are `[^\\x20\\x09-\\x0D]+`. Besides general ratios there is the rate of each ASCII mark, none of them picked by hand.
+
+Edge cases: null and empty texts have no words and all statistics 0. Very long texts are read whole. Equal rows get equal
+statistics. Columns of the table that have a statistic's name are replaced, unless a prefix keeps them apart. An empty table
+gives no rows."""
 
 from __future__ import annotations
 
@@ -12,7 +16,9 @@ from pyspark.sql import types as T
 from .common import append_columns, texts_of
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-RATIOS = ["symbols_per_word", "dup_line_share", "repeat_share", "chars_per_word", "upper_share", "digit_share", "mark_share", "distinct_share", "top_word_share", "same_next_share", "pipe_per_word", "shout_share", "words_per_line"]
+RATIOS = ["symbols_per_word", "dup_line_share", "repeat_share", "chars_per_word", "upper_share", "digit_share", "mark_share", "distinct_share", "top_word_share", "same_next_share", "words_per_line"]
+MARKS = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]  # the ASCII characters that are marks
+RATIOS += [f"mark_{k}_per_word" for k in MARKS]
 SPACE, SYMBOLS = [9, 10, 11, 12, 13, 32], [ord(c) for c in "#*$%&|<>"]
 
 
@@ -50,7 +56,8 @@ def stats(text: str) -> tuple[list[int], list[float]]:
     mark = int(of[33:48].sum() + of[58:65].sum() + of[91:97].sum() + of[123:127].sum())
     return [n, points, symbols, dup, repeat], [
         symbols / n, dup / max(1, len(lines)), repeat / n, points / n, upper / max(1, upper + lower), digit / max(1, points), mark / max(1, points),
-        len(seen) / n, float(np.bincount(ids).max() / n), float((ids[1:] == ids[:-1]).sum() / n), int(of[124]) / n, int(of[33]) / n, n / max(1, len(lines)),
+        len(seen) / n, float(np.bincount(ids).max() / n), float((ids[1:] == ids[:-1]).sum() / n), n / max(1, len(lines)),
+        *(of[MARKS] / n).tolist(),
     ]
 
 
@@ -73,10 +80,23 @@ def with_stats(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFra
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: str | None, most: int) -> DataFrame:
     """docs (doc_id, text) with their label, for at most `most` labelled rows chosen by a hash of doc_id: the bounded
-    sample of labelled rows that a classifier may be fitted on. Labels are looked up by broadcast, bounded by `most`."""
+    sample of labelled rows that a classifier may be fitted on. Labels are looked up by broadcast, bounded by `most`. A doc_id
+    that docs repeats comes with each of its rows: one_each() leaves one of them before anything goes to the driver."""
     from pyspark.sql import functions as F
 
     ids = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col(label).cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
     ids = ids.where(where) if where else ids
     ids = ids.groupBy("__id").agg(F.min("__y").alias("__y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
     return docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(ids), "__id")
+
+
+def one_each(rows: DataFrame) -> DataFrame:
+    """One row for each __id, the smallest, so that a repeated id can't break the sample's bound."""
+    from pyspark.sql import functions as F
+
+    return rows.groupBy("__id").agg(F.min(F.struct(*[c for c in rows.columns if c != "__id"])).alias("__one")).select("__id", "__one.*")
+
+
+def inner_split(ids: np.ndarray, parts: int = 5) -> np.ndarray:
+    """Which training rows are set aside to choose settings on: one of so many parts, by a hash of the id."""
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(parts) == 0

@@ -1,11 +1,13 @@
 """Token counts: Arrow functions that return lengths only.
 
 Within an Arrow batch the texts are put together into library calls of about equal bytes, so that neither thousands of
-tiny calls nor one huge call decides the memory. A text over `split_bytes` is cut before a space that follows another
+tiny calls nor one huge call decides the memory. A text over `split_bytes` of UTF-8 is cut before a space that follows another
 character. No piece of the vocabulary crosses such a place (checked on loading), and the library puts a space mark before
 each call's text just where the space was; so the counts add up exactly.
 
-Edge cases: null and empty texts have 0 tokens. Equal texts are counted each. Only lengths leave the Python worker.
+Edge cases: null and empty texts have 0 tokens. Equal texts are counted each. A long run without a space isn't split. Only
+lengths leave the Python worker. Other columns are carried along; one that has the result's name is replaced. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ def safe_pieces(text: str, size: int) -> Iterator[str]:
     yield text[at:]
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", n_tokens: str = "n_tokens", batch_bytes: int = 1 << 20, split_bytes: int = 1 << 17) -> DataFrame:
     """docs with long `n_tokens`, without special tokens. Narrow: no shuffle."""
 
@@ -59,10 +65,12 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", n_tokens:
                 held = 0
 
             for k, whole in enumerate(texts_of(batch, text)):
-                for piece in safe_pieces(whole, split_bytes) if splits else (whole,):
+                size = n_bytes(whole)
+                cut = splits and size > split_bytes
+                for piece in safe_pieces(whole, max(1, split_bytes * len(whole) // size)) if cut else (whole,):
                     own.append(k)
                     waiting.append(piece)
-                    held += len(piece)
+                    held += n_bytes(piece) if cut else size
                     if held >= batch_bytes:
                         flush()
             if waiting:

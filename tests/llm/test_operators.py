@@ -202,6 +202,24 @@ def test_rules_are_learned_and_ordered(spark, odd, none):
     assert quality_rules.fit(none, spark.createDataFrame([], "doc_id long, quality int")) == []
 
 
+def test_judge_equals_plain_rules(spark):
+    """The emitted expression decides as the rules do, applied one by one, on every row."""
+    d = docs(spark)
+    rules = quality_rules.fit(d, common.table(spark, SF, "labels")) + [[("mark_44_per_word", ">=", 0.2), ("n_words", "<=", 90.0)], [("digit_share", ">=", 0.05)]]
+    for r in quality_rules.judge(d, rules).collect():
+        x = {c: r[c] for c in [*text_stats.RATIOS, *text_stats.COUNTS]}
+        hit = any(all(x[n] >= v if op == ">=" else x[n] <= v for n, op, v in rule) for rule in rules)
+        n, _, _, _, repeat = plain_stats(r.text)
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and r.kept == (not r.base_failed and not hit)
+
+
+def test_a_repeated_label_id_stays_one_row(spark):
+    rows = spark.range(5000).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    sample = text_stats.one_each(text_stats.with_stats(text_stats.labelled_sample(rows, labels, "quality", None, 100), "__text").drop("__text"))
+    assert sample.count() == 1
+
+
 def test_op3_keeps_good_and_rejects_bad(spark):
     got = queries.op3_quality_rules(spark, "/root/testdata/sf0.01")
     r = got.join(common.table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("n_words >= 50").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
@@ -223,9 +241,81 @@ def test_ranking(spark, odd, none):
     assert {r.s_score for r in quality_ranking.rank(odd, None, prefix="s_").collect()} == {0.5}
 
 
+def test_bradley_terry_equals_plain_descent():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 4))
+    y = (x @ [1.0, -2.0, 0.5, 0.0] + rng.normal(size=200) > 0).astype(int)
+    w = quality_ranking.bradley_terry(x, y, pairs=500, l2=3.0, seed=5)
+    draw = np.random.default_rng(5)
+    d = x[draw.choice(np.flatnonzero(y == 1), 500)] - x[draw.choice(np.flatnonzero(y == 0), 500)]
+    plain = np.zeros(4)
+    for _ in range(20_000):
+        plain += 0.002 * (d.T @ (1 / (1 + np.exp(d @ plain))) - 3.0 * plain)
+    assert np.abs(w - plain).max() < 1e-3
+
+
+def test_op10_scores_equal_plain_ones(spark):
+    model = quality_ranking.fit(docs(spark), common.table(spark, "/root/testdata/sf0.01", "labels"))
+    for r in quality_ranking.rank(docs(spark), model).collect():
+        x = text_stats.stats(r.text or "")[1]
+        s = sum(min(v, quality_ranking.CAP.get(c, 1.0)) * w for c, v, w in zip(text_stats.RATIOS, x, model["weights"], strict=True)) - model["cut"] + np.log(0.3 / 0.7)
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(s, -30, 30)))) < 1e-9
+
+
 # ------------------------------------------------------------------ 4
 
 
+def plain_ftrl(rows, alpha, beta, l1, l2, epochs, seed):
+    """Coordinate by coordinate, as published."""
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i, l1):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    rng = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for k in rng.permutation(len(rows)):
+            w = {int(i): weight(int(i), l1) for i in rows[k][0]} | {"one": weight("one", 0.0)}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - rows[k][1]
+            for i in w:
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return {i: weight(i, 0.0 if i == "one" else l1) for i in z}
+
+
+def test_ftrl_equals_plain():
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 60, 12)), 0) for _ in range(150)]
+    rows = [(f, int(7 in f or 11 in f)) for f, _ in rows]
+    at, weights, intercept = toxicity.ftrl(rows, bits=8, alpha=0.5, l1=0.7, epochs=2, seed=3)
+    want = plain_ftrl(rows, 0.5, 1.0, 0.7, 0.1, 2, 3)
+    assert abs(want.pop("one") - intercept) < 1e-9
+    assert {i: w for i, w in want.items() if w} == pytest.approx(dict(zip(at.tolist(), weights.tolist(), strict=True)))
+
+
+def test_scores_equal_plain_sums(spark, odd):
+    h = toxicity.Hasher()
+    words = ["the", "mit", "license", "word1"]
+    at = np.unique(np.concatenate([h.features(w) for w in words]))
+    weights = np.linspace(-1, 1, len(at))
+    by = dict(zip(at.tolist(), weights.tolist(), strict=True))
+    got = toxicity.score(odd, (at, weights, 0.25)).collect()  # odd has a column score, which is replaced
+    text = {repr(d): t for d, t, _, _ in ODD}
+    for r in got:
+        want = 0.25 + sum(by.get(int(f), 0.0) for f in set(h.features(text[repr(r.doc_id)] or "").tolist()))
+        assert abs(r.score - 1 / (1 + np.exp(-want))) < 1e-9
+
+
+def test_settings_are_chosen_on_rows_aside():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 4000, 80)), 0) for _ in range(300)]
+    rows = [(f, int(f.min() < 20)) for f, _ in rows]
+    aside = text_stats.inner_split(np.arange(300))
+    assert 30 < aside.sum() < 90 and toxicity.choose(rows, aside) in toxicity.SETTINGS
+    assert toxicity.choose(rows, np.zeros(300, bool)) == toxicity.SETTINGS[0]
+
+
 def test_toxicity(spark, odd, none):
     got = queries.op4_toxicity(spark, "/root/testdata/sf0.1")
     rows = got.join(common.table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").collect()
@@ -234,7 +324,7 @@ def test_toxicity(spark, odd, none):
     assert sum(toxic) / len(toxic) > 0.8 and sum(clean) / len(clean) < 0.01
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got.limit(500).collect())
     model = toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert all(r.score < 1e-9 for r in toxicity.score(odd.drop("score"), model).collect()) and toxicity.score(none, model).count() == 0
+    assert all(r.score < 1e-9 for r in toxicity.score(odd, model).collect()) and toxicity.score(none, model).count() == 0
 
 
 # ------------------------------------------------------------------ 5
@@ -595,7 +685,8 @@ def test_matrix_has_its_sums():
 
 
 def test_sharding(spark, odd, none):
-    got = sharding.shard(odd.select("doc_id", "text", "source"), 4, 3).collect()
+    got = sharding.shard(odd.withColumn("slot", F.lit("clash")), 4, 3).collect()  # odd has a column shard, too
+    assert sorted(repr(r.text) for r in got) == sorted(repr(t) for _, t, _, _ in ODD)
     by = collections.defaultdict(list)
     for r in got:
         by[r.shard].append(r.slot)
@@ -610,9 +701,24 @@ def test_sharding(spark, odd, none):
 
 
 def test_sharding_is_uniform(spark):
-    rows = spark.range(4000)
-    first = collections.Counter(r.shard for r in sharding.shard(rows, 8, 100).where("id < 1000").collect())
-    assert all(80 < first[s] < 170 for s in range(8))
+    """Chi-squares of shard by block of rows and of slot by shard, far from what a bias would give."""
+    got = sharding.shard(spark.range(16_000), 8, 500).collect()
+    part, shard, slot = (np.array(x) for x in zip(*((r.id // 2000, r.shard, r.slot * 8 // 2000) for r in got), strict=True))
+    for a, b in ((part, shard), (part, slot), (shard * 0 + np.array([r.id % 8 for r in got]), shard)):
+        table = np.zeros((8, 8))
+        np.add.at(table, (a, b), 1)
+        chi = ((table - 250) ** 2 / 250).sum()
+        assert 15 < chi < 110  # 49 degrees of freedom: beyond these in one of 100,000 draws
+
+
+def test_matrix_follows_the_hypergeometric_law():
+    """Frequencies of a cell of a small matrix against exact probabilities."""
+    from math import comb
+
+    draws = collections.Counter(int(sharding.matrix(np.array([4, 6]), 2, s)[0, 0]) for s in range(4000))
+    for k in range(5):
+        p = comb(5, k) * comb(5, 4 - k) / comb(10, 4)
+        assert abs(draws[k] / 4000 - p) < 4 * (p * (1 - p) / 4000) ** 0.5
 
 
 def test_digest_helper():
