@@ -167,10 +167,11 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int | N
         yield numbered(held)
 
 
-def pairs_in_runs(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs (i, j), i < j, within each run, a distance at a time, so that memory stays linear."""
+def pairs_in_runs(run: np.ndarray, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs (i, j), i < j, within each run, or those `reach` apart at most; a distance at a time, so that memory
+    stays linear."""
     live, o = np.arange(len(run)), 1
-    while True:
+    while reach is None or o <= reach:
         live = live[live + o < len(run)]
         live = live[run[live + o] == run[live]]
         if not len(live):

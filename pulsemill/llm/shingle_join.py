@@ -10,8 +10,8 @@ above. A bitmap has one or two bits a shingle; the larger of two is folded to th
 meet, so those that share a passage only never leave their task. Only pairs that the bound leaves open are compared shingle by shingle, and only their texts are read again. So no pair is linked below the similarity, and
 none at or above it is missed, whatever the size of the corpus.
 
-Of the sets that share a shingle, first each is compared with the first of them, which joins crowds of copies in
-linear time. Then all pairs that still lie in two components are, dealt out in blocks where a shingle has many sets.
+Of the sets that share a shingle, first each is compared with the first of them and with its neighbour in a random order
+of them, another one for each shingle; then, of those that still lie in two components, with a few more neighbours. This joins crowds of copies in linear time. Then all pairs that still lie in two components are, dealt out in blocks where a shingle has many sets.
 
 Edge cases: texts without a word have no set and are linked by nothing here; a text of fewer than five words is one
 shingle. Very long texts go through the same path. Equal sets are one set, which the caller sees to. An empty table, or one
@@ -153,10 +153,11 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle: those of a shingle that sets of several components share, with the first of these sets
-    and with how many there are (size). A run of `most` rows is passed on in parts, each with its own first set, none left out and size 0, so that memory is bounded."""
+    """Of rows sorted by shingle: those of a shingle that sets of several components share, with how many there are
+    (size), the first of them (hub) and another one (next). A run of `most` rows is passed on in parts, each with its own first set, none left out and size 0, so that memory is bounded."""
     parted = None
-    names = ["key", "place", "set_id", "n", "component", "size", "hub_place", "hub_set_id", "hub_n", "hub_component"]
+    names = ["key", "place", "set_id", "n", "component", "size"]
+    names += [f"{who}_{c}" for who in ("hub", "next") for c in ("place", "set_id", "n", "component")]
     for t, runs in whole_runs(batches, ["key"], most):
         key, component = t.column("key").to_numpy(), t.column("component").to_numpy()
         first = np.searchsorted(runs, runs)
@@ -170,8 +171,12 @@ def _shared(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
         keep = np.flatnonzero(several[runs])
         if len(keep):
             out = t.take(pa.array(keep)).combine_chunks()
-            hub = t.select(["place", "set_id", "n", "component"]).take(pa.array(first[keep])).combine_chunks()
-            columns = [*out.columns, pa.array(size[runs[keep]]), *hub.columns]
+            order = np.lexsort((np.random.default_rng(int(key[0]) & 0xFFFFFFFF).random(len(runs)), runs))
+            following = np.empty(len(runs), np.int64)
+            following[order] = np.r_[order[1:], order[-1:]]
+            following = np.where(runs[following] == runs, following, np.arange(len(runs)))  # the last one's neighbour is itself
+            others = [t.select(["place", "set_id", "n", "component"]).take(pa.array(at[keep])).combine_chunks() for at in (first, following)]
+            columns = [*out.columns, pa.array(size[runs[keep]]), *(c for o in others for c in o.columns)]
             yield from pa.Table.from_arrays(columns, names).combine_chunks().to_batches(10_000)
 
 
@@ -180,9 +185,9 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, width: in
     just what pairs of at least this similarity connect. docs (row, text) has the texts; a set's row is one with its text."""
     ship(docs.sparkSession)
     row = "key bigint, place int, set_id bigint, n int, component bigint"
-    hub = "size bigint, hub_place int, hub_set_id bigint, hub_n int, hub_component bigint"
+    others = "".join(f", {who}_place int, {who}_set_id bigint, {who}_n int, {who}_component bigint" for who in ("hub", "next"))
     rows = sets.select("set_id", "n", "prefix", "component").mapInArrow(_spread, row)
-    rows = rows.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_shared, f"{row}, {hub}")
+    rows = rows.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_shared, f"{row}, size bigint{others}")
     rows = written(rows, "shared")
 
     def is_open(n: np.ndarray, a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -226,39 +231,61 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, width: in
         exact = near.join(left, "a").join(right, "b").select("u", "v", "x", "y")
         return written(exact.mapInArrow(equal_enough, "u bigint, v bigint").distinct(), name)
 
-    least = F.lit(similarity) * F.greatest("n", "hub_n") - SLACK
-    size = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("hub_n")) - SLACK
-    left = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))
-    stars = rows.where((F.col("component") != F.col("hub_component")) & (F.least("n", "hub_n") >= least) & (left >= size))
-    stars = stars.select(F.col("set_id").alias("a"), F.col("hub_set_id").alias("b"), F.col("component").alias("u"), F.col("hub_component").alias("v"))
+    def with_other(who: str) -> DataFrame:
+        """Pairs (a, b, u, v) of each set and its hub or next one that the length and positional filters leave."""
+        n, place, set_id, component = (F.col(f"{who}_{c}") for c in ("n", "place", "set_id", "component"))
+        least = F.lit(similarity) * F.greatest("n", n) - SLACK
+        size = F.lit(similarity / (1 + similarity)) * (F.col("n") + n) - SLACK
+        fits = (F.least("n", n) >= least) & (F.least(F.col("n") - F.col("place"), n - place) >= size)
+        low = F.col("set_id") < set_id
+        pairs = rows.where((F.col("component") != component) & fits)
+        return pairs.select(
+            F.least("set_id", set_id).alias("a"), F.greatest("set_id", set_id).alias("b"),
+            F.when(low, F.col("component")).otherwise(component).alias("u"), F.when(low, component).otherwise(F.col("component")).alias("v"),
+        )
+
+    stars = with_other("hub").unionByName(with_other("next"))
     left, right = (sets.select(F.col("set_id").alias(k), F.col("bits").alias(x), F.col("n").alias(m)) for k, x, m in (("a", "x", "n"), ("b", "y", "m")))
     both = stars.distinct().join(left, "a").join(right, "b").select("a", "b", "u", "v", "x", "y", "n", "m")
     stars = verified(both.mapInArrow(open_pairs, "a bigint, b bigint, u bigint, v bigint"), "stars")
 
-    wider = connected_components(stars).select(F.col("node").alias("component"), F.col("component").alias("wider"))
-    now = sets.select("set_id", "bits", "component").join(wider, "component", "left").select("set_id", "bits", F.coalesce("wider", "component").alias("component"))
-    rows = rows.select("key", "place", "set_id", "n", "size").join(now, "set_id")
-    few = rows.where(F.col("size").between(1, most)).drop("size").withColumns({c: F.lit(0) for c in ("__r", "__i", "__j")})
-    many = rows.where(~F.col("size").between(1, most)).drop("size")
-    mixed = many.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    many = split_hot(many.join(mixed.select("key"), "key", "left_semi"), ["key"], "set_id", most)
     keys = ["key", "__i", "__j"]
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, runs in whole_runs(batches, keys):
-            of, component, n, place, r, ci, cj = (t.column(c).to_numpy() for c in ("set_id", "component", "n", "place", "__r", "__i", "__j"))
-            bits = t.column("bits").to_pylist()
-            for a, b in pairs_in_runs(runs):
-                near = (component[a] != component[b]) & same_block(a, b, r, ci, cj)
-                a, b = a[near], b[near]
-                near = may_be_similar(n[a], place[a], n[b], place[b], similarity)
-                a, b = a[near], b[near]
-                near = is_open(n[a].astype(np.int64) + n[b], [bits[k] for k in a], [bits[k] for k in b])
-                a, b = a[near], b[near]
-                if len(a):
-                    swap = of[a] > of[b]
-                    a, b = np.where(swap, b, a), np.where(swap, a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[a], of[b], component[a], component[b])], ["a", "b", "u", "v"])
-
-    rest = few.unionByName(many.select(few.columns)).repartition(*keys).sortWithinPartitions(*keys, "set_id")
-    return stars.unionByName(verified(rest.mapInArrow(pairs, "a bigint, b bigint, u bigint, v bigint").distinct(), "rest"))
+    def apart(edges: DataFrame) -> DataFrame:
+        """Rows of shingles that sets of several components share, after these edges, dealt out and sorted by shingle."""
+        wider = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+        now = sets.select("set_id", "bits", "component").join(wider, "component", "left")
+        now = now.select("set_id", "bits", F.coalesce("wider", "component").alias("component"))
+        own = rows.select("key", "place", "set_id", "n", "size").join(now, "set_id")
+        few = own.where(F.col("size").between(1, most)).drop("size").withColumns({c: F.lit(0) for c in ("__r", "__i", "__j")})
+        many = own.where(~F.col("size").between(1, most)).drop("size")
+        mixed = many.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        many = split_hot(many.join(mixed.select("key"), "key", "left_semi"), ["key"], "set_id", most)
+        return few.unionByName(many.select(few.columns)).repartition(*keys).sortWithinPartitions(*keys, "set_id")
+
+    def open_in_runs(reach: int | None):
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for t, runs in whole_runs(batches, keys):
+                if reach is not None:  # each set meets some others, different ones for each shingle
+                    order = np.lexsort((np.random.default_rng(len(runs)).random(len(runs)), runs))
+                    t, runs = t.take(pa.array(order)).combine_chunks(), runs[order]
+                of, component, n, place, r, ci, cj = (t.column(c).to_numpy() for c in ("set_id", "component", "n", "place", "__r", "__i", "__j"))
+                bits = t.column("bits").to_pylist()
+                for a, b in pairs_in_runs(runs, reach):
+                    near = (component[a] != component[b]) & same_block(a, b, r, ci, cj)
+                    a, b = a[near], b[near]
+                    near = may_be_similar(n[a], place[a], n[b], place[b], similarity)
+                    a, b = a[near], b[near]
+                    near = is_open(n[a].astype(np.int64) + n[b], [bits[k] for k in a], [bits[k] for k in b])
+                    a, b = a[near], b[near]
+                    if len(a):
+                        swap = of[a] > of[b]
+                        a, b = np.where(swap, b, a), np.where(swap, a, b)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[a], of[b], component[a], component[b])], ["a", "b", "u", "v"])
+
+        return pairs
+
+    pair = "a bigint, b bigint, u bigint, v bigint"
+    near = verified(apart(stars).mapInArrow(open_in_runs(8), pair).distinct(), "near")
+    edges = stars.unionByName(near)
+    return edges.unionByName(verified(apart(edges).mapInArrow(open_in_runs(None), pair).distinct(), "rest"))

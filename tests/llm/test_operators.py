@@ -424,6 +424,8 @@ def test_long_runs_come_in_parts():
     batches = pa.table({k: pa.array(v.astype(np.int64)) for k, v in cols.items()}).to_batches(max_chunksize=4)
     out = pa.Table.from_batches(list(shingle_join._shared(iter(batches), most=10)))
     assert out.column("key").to_pylist() == [2] * 25 + [3] * 4
+    of = dict(zip(range(len(key)), key.tolist(), strict=True))
+    assert all(of[h] == of[n] == k for k, h, n in zip(*(out.column(c).to_pylist() for c in ("key", "hub_set_id", "next_set_id")), strict=True))
     whole = [(t.num_rows, r[-1]) for t, r in common.whole_runs(iter(batches), ["key"])]
     assert sum(n for n, _ in whole) == len(key)
 
