@@ -133,9 +133,11 @@ def ui_length(hours: Column) -> Column:
     return F.when(r < 2, "低于2小时").when(r < 24, F.concat(h, F.lit("小时"))).when(r % 24 == 0, F.concat(d, F.lit("天"))).otherwise(F.concat(d, F.lit("天"), h, F.lit("小时")))
 
 
+# How users ask for all time.
 FORCE_ALL = r"(不要|不需要|去掉|取消).*(近期|最近|近来|最新)|全部时间|所有时间|不限时间|不限制时间|全量|不限范围|全部范围"
 # How users name a recent span, with its days.
 RECENT = [(r"(近一周|最近7天|近7天|本周)", 7), (r"(近两周|最近14天|近14天)", 14), (r"(近一月|最近30天|近30天|本月)", 30), (r"(近三月|最近90天|近90天)", 90), (r"(近半年|最近180天|近180天)", 180)]
+# Words that only refine the question before.
 MODIFIERS = r"(不要|不需要|去掉|取消|改为|改成|全部|所有|不限|不限制|近期|最近|近来|最新|时间|范围|只要|只看|仅|只|的|，|,|。|\s)"
 
 
@@ -162,14 +164,17 @@ def interaction_text(json: Column) -> Column:
     parts = []
     for k, n in names.items():
         v = F.get_json_object(json, f"$.{k}")
-        parts.append(F.when(~v.isin("", "0", "null", "false"), F.concat(F.lit(n), F.lit(" "), v)))
+        parts.append(F.when(~v.isin("", "0", "null", "false"), F.concat(F.lit(n), v)))
     return F.array_join(F.array_compact(F.array(*parts)), ", ")
 
 
 def tools_used(tools: Column) -> Column:
-    return F.concat(F.lit("（本次使用工具："), F.array_join(F.array_sort(F.array_distinct(tools)), "、"), F.lit("）"))
+    """What follows an answer: a blank line and the distinct tools in alphabetical order, or that there were none."""
+    names = F.array_join(F.array_sort(F.array_distinct(tools)), ", ")
+    return F.concat(F.lit("\n\n（本次使用工具："), F.when(F.coalesce(F.size(tools), F.lit(0)) > 0, names).otherwise("无"), F.lit("）"))
 
 
-def last_tool(history: Column) -> Column:
-    """The last tool that an answer's footer names."""
-    return F.element_at(F.split(F.regexp_extract(history, r"(?s).*（本次使用工具：([^）]*)）", 1), "[、,，]"), -1)
+def footer_tool(answer: Column) -> Column:
+    """Of the tools that an answer's footer names, the one that a question may refine: topic_query before topic_search."""
+    named = F.transform(F.split(F.regexp_extract(answer, r"本次使用工具：([^)）\n]+)", 1), ","), F.trim)
+    return F.when(F.array_contains(named, "topic_query"), "topic_query").when(F.array_contains(named, "topic_search"), "topic_search").otherwise("")

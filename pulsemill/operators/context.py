@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_LIMIT, CONTEXT_SAFETY
-from ..functions.text import token_estimate
+from ..functions.text import footer_tool, token_estimate
 
 
 def available_tokens(prompt, query, completion):
@@ -29,12 +29,21 @@ def message_tokens(messages: DataFrame) -> DataFrame:
 
 
 def history_text(messages: DataFrame, turns: int = 8) -> DataFrame:
-    """The last turns of each conversation as one text; blank ones are skipped."""
-    said = messages.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    last = said.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("rn") <= turns)
-    line = F.concat(F.when(F.col("role") == "assistant", "助手").otherwise("用户"), F.lit("："), F.trim("text"))
-    made = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(made, lambda x: x["line"]), "\n").alias("history"))
+    """The last turns of each conversation as one text. Blank ones count as turns but have no line."""
+    last = messages.withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("rn") <= turns)
+    said = F.trim(F.coalesce("text", F.lit("")))
+    speaker = F.when(F.lower(F.trim("role")) == "assistant", "助手").otherwise("用户")
+    line = F.when(said != "", F.concat(speaker, F.lit("："), said))
+    made = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("turn", line.alias("line")))))
+    lines = F.array_join(F.transform(made, lambda x: x["line"]), "\n")
+    return last.groupBy("conv_id").agg(F.when(lines != "", lines).otherwise("（无）").alias("history"))
+
+
+def last_tool(messages: DataFrame) -> DataFrame:
+    """conv_id, last_tool: that of the newest answer whose footer names one; empty without such an answer."""
+    tool = F.when(F.lower("role") == "assistant", footer_tool(F.coalesce("text", F.lit("")))).otherwise("")
+    newest = F.max_by(F.when(tool != "", tool), F.when(tool != "", F.col("turn")))
+    return messages.groupBy("conv_id").agg(F.coalesce(newest, F.lit("")).alias("last_tool"))
 
 
 def last_user_query(messages: DataFrame) -> DataFrame:

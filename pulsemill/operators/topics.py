@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed
 from ..constants import VIEW_FIELDS
 from ..functions.timex import hours_between
 
@@ -99,10 +100,17 @@ def keyword_rerank(topics: DataFrame, keywords: list[str]) -> DataFrame:
 def downselect(topics: DataFrame, ratio: float) -> DataFrame:
     """The hottest share of topics stays active, one at least; the others end, their heat 0 and last activity their first.
 
-    The rank is by a global sort in ranges with counts of the ranges before, not by one window over everything."""
-    n = topics.count()
-    keep = max(1, int(n * ratio))
-    edge = topics.orderBy(F.desc(F.coalesce("heat", F.lit(0.0))), "topic_id").offset(keep - 1).limit(1).select(F.coalesce("heat", F.lit(0.0)).alias("__h"), F.col("topic_id").alias("__id"))
+    The last one that stays is looked up in one range of a range partitioning: the sizes of the ranges before tell its rank in it."""
+    order = [F.desc("__h"), F.asc("__id")]
+    ranked = topics.select(F.coalesce("heat", F.lit(0.0)).alias("__h"), F.col("topic_id").alias("__id")).repartitionByRange(*order)
+    ranked = checkpointed(ranked.withColumn("__p", F.spark_partition_id()))
+    sizes = sorted((r["__p"], r["count"]) for r in ranked.groupBy("__p").count().collect())  # a row for each range
+    rank, here = max(1, int(sum(c for _, c in sizes) * ratio)), 0
+    for here, size in sizes:
+        if rank <= size:
+            break
+        rank -= size
+    edge = ranked.where(F.col("__p") == here).orderBy(*order).offset(rank - 1).limit(1).drop("__p")
     t = topics.crossJoin(F.broadcast(edge))
     h = F.coalesce("heat", F.lit(0.0))
     stays = (h > F.col("__h")) | ((h == F.col("__h")) & (F.col("topic_id") <= F.col("__id")))

@@ -421,7 +421,11 @@ def message_tokens(s, d):
     return context.message_tokens(A.read(s, d, "conversations"))
 
 
-@query(", l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE trim(coalesce(text, '')) <> '') SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN '助手' ELSE '用户' END || '：' || trim(text), chr(10) ORDER BY turn) AS history FROM l WHERE rn <= 8 GROUP BY conv_id")
+@query(
+    ", l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn, trim(coalesce(text, '')) AS said FROM conversations) "
+    "SELECT conv_id, coalesce(string_agg(CASE WHEN lower(trim(role)) = 'assistant' THEN '助手' ELSE '用户' END || '：' || said, chr(10) ORDER BY turn) FILTER (WHERE said <> ''), '（无）') AS history "
+    "FROM l WHERE rn <= 8 GROUP BY conv_id"
+)
 def history_format(s, d):
     return context.history_text(A.read(s, d, "conversations"))
 
@@ -666,17 +670,27 @@ def token_budget(s, d):
     return t.select("conv_id", context.available_tokens(F.col("tokens"), F.lit(0), F.lit(2000)).cast("bigint").alias("available"))
 
 
-@query("SELECT id, CASE id % 3 WHEN 0 THEN '转发 3, 点赞 7' WHEN 1 THEN '评论 12' ELSE '' END AS shown FROM core")
+@query("SELECT id, CASE id % 3 WHEN 0 THEN '转发' || (id % 7 + 1) || ', 点赞' || (id % 100 + 1) WHEN 1 THEN '评论12' ELSE '' END AS shown FROM core")
 def interaction_display(s, d):
     m = F.col("id") % 3
-    j = F.when(m == 0, '{"repost": 3, "comment": 0, "like": 7}').when(m == 1, '{"comment": "12"}').otherwise("{}")
+    counts = F.format_string('{"repost": %d, "comment": 0, "like": %d}', F.col("id") % 7 + 1, F.col("id") % 100 + 1)
+    j = F.when(m == 0, counts).when(m == 1, '{"comment": "12"}').otherwise("{}")
     return A.items(s, d).select("id", text.interaction_text(j).alias("shown"))
 
 
-@query("SELECT conv_id, '（本次使用工具：topic_query、topic_search）' AS footer, 'topic_search' AS last_tool FROM (SELECT DISTINCT conv_id FROM conversations)")
+@query(
+    ", m AS (SELECT conv_id, turn, role, CASE (conv_id + turn) % 4 WHEN 0 THEN [] WHEN 1 THEN ['topic_search'] WHEN 2 THEN ['topic_search', 'topic_query'] ELSE ['global_search'] END AS tools FROM conversations), "
+    "f AS (SELECT *, chr(10) || chr(10) || '（本次使用工具：' || CASE WHEN len(tools) = 0 THEN '无' ELSE array_to_string(list_sort(tools), ', ') END || '）' AS footer FROM m) "
+    "SELECT conv_id, max(footer) AS footer, coalesce(arg_max(CASE WHEN list_contains(tools, 'topic_query') THEN 'topic_query' ELSE 'topic_search' END, turn) "
+    "FILTER (WHERE role = 'assistant' AND (list_contains(tools, 'topic_query') OR list_contains(tools, 'topic_search'))), '') AS last_tool FROM f GROUP BY conv_id"
+)
 def tool_footer(s, d):
-    f = text.tools_used(F.array(F.lit("topic_search"), F.lit("topic_query"), F.lit("topic_search")))
-    return A.read(s, d, "conversations").select("conv_id").distinct().select("conv_id", f.alias("footer"), text.last_tool(F.concat(F.lit("a\n"), f, F.lit(" b"))).alias("last_tool"))
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    search, both = F.array(F.lit("topic_search"), F.lit("topic_search")), F.array(F.lit("topic_search"), F.lit("topic_query"))
+    tools = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, search).when(k == 2, both).otherwise(F.array(F.lit("global_search")))
+    said = A.read(s, d, "conversations").withColumn("footer", text.tools_used(tools))
+    answers = said.withColumn("text", F.concat(F.coalesce("text", F.lit("")), "footer"))
+    return said.groupBy("conv_id").agg(F.max("footer").alias("footer")).join(context.last_tool(answers), "conv_id")
 
 
 @query("SELECT id, CASE id % 3 WHEN 0 THEN 'A' || id WHEN 1 THEN 'V' || id END AS doc FROM core")

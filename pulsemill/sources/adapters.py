@@ -91,6 +91,6 @@ heat AS (SELECT *, CASE WHEN s > 0 THEN x / s ELSE x END AS heat_normalized FROM
 t0 AS (SELECT topic_id, min(fetched_at) AS first_seen, max(fetched_at) AS last_active, count(*) AS intensity_total, round(sum(heat_normalized), 9) AS heat, min(id) AS first_id FROM heat GROUP BY topic_id),
 topics AS (SELECT t0.*, CASE topic_id % 3 WHEN 0 THEN 'entertainment' WHEN 1 THEN 'current_affairs' ELSE 'sports_esports' END AS category, CASE WHEN topic_id % 5 = 0 THEN 'ended' ELSE 'active' END AS status,
   substr(d.text, 1, 60) AS title, epoch(last_active - first_seen) / 3600.0::DOUBLE AS hours FROM t0 CROSS JOIN nd LEFT JOIN documents d ON d.doc_id = first_id % nd.n),
-summaries AS (SELECT doc_id AS id, doc_id % (SELECT count(DISTINCT user_id) FROM events) AS topic_id, substr(text, 1, 300) AS content, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS generated_at FROM documents),
+summaries AS (SELECT doc_id AS id, doc_id % (SELECT count(DISTINCT user_id) FROM events) AS topic_id, text AS content, TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(doc_id AS INTEGER)) AS generated_at FROM documents),
 vectors AS (SELECT vec_id AS id, CASE WHEN vec_id % 2 = 0 THEN 'topic_summary' ELSE 'source_item' END AS object_type, label AS grp, CAST(embedding AS DOUBLE[]) AS x, vec_id % 97 AS topic_id FROM embeddings)
 """

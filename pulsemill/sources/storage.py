@@ -10,23 +10,35 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that spark.checkpoint.dir names; where that is unset, a folder of our own."""
+    """df cut from its lineage, in the folder that spark.checkpoint.dir names; where that is unset, on one machine only, a
+    folder of our own."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsemill-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsemill-"))
     return df.checkpoint()
 
 
 class Store:
-    """Tables under a folder of any file system that Spark writes. A table is a folder of snapshots and a one-row table that
-    names the current one; readers see a snapshot or the next one, never half of it."""
+    """Tables under a folder of any file system that Spark writes. A table is a folder of snapshots and of empty marker files,
+    named by number and snapshot; the highest marker counts. A snapshot is written whole before its marker is created, so
+    readers and crashes see a snapshot or the next one, never none or half of it. The last KEPT snapshots stay for readers.
+    Appends go into the current snapshot."""
+
+    KEPT = 3
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _markers(self, name: str) -> list[str]:
+        fs, path = self._fs(f"{self.root}/{name}/markers")
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
     def _current(self, name: str) -> str | None:
-        fs, path = self._fs(f"{self.root}/{name}/current")
-        return self.spark.read.text(f"{self.root}/{name}/current").first()[0] if fs.exists(path) else None
+        markers = self._markers(name)
+        return markers[-1].partition("-")[2] if markers else None
 
     def _fs(self, where: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
@@ -42,7 +54,14 @@ class Store:
         version = uuid.uuid4().hex
         w = df.write.partitionBy(*partition_by) if partition_by else df.write
         w.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{name}/current")
+        markers = self._markers(name)
+        number = int(markers[-1].partition("-")[0]) + 1 if markers else 0
+        fs, path = self._fs(f"{self.root}/{name}/markers/{number:012d}-{version}")
+        if not fs.createNewFile(path):
+            raise RuntimeError(f"{name} was written at the same time")
+        for old in markers[: max(0, len(markers) + 1 - self.KEPT)]:
+            fs.delete(self._fs(f"{self.root}/{name}/markers/{old}")[1], False)
+            fs.delete(self._fs(f"{self.root}/{name}/{old.partition('-')[2]}")[1], True)
 
     def append(self, name: str, df: DataFrame) -> None:
         if self.exists(name):
@@ -58,7 +77,7 @@ class Store:
         self.replace(name, self.read(name).join(victims.select(*keys).distinct(), keys, "left_anti"))
 
     def replace_days(self, name: str, df: DataFrame, day: str = "day") -> None:
-        """Rewrites only the days that df has."""
+        """The days that df has are replaced; the others are carried into the new snapshot."""
         self.replace(name, self.read(name).join(df.select(day).distinct(), day, "left_anti").unionByName(df) if self.exists(name) else df, [day])
 
     def clear(self, name: str) -> None:

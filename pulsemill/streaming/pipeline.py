@@ -74,7 +74,8 @@ TOPICS = "topic_id long, title string, first_seen timestamp_ntz, last_active tim
 
 
 def run_period(spark: SparkSession, store: Store, period: str) -> dict[str, int]:
-    """Both stages for one period, over the store's tables; run again, it changes nothing. Returns what a run log keeps."""
+    """Both stages for one period, over the store's tables; run again, also after it failed between two writes, it changes
+    nothing more: nodes are upserted first, and a topic's intensity is how many nodes it has. Returns what a run log keeps."""
     items = store.read("items")
     log = {"late": late(items.where("merge_status = 'pending_event_merge'"), period)[1].count()}
     events = checkpointed(merge_events(items.where(F.col("period") == period)))
@@ -87,7 +88,9 @@ def run_period(spark: SparkSession, store: Store, period: str) -> dict[str, int]
         status = F.when(F.col("merge_status") == "pending_global_merge", "merged").otherwise(F.col("merge_status"))
         done = items.drop("merge_status").join(events.select("id", status.alias("merge_status")), "id").select(items.columns)
         store.upsert("nodes", nodes, ["topic_id", "item_id"])
-        store.replace("topics", merged)
+        counted = store.read("nodes").groupBy("topic_id").agg(F.count("*").alias("__n"))
+        counted = merged.join(counted, "topic_id", "left").withColumn("intensity_total", F.coalesce("__n", "intensity_total"))
+        store.replace("topics", counted.select(merged.columns))
         store.upsert("period_heat", events.join(placed, "group_id").groupBy("topic_id", "period").agg(F.sum("heat_normalized").alias("heat"), F.count("*").alias("source_count")), ["topic_id", "period"])
         store.upsert("items", done, ["id"])
         log["topics"] = merged.count()

@@ -163,6 +163,30 @@ def state(store):
     return sorted((r.topic_id, r.intensity_total, str(r.last_active)) for r in store.read("topics").collect())
 
 
+@pytest.mark.parametrize("failing", [1, 2, 3, 4])
+def test_a_failed_period_counts_once(spark, tmp_path, failing):
+    """A run that fails before its first to fourth write, and is run again, leaves what one run leaves."""
+    class Fails(Store):
+        writes = 0
+
+        def replace(self, name, df, partition_by=None):
+            Fails.writes += 1
+            if Fails.writes == failing:
+                raise OSError("lost")
+            super().replace(name, df, partition_by)
+
+    whole, broken = Store(spark, str(tmp_path / "whole")), Store(spark, str(tmp_path / "broken"))
+    for s in (whole, broken):
+        s.append("items", some_items(spark, "2024-01-01_AM", "2024-01-01 11:00:00", 1))
+    pipeline.run_period(spark, whole, "2024-01-01_AM")
+    with pytest.raises(OSError):
+        pipeline.run_period(spark, Fails(spark, str(tmp_path / "broken")), "2024-01-01_AM")
+    pipeline.run_period(spark, broken, "2024-01-01_AM")
+    for name in ("topics", "nodes", "period_heat", "items"):
+        a, b = (s.read(name) for s in (whole, broken))
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+
+
 def test_two_periods(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.append("items", some_items(spark, "2024-01-01_AM", "2024-01-01 11:00:00", 1))
