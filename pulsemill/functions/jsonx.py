@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import after_think
+
 INTERACTIONS = ["repost", "comment", "like", "view", "favorite"]
 
 
@@ -47,3 +49,31 @@ def resolve_target(raw: Column, candidates: Column) -> Column:
     """The candidate that a model's answer means: its id, or its place in the list from 1; else null."""
     n = F.regexp_extract(raw, r"(\d+)", 1).try_cast("bigint")
     return F.when(F.array_contains(candidates, n), n).when(n >= 1, F.try_element_at(candidates, F.when(n <= F.size(candidates), n).otherwise(F.size(candidates) + 1).cast("int")))
+
+
+def incremental_answer(c: Column) -> tuple[Column, Column]:
+    """(needs_update, summary) of a model's answer about a topic's new items: a JSON object, alone or within a text, asks for
+    an update unless it says otherwise; of a broken one the summary counts; anything else asks for none."""
+    t = after_think(F.coalesce(c, F.lit("")))
+    whole = lenient_json(t)
+    j = F.when(whole.startswith("{"), whole)
+    part = F.regexp_extract(t, r'"updated_summary"\s*:\s*"([^"]+)"', 1)
+    needs = F.when(j.isNotNull(), F.coalesce(F.get_json_object(j, "$.needs_update") != "false", F.lit(True))).otherwise(part != "")
+    mended = F.replace(F.replace(part, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+    return needs, F.when(j.isNotNull(), F.coalesce(F.get_json_object(j, "$.updated_summary"), F.lit(""))).otherwise(mended)
+
+
+def first_number(json: Column) -> Column:
+    """The first value of a JSON object that reads as a finite number; empty texts, null and false read as 0, true as 1."""
+    values = F.map_values(F.from_json(json, "map<string,string>"))
+    number = lambda v: F.when(v.isNull() | (F.trim(v) == "") | (v == "false"), 0.0).when(v == "true", 1.0).otherwise(F.trim(v).try_cast("double"))
+    finite = F.filter(F.transform(values, number), lambda n: n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")))
+    return F.try_element_at(finite, F.lit(1))
+
+
+def merged_intent(base: Column, override: Column) -> Column:
+    """Structs (intent, keywords, platforms, since, until): what the override names wins, field by field; empty lists and
+    texts name nothing, and blank words are left out."""
+    words = lambda k: F.when(F.size(override[k]) > 0, F.filter(override[k], lambda w: F.trim(w) != "")).otherwise(base[k]).alias(k)
+    one = lambda k: F.coalesce(F.nullif(override[k], F.lit("")), base[k]).alias(k)
+    return F.struct(one("intent"), words("keywords"), words("platforms"), one("since"), one("until"))

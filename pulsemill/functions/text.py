@@ -133,6 +133,24 @@ def ui_length(hours: Column) -> Column:
     return F.when(r < 2, "低于2小时").when(r < 24, F.concat(h, F.lit("小时"))).when(r % 24 == 0, F.concat(d, F.lit("天"))).otherwise(F.concat(d, F.lit("天"), h, F.lit("小时")))
 
 
+def embedding_input(title: Column, summary: Column) -> Column:
+    """What is embedded of an item: its normalised title and its summary."""
+    return F.concat(normalize_title(F.coalesce(title, F.lit(""))), F.lit(" "), F.coalesce(summary, F.lit("")))
+
+
+def span_text(hours: Column) -> Column:
+    """A span of hours, as the classifier is told: days only where there are some, unknown for null."""
+    d, h = F.floor(hours / 24), F.floor(hours - 24 * F.floor(hours / 24))
+    some = F.concat(F.when(d > 0, F.concat(d.cast("string"), F.lit("天"))).otherwise(""), h.cast("string"), F.lit("小时"))
+    return F.when(hours.isNull(), "未知").otherwise(some)
+
+
+def ui_days_hours(hours: Column) -> Column:
+    """As the home page shows it: whole hours, rounded half up, with days only where there are some."""
+    r = F.greatest(F.floor(hours + 0.5), F.lit(0))
+    return F.when(hours.isNull() | F.isnan(hours), "—").otherwise(span_text(r))
+
+
 # How users ask for all time.
 FORCE_ALL = r"(不要|不需要|去掉|取消).*(近期|最近|近来|最新)|全部时间|所有时间|不限时间|不限制时间|全量|不限范围|全部范围"
 # How users name a recent span, with its days.

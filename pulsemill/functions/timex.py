@@ -38,3 +38,33 @@ def date_range(q: Column, as_of: Column) -> tuple[Column, Column]:
     end = F.when(one.isNotNull(), F.date_sub(as_of, one)).when(days.isNotNull() | word("本周"), as_of).when(word("上周"), F.date_sub(monday, 1))
     some = F.size(dates) > 0
     return F.when(some, F.array_min(dates)).otherwise(start), F.when(some, F.array_max(dates)).otherwise(end)
+
+
+def parsed_date(c: Column, end_of_day: bool = False) -> Column:
+    """The date that a text like 2024-01-31 names, at its first or last second; null for other texts."""
+    day = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(c, "yyyy-M-d")).cast("timestamp_ntz")
+    return day + F.expr("INTERVAL 86399 SECONDS") if end_of_day else day
+
+
+def to_local(ts: Column, zone: str = "Asia/Shanghai") -> Column:
+    """Wall-clock time in the zone of a time in UTC."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
+
+
+def to_utc(ts: Column, zone: str = "Asia/Shanghai") -> Column:
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+
+
+def from_unix(seconds: Column, zone: str = "Asia/Shanghai") -> Column:
+    """Wall-clock time in the zone of a count of seconds since 1970, whatever the session's time zone is."""
+    return to_local(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)")), zone)
+
+
+def relative_day(ts: Column, as_of: Column) -> Column:
+    """How long ago, for readers: in whole days of 24 hours, beyond a week the date and half of the day."""
+    # The words for the last three days and for days ago.
+    today, yesterday, before, ago = "今天", "昨天", "前天", "天前"
+    days = F.floor(F.floor(hours_between(ts, as_of)) / 24)
+    date = F.concat(F.date_format(ts, "yyyy/MM/dd "), F.when(F.hour(ts) < 12, "am").otherwise("pm"))
+    near = F.when(days < 1, today).when(days == 1, yesterday).when(days == 2, before).when(days < 7, F.concat(days.cast("string"), F.lit(ago)))
+    return F.when(ts.isNull(), "—").otherwise(F.coalesce(near, date))

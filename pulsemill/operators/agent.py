@@ -5,18 +5,22 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.timex import hours_between, ts_text
 from ..providers import ChatModel, StubChat, hashed_vector
 from . import search
 from . import topics as T
 
 FALLBACK = "抱歉，暂时无法回答这个问题。"
-# Words that tell what a question wants.
+# Words that tell what a question wants.
 INTENTS = {"compare": ["对比", "比较", "区别"], "analysis": ["分析", "趋势", "为什么", "原因"], "query": ["多少", "哪些", "排行", "列表", "最热", "最新"], "search": ["搜索", "查找", "关于", "相关"]}
+# Words that shape a question and say nothing where a run of characters begins or ends.
+SHAPING = ["的", "有", "了", "是", "主题", "话题"]
 
 TOOLS = [
     {"name": "topic_query", "parameters": {"fields": "array", "filters": "object", "order": "string", "limit": "integer"}},
@@ -31,7 +35,9 @@ def plan(question: str) -> list[dict]:
     rest = question
     for w in sorted([*K.STOPWORDS, *K.PLATFORM_ALIASES, *(w for ws in INTENTS.values() for w in ws)], key=lambda w: (-len(w), w)):
         rest = rest.replace(w, " ")
-    words = list(dict.fromkeys(re.findall(r"[A-Za-z0-9]{2,}|[一-鿿]{2,}", rest)))[:8]
+    edges = "|".join(SHAPING)
+    runs = [re.sub(f"^(?:{edges})+|(?:{edges})+$", "", w) for w in re.findall(r"[A-Za-z0-9]{2,}|[一-鿿]{2,}", rest)]
+    words = list(dict.fromkeys(w for w in runs if len(w) > 1))[:8]
     if intent == "chat":
         return []
     if intent == "query":
@@ -57,6 +63,7 @@ def chunks(context: DataFrame) -> DataFrame:
     text = (
         F.when(F.col("type") == "summary", say("【主题摘要】\n", c("content")))
         .when(F.col("type") == "node", say(F.col("pos").cast("string"), ". [", F.coalesce("platform", F.lit("未知")), "] ", c("at"), "\n   ", c("title"), "\n   ", F.substring(c("summary"), 1, 200)))
+        .when(F.col("type") == "topic_overview", say("【主题概览】", c("title"), "\n时间范围: ", c("at"), "\n来源平台: ", F.coalesce(F.nullif("platform", F.lit("")), F.lit("未知")), F.when(c("summary") != "", say("\n摘要: ", c("summary"))).otherwise("")))
         .when(F.col("type") == "topic_summary", say("【主题：", c("title"), "】\n", c("summary")))
         .otherwise(c("content"))
     )
@@ -71,6 +78,90 @@ def topic_context(topic_id: int, summaries: DataFrame, items: DataFrame, n: int
     return chunks(s.unionByName(i)).orderBy("pos")
 
 
+def global_topics(topics: DataFrame, items: DataFrame, vectors: DataFrame, q: list[float], keywords: list[str], platforms: list[str] | None = None, top_k: int = 10, most: int = 5) -> DataFrame:
+    """(topic_id, rank) for a question about no topic in particular: keyword hits, newest first, then vector hits, nearest
+    first, or else the newest topics; top_k at most. Of these the ones on the platforms, if any are; those with most keywords
+    first, and none if no title has any. Windows and joins are over at most 2 x top_k rows."""
+    far = F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
+    newest = topics.where("status = 'active'").orderBy(F.desc("last_active"), "topic_id").limit(top_k)
+    dated = lambda t, o: t.select("topic_id", F.lit(o).alias("o"), hours_between(F.col("last_active"), far).alias("k"))
+    hits = search.topics_lenient(vectors, q, top_k).select("topic_id", F.lit(1).alias("o"), F.col("distance").alias("k"))
+    if keywords:
+        hits = dated(T.keyword_search(topics, keywords, limit=top_k), 0).unionByName(hits)
+    best = search.or_else(hits, dated(newest, 2)).groupBy("topic_id").agg(F.min(F.struct("o", "k", "topic_id")).alias("s")).orderBy("s").limit(top_k)
+    found = topics.join(F.broadcast(best), "topic_id")
+    if platforms:
+        found = search.or_else(T.on_platforms(found, items, platforms), found)
+    found = T.reranked(found, keywords, [F.asc("s")])
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "s"))).where(F.col("rank") <= most).select("topic_id", "rank")
+
+
+def global_context(ranked: DataFrame, topics: DataFrame, summaries: DataFrame, items: DataFrame, platforms: list[str] | None = None) -> DataFrame:
+    """For each topic of a short list (topic_id, rank): an overview, its newest summary, its newest item (on the platforms)."""
+    few = F.broadcast(ranked)
+    mine = items.join(few, "topic_id")
+    t = topics.join(few, "topic_id").join(T.newest_summary(summaries.join(few, "topic_id", "left_semi")).select("topic_id", "content"), "topic_id", "left")
+    t = t.join(mine.groupBy("topic_id").agg(F.array_join(F.array_sort(F.collect_set("platform")), " / ").alias("on")), "topic_id", "left")
+    none = F.lit(None).cast("string")
+    span = F.concat(ts_text(F.col("first_seen")), F.lit(" - "), ts_text(F.col("last_active")))
+    over = t.select("topic_id", "rank", F.lit(1).alias("k"), F.lit("topic_overview").alias("type"), "title", F.col("content").alias("summary"), F.col("on").alias("platform"), span.alias("at"))
+    told = t.where("content IS NOT NULL").select("topic_id", "rank", F.lit(2).alias("k"), F.lit("topic_summary").alias("type"), "title", F.col("content").alias("summary"), none.alias("platform"), none.alias("at"))
+    mine = mine.where(F.col("platform").isin(platforms)) if platforms else mine
+    node = T.latest(mine, "topic_id", [F.desc("fetched_at"), F.desc("id")]).select(
+        "topic_id", "rank", F.lit(3).alias("k"), F.lit("node").alias("type"), "title", "summary", "platform", F.date_format("fetched_at", "yyyy-MM-dd HH:mm").alias("at")
+    )
+    rows = over.unionByName(told).unionByName(node).withColumn("pos", F.row_number().over(Window.orderBy("rank", "k")))
+    return chunks(rows.withColumn("content", none)).select("pos", "topic_id", "type", "chunk").orderBy("pos")
+
+
+def execute(calls: list[dict], question: str, topics: DataFrame, summaries: DataFrame, items: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
+    """(pos, topic_id, chunk): what the tools find, in the order of the calls; a search for the question where they find nothing.
+    An unknown tool is refused."""
+    told = T.newest_summary(summaries).select("topic_id", F.col("content").alias("summary"))
+
+    def searched(k: int, **args) -> DataFrame:
+        r = topic_search(topics, items, vectors, question, limit=limit, **args)
+        r = r.join(told, "topic_id", "left").withColumn("__r", F.row_number().over(Window.orderBy(F.desc("hours"), "topic_id")))
+        return r.select(F.lit(k).alias("k"), "__r", "topic_id", F.lit("topic_summary").alias("type"), "title", "summary", *[F.lit(None).cast("string").alias(c) for c in ("platform", "at", "content")])
+
+    def queried(k: int, platforms=None, title_contains=None, order="last_active_desc") -> DataFrame:
+        r = T.topic_query(T.item_view(topics, summaries, items), platforms=platforms or None, title_contains=title_contains, order=order, limit=limit)
+        r = r.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("last_active"), "topic_id")))
+        at = F.date_format("last_active", "yyyy-MM-dd HH:mm")
+        return r.select(F.lit(k).alias("k"), "__r", "topic_id", F.lit("node").alias("type"), "title", F.col("item_summary").alias("summary"), F.col("item_platform").alias("platform"), at.alias("at"), F.lit(None).cast("string").alias("content"))
+
+    tools = {"topic_search": searched, "topic_query": queried}
+    if unknown := {c["tool"] for c in calls} - set(tools):
+        raise ValueError(f"no such tool: {', '.join(sorted(unknown))}")
+    found = [tools[c["tool"]](k, **c["args"]) for k, c in enumerate(calls)]
+    default = searched(len(calls), keywords=[])
+    rows = search.or_else(reduce(DataFrame.unionByName, found), default) if found else default
+    rows = rows.withColumn("pos", F.row_number().over(Window.orderBy("k", "__r")))  # a few top lists
+    return chunks(rows).select("pos", "topic_id", "chunk").orderBy("pos")
+
+
+def footer(tools: list[str]) -> str:
+    """What follows an answer: the tools that were used."""
+    return f"\n\n（本次使用工具：{', '.join(sorted(set(tools))) or '无'}）"
+
+
+def respond(question: str, topics: DataFrame, summaries: DataFrame, items: DataFrame, vectors: DataFrame, model: ChatModel | None = None, mode: str = "global", topic_id: int | None = None) -> dict:
+    """An answer: in topic mode from one topic's context; in global mode the plan's tools are run and their results are the
+    context; small talk goes to the model as it is."""
+    if mode not in ("global", "topic") or (mode == "topic") != (topic_id is not None):
+        raise ValueError("mode is global, or topic with a topic_id")
+    if mode == "topic":
+        return ask(question, topic_context(topic_id, summaries, items), model)
+    calls = plan(question)
+    if calls:
+        got = ask(question, execute(calls, question, topics, summaries, items, vectors), model)
+    else:
+        said = (model or StubChat()).complete([{"role": "user", "content": question}])
+        got = {"answer": said["content"] or FALLBACK, "citations": [], "diagnostics": {"chunks": 0, **said["usage"]}}
+    names = [c["tool"] for c in calls]
+    return {**got, "answer": got["answer"] + footer(names), "diagnostics": {**got["diagnostics"], "tools": names}}
+
+
 def strip_stream(parts: Iterator[str]) -> Iterator[str]:
     """Parts of a text without what stands between think tags, also where a tag is cut between parts."""
     held, hidden = "", False

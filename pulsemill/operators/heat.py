@@ -50,3 +50,16 @@ def running_peak(heats: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(p) for p in PERIOD_ORDER]), F.col("slot"))
     w = Window.partitionBy("topic_id").orderBy("day", order).rowsBetween(Window.unboundedPreceding, 0)
     return heats.withColumn("peak_so_far", F.max("heat").over(w))
+
+
+def add_groups(groups: DataFrame) -> DataFrame:
+    """Of groups (topic_id, period, seq, heat, source_count) that join topics one by one: a topic's heat in a period is what
+    the last group left, and its sources add up."""
+    g = groups.groupBy("topic_id", "period").agg(F.max_by("heat", "seq").alias("heat"), F.sum("source_count").alias("source_count"))
+    return g.select("topic_id", "period", "heat", "source_count")
+
+
+def raised_peaks(topics: DataFrame, period_heat: DataFrame) -> DataFrame:
+    """(topic_id, heat) of the topics whose heat isn't the highest of their periods: what a back-fill writes."""
+    peaks = period_heat.groupBy("topic_id").agg(F.max("heat").alias("__peak"))
+    return topics.join(peaks, "topic_id").where(~F.col("heat").eqNullSafe(F.col("__peak"))).select("topic_id", F.col("__peak").alias("heat"))

@@ -13,10 +13,11 @@ def category_relation(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(CATEGORIES.items()), "category string, display string")
 
 
-def category_metrics(topics: DataFrame, ended_only: bool = False) -> DataFrame:
-    """One row for each category, zero where it has no topic. topics with hours. Ties of the longest and the shortest go to the smallest id."""
+def category_metrics(topics: DataFrame, ended_only: bool = False, since: Column | None = None) -> DataFrame:
+    """One row for each category, zero where it has no topic (seen `since` then). topics with hours. Ties of the longest and the shortest go to the smallest id."""
     spark = topics.sparkSession
     t = topics.where("status = 'ended'") if ended_only else topics
+    t = t if since is None else t.where(F.col("first_seen") >= since)
     m = t.groupBy("category").agg(
         F.count("*").alias("topics_count"), F.count_if(F.col("status") == "active").alias("topics_active"), F.count_if(F.col("status") == "ended").alias("topics_ended"),
         F.avg("hours").alias("avg_hours"), F.max("hours").alias("max_hours"), F.min("hours").alias("min_hours"),
@@ -32,6 +33,33 @@ def category_metrics(topics: DataFrame, ended_only: bool = False) -> DataFrame:
     )
 
 
+SERIES = {
+    "topics_count": lambda: F.count("*"), "avg_hours": lambda: F.round(F.avg("hours"), 2), "max_hours": lambda: F.round(F.max("hours"), 2),
+    "intensity_sum": lambda: F.sum("intensity_total"), "intensity_avg": lambda: F.round(F.avg("intensity_total"), 2), "heat_sum": lambda: F.round(F.sum("heat"), 6),
+}
+
+
+def category_series(topics: DataFrame, category: str, metric: str) -> DataFrame:
+    """(day, value) of one metric of a category's topics by the day they were first seen. Unknown names are refused."""
+    if category not in CATEGORIES or metric not in SERIES:
+        raise ValueError(f"no such category or metric: {category}, {metric}; there are {', '.join([*CATEGORIES, *SERIES])}")
+    days = topics.where(F.col("category") == category).groupBy(F.date_format("first_seen", "yyyy-MM-dd").alias("day"))
+    return days.agg(F.coalesce(SERIES[metric]().cast("double"), F.lit(0.0)).alias("value"))
+
+
+def summary(topics: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: topics by status, and the last run with its outcome."""
+    t = topics.agg(F.count("*").alias("topics_total"), F.count_if(F.col("status") == "active").alias("topics_active"), F.count_if(F.col("status") == "ended").alias("topics_ended"))
+    last = runs(items).agg(F.max_by(F.struct("run_hour", "status", "total_items"), "run_hour").alias("r"))
+    return t.crossJoin(F.broadcast(last)).select("topics_total", "topics_active", "topics_ended", "r.run_hour", F.col("r.status").alias("run_status"), F.col("r.total_items").alias("run_items"))
+
+
+def global_rates(groups: DataFrame) -> DataFrame:
+    """Of groups (period, merged, seconds): how many joined a topic of before, and the seconds that one took."""
+    g = groups.groupBy("period").agg(F.count("*").alias("groups"), F.count_if("merged").alias("merged"), F.sum("seconds").alias("seconds"))
+    return g.select("period", "groups", ratio(F.col("merged"), F.col("groups")).alias("merge_rate"), ratio(F.col("seconds"), F.col("groups")).alias("avg_seconds"))
+
+
 def per_day(rows: DataFrame, ts: str, out: str = "n") -> DataFrame:
     return rows.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias(out))
 

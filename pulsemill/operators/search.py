@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import CANDIDATE_DAYS
 from ..functions.vec import cosine, distance, norm, similarity
 
 
@@ -60,10 +61,37 @@ def fallback(items: DataFrame, found: DataFrame, topics: DataFrame, n: int = 3)
     return without.join(F.broadcast(recent)).withColumn("similarity", F.lit(None).cast("double"))
 
 
-def cosine_pairs(vectors: DataFrame, by: str, threshold: float) -> DataFrame:
-    """(grp, a, b, cosine), a < b, within groups: an equi-join by group. A group is one period's batch; for whole corpora there
-    is the embedding operator of the llm subpackage."""
+def cosine_pairs(vectors: DataFrame, by: str, threshold: float, most: int = 1_000) -> DataFrame:
+    """(grp, a, b, cosine), a < b, within groups. A group of over `most` vectors is cut into chunks by hash, and each two chunks
+    meet in a block of their own, so that no task has a whole large group. A group is one period's batch; for whole corpora
+    there is the embedding operator of the llm subpackage."""
     v = vectors.select(F.col(by).alias("grp"), "id", "x", norm(F.col("x")).alias("n"))
-    a, b = v.select("grp", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("n").alias("an")), v.select("grp", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("n").alias("bn"))
-    p = a.join(b, "grp").where("a < b").withColumn("cosine", cosine(F.col("ax"), F.col("bx"), F.col("an"), F.col("bn")))
-    return p.where(F.col("cosine") >= threshold).select("grp", "a", "b", "cosine")
+    sizes = v.groupBy("grp").agg(F.ceil(F.count("*") / most).cast("int").alias("c"))
+    v = v.join(sizes, "grp").withColumn("k", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
+    left = v.select("grp", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("c") - 1)).alias("j"), F.col("id").alias("p"), F.col("x").alias("px"), F.col("n").alias("pn"))
+    right = v.select("grp", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("q"), F.col("x").alias("qx"), F.col("n").alias("qn"))
+    pairs = left.join(right, ["grp", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("p") < F.col("q")))
+    pairs = pairs.withColumn("cosine", cosine(F.col("px"), F.col("qx"), F.col("pn"), F.col("qn"))).where(F.col("cosine") >= threshold)
+    return pairs.select("grp", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "cosine")
+
+
+def mergeable(summaries: DataFrame, topics: DataFrame, as_of: Column, days: int = CANDIDATE_DAYS) -> DataFrame:
+    """Summary vectors of the topics that an event may join: active ones with activity in the last days."""
+    t = topics.where((F.col("status") == "active") & (F.col("last_active") >= as_of - F.make_dt_interval(days=F.lit(days))))
+    return summaries.join(t.select("topic_id"), "topic_id", "left_semi")
+
+
+def get(vectors: DataFrame, object_type: str, ids: list[int]) -> DataFrame:
+    """The stored vectors of these objects."""
+    return vectors.where((F.col("object_type") == object_type) & F.col("id").isin(ids))
+
+
+def or_else(found: DataFrame, other: DataFrame) -> DataFrame:
+    """found, or the other rows (of the same columns) where nothing was found; both are top lists."""
+    none = found.agg(F.count("*").alias("__n")).where("__n = 0")
+    return found.unionByName(other.join(F.broadcast(none)).select(*found.columns))
+
+
+def without_vector(objects: DataFrame, vectors: DataFrame, object_type: str) -> DataFrame:
+    """The objects whose vector is missing, which a back-fill embeds."""
+    return objects.join(vectors.where(F.col("object_type") == object_type).select("id"), "id", "left_anti")

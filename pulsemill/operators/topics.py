@@ -97,6 +97,22 @@ def keyword_rerank(topics: DataFrame, keywords: list[str]) -> DataFrame:
     return topics.withColumn("score", score.cast("bigint"))
 
 
+def reranked(topics: DataFrame, keywords: list[str], order: list[Column]) -> DataFrame:
+    """topics with their score, most keywords first and then in this order; none where no topic has any of the keywords."""
+    if not keywords:
+        return topics.withColumn("score", F.lit(0).cast("bigint")).orderBy(*order)
+    scored = keyword_rerank(topics, keywords)
+    some = scored.agg(F.max("score").alias("__most")).where("__most > 0")  # one row or none
+    return scored.join(F.broadcast(some), F.col("__most") >= F.col("score")).drop("__most").orderBy(F.desc("score"), *order)
+
+
+def active_node_counts(topics: DataFrame, items: DataFrame, since: Column) -> DataFrame:
+    """(topic_id, node_count) of the active topics with activity since then."""
+    t = topics.where((F.col("status") == "active") & (F.col("last_active") >= since)).select("topic_id")
+    counts = items.join(t, "topic_id", "left_semi").groupBy("topic_id").agg(F.count("*").alias("n"))
+    return t.join(counts, "topic_id", "left").select("topic_id", F.coalesce("n", F.lit(0)).alias("node_count"))
+
+
 def downselect(topics: DataFrame, ratio: float) -> DataFrame:
     """The hottest share of topics stays active, one at least; the others end, their heat 0 and last activity their first.
 

@@ -739,3 +739,6 @@ def late_items(s, d):
     i = A.items(s, d).where("merge_status = 'pending_event_merge'")
     a, b = pipeline.late(i, "2024-01-15_MORN")
     return a.select("id", "period", F.lit("open").alias("state")).unionByName(b.select("id", "period", F.lit("late").alias("state")))
+
+# The other queries register themselves.
+from . import workflow  # noqa: E402, F401

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .constants import CLUSTER_COSINE, SAME_EVENT_CONFIDENCE
+
 
 class ChatModel(Protocol):
     def complete(self, messages: list[dict], **options) -> dict: ...
@@ -80,7 +82,7 @@ def embed(df: DataFrame, text: str, out: str = "x", dim: int = 64) -> DataFrame:
 def same_event(jaccard: Column, cosine: Column | None = None) -> tuple[Column, Column]:
     """(same, confidence): the stand-in for a model that judges whether an item tells of its leader's event."""
     conf = F.least(F.lit(1.0), F.lit(0.6) + jaccard / 2)
-    return conf >= 0.8 if cosine is None else (conf >= 0.8) & (cosine >= 0.5), conf
+    return conf >= SAME_EVENT_CONFIDENCE if cosine is None else (conf >= SAME_EVENT_CONFIDENCE) & (cosine >= CLUSTER_COSINE), conf
 
 
 def judge_batch(df: DataFrame, prompt: str, provider: str = "stub", parallel: int = 5, **options) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import jaccard, ngrams, normalize_title
+from ..functions.text import embedding_input, ngrams, normalize_title
 from ..functions.vec import cosine
 from ..operators import cluster, heat, search
 from ..providers import embed, same_event
@@ -21,10 +21,11 @@ def late(items: DataFrame, period: str) -> tuple[DataFrame, DataFrame]:
     return items.where(order >= now), items.where(order < now)
 
 
-def merge_events(items: DataFrame, cos: float = 0.5, jac: float = K.CLUSTER_JACCARD) -> DataFrame:
+def merge_events(items: DataFrame, cos: float = K.CLUSTER_COSINE, jac: float = K.CLUSTER_JACCARD) -> DataFrame:
     """Pending items (id, period, platform, title, summary, heat_value) with group, leader, occurrence and status: share of heat,
     leader clusters by title and vector within the period, the judge's word on each member, groups of two at least go on."""
-    pending = checkpointed(embed(heat.normalize(items.where("merge_status = 'pending_event_merge'")), "title"))
+    pending = heat.normalize(items.where("merge_status = 'pending_event_merge'")).withColumn("__text", embedding_input(F.col("title"), F.col("summary")))
+    pending = checkpointed(embed(pending, "__text").drop("__text"))
     grams = pending.select("period", "id", ngrams(normalize_title(F.col("title"))).alias("g"))
     pairs = cluster.jaccard_pairs(grams, "period", "id", "g", jac)
     x = pending.select("id", "x")
@@ -84,14 +85,15 @@ def run_period(spark: SparkSession, store: Store, period: str) -> dict[str, int]
         topics = store.read("topics") if store.exists("topics") else spark.createDataFrame([], TOPICS)
         merged, placed = merge_topics(group_heads(events), topics)
         merged, placed = checkpointed(merged), checkpointed(placed)
-        nodes = events.join(placed, "group_id").select("topic_id", F.col("id").alias("item_id"), F.col("fetched_at").alias("appended_at"))
+        nodes = events.join(placed, "group_id").select("topic_id", F.col("id").alias("item_id"), F.col("fetched_at").alias("appended_at"), "period", "heat_normalized")
         status = F.when(F.col("merge_status") == "pending_global_merge", "merged").otherwise(F.col("merge_status"))
         done = items.drop("merge_status").join(events.select("id", status.alias("merge_status")), "id").select(items.columns)
         store.upsert("nodes", nodes, ["topic_id", "item_id"])
         counted = store.read("nodes").groupBy("topic_id").agg(F.count("*").alias("__n"))
         counted = merged.join(counted, "topic_id", "left").withColumn("intensity_total", F.coalesce("__n", "intensity_total"))
         store.replace("topics", counted.select(merged.columns))
-        store.upsert("period_heat", events.join(placed, "group_id").groupBy("topic_id", "period").agg(F.sum("heat_normalized").alias("heat"), F.count("*").alias("source_count")), ["topic_id", "period"])
+        now = store.read("nodes").where(F.col("period") == period).groupBy("topic_id", "period")  # of earlier runs of the period, too
+        store.upsert("period_heat", now.agg(F.sum("heat_normalized").alias("heat"), F.count("*").alias("source_count")), ["topic_id", "period"])
         store.upsert("items", done, ["id"])
         log["topics"] = merged.count()
     return log
