@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,11 +12,16 @@ from .text import after_think
 INTERACTIONS = ["repost", "comment", "like", "view", "favorite"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: long chains would be too long to compile."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lenient_json(c: Column) -> Column:
     """The text itself where it is JSON, else its first {...} where that is, else null."""
     whole = F.when(F.try_parse_json(c).isNotNull(), c)
-    part = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.coalesce(whole, F.when((part != "") & F.try_parse_json(part).isNotNull(), part))
+    part = let(F.regexp_extract(c, r"(?s)\{.*\}", 0), lambda p: F.when((p != "") & F.try_parse_json(p).isNotNull(), p))
+    return F.coalesce(whole, part)
 
 
 def engagement(json: Column) -> Column:
@@ -54,13 +61,15 @@ def resolve_target(raw: Column, candidates: Column) -> Column:
 def incremental_answer(c: Column) -> tuple[Column, Column]:
     """(needs_update, summary) of a model's answer about a topic's new items: a JSON object, alone or within a text, asks for
     an update unless it says otherwise; of a broken one the summary counts; anything else asks for none."""
-    t = after_think(F.coalesce(c, F.lit("")))
-    whole = lenient_json(t)
-    j = F.when(whole.startswith("{"), whole)
-    part = F.regexp_extract(t, r'"updated_summary"\s*:\s*"([^"]+)"', 1)
-    needs = F.when(j.isNotNull(), F.coalesce(F.get_json_object(j, "$.needs_update") != "false", F.lit(True))).otherwise(part != "")
-    mended = F.replace(F.replace(part, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
-    return needs, F.when(j.isNotNull(), F.coalesce(F.get_json_object(j, "$.updated_summary"), F.lit(""))).otherwise(mended)
+    def told(t: Column, j: Column) -> Column:
+        part = F.regexp_extract(t, r'"updated_summary"\s*:\s*"([^"]+)"', 1)
+        mended = F.replace(F.replace(part, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n"))
+        needs = F.when(j.isNotNull(), F.coalesce(F.get_json_object(j, "$.needs_update") != "false", F.lit(True))).otherwise(part != "")
+        return F.struct(needs.alias("needs"), F.when(j.isNotNull(), F.coalesce(F.get_json_object(j, "$.updated_summary"), F.lit(""))).otherwise(mended).alias("summary"))
+
+    object_in = lambda t: let(lenient_json(t), lambda j: F.when(j.startswith("{"), j))
+    got = let(after_think(F.coalesce(c, F.lit(""))), lambda t: let(object_in(t), lambda j: told(t, j)))
+    return got["needs"], got["summary"]
 
 
 def first_number(json: Column) -> Column:

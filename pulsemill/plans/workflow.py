@@ -189,7 +189,7 @@ def summary_states(s, d):
     return summaries.due(A.topics(s, d), nodes, A.summaries(s, d).where("topic_id % 4 <> 0"), A.as_of()).select("topic_id", "new_nodes", "mode")
 
 
-@query(_ANSWERS + """SELECT doc_id AS topic_id, CASE WHEN doc_id % 5 = 0 THEN '事件「' || source || '」的摘要正在生成中...' WHEN j IS NOT NULL THEN json_extract_string(j, '$.updated_summary') ELSE regexp_extract(b, '"updated_summary"\\s*:\\s*"([^"]+)"', 1) END AS content, CASE WHEN doc_id % 5 = 0 THEN 'placeholder' ELSE 'incremental' END AS method
+@query(_ANSWERS + """SELECT doc_id AS topic_id, CASE WHEN doc_id % 5 = 0 THEN '事件「' || source || '」的摘要正在生成中...' WHEN j IS NOT NULL THEN trim(json_extract_string(j, '$.updated_summary')) ELSE trim(regexp_extract(b, '"updated_summary"\\s*:\\s*"([^"]+)"', 1)) END AS content, CASE WHEN doc_id % 5 = 0 THEN 'placeholder' ELSE 'incremental' END AS method
 FROM obj JOIN documents USING (doc_id) WHERE doc_id % 5 = 0 OR (CASE WHEN j IS NOT NULL THEN coalesce(json_extract_string(j, '$.needs_update') <> 'false', true) ELSE true END AND trim(coalesce(CASE WHEN j IS NOT NULL THEN json_extract_string(j, '$.updated_summary') ELSE regexp_extract(b, '"updated_summary"\\s*:\\s*"([^"]+)"', 1) END, '')) <> '')""")
 def summary_outcomes(s, d):
     """A fifth of the answers failed and were to be full summaries; the others are updates, some of them not needed or broken."""
