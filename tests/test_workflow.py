@@ -138,3 +138,14 @@ def test_cosine_pairs_of_a_cut_group(spark, most):
     dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
     want = sorted((a, b) for a in x for b in x if a < b and dot(x[a], x[b]) / (dot(x[a], x[a]) * dot(x[b], x[b])) ** 0.5 >= 0.1)
     assert want and sorted((r.a, r.b) for r in search.cosine_pairs(v, "g", 0.1, most).collect()) == want
+
+
+def test_summaries_are_due(spark):
+    """None yet: full; three new nodes and six hours: an update; otherwise the old one is kept."""
+    at = lambda df, c: df.withColumn(c, F.col(c).cast("timestamp_ntz"))
+    topics = spark.createDataFrame([(k, "t") for k in range(1, 5)], "topic_id long, title string")
+    old = [(1, 2, "2024-01-01 10:00:00"), (2, 3, "2024-01-01 10:00:00"), (3, 4, "2024-01-01 19:00:00")]
+    told = at(spark.createDataFrame(old, "id long, topic_id long, generated_at string"), "generated_at").withColumn("content", F.lit("c"))
+    nodes = [(2, k, "2024-01-01 20:00:00") for k in range(3)] + [(3, k, "2024-01-01 20:00:00") for k in range(2)] + [(4, k, "2024-01-01 20:00:00") for k in range(5)] + [(3, 9, "2024-01-01 09:00:00")]
+    got = summaries.due(topics, at(spark.createDataFrame(nodes, "topic_id long, id long, appended_at string"), "appended_at"), told, as_of())
+    assert {r.topic_id: (r.new_nodes, r.mode) for r in got.collect()} == {1: (0, "full"), 2: (3, "incremental"), 3: (2, "keep"), 4: (5, "keep")}
