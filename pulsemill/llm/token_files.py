@@ -12,8 +12,8 @@ result decides which files the manifest names, so a task that is lost, repeated
 reads, which are deleted. The manifest is written last: a folder without one isn't finished.
 
 Encoding: the library encodes; but as the vocabulary's normalizer and splitter drop white space and no token crosses it
-(checked on loading, else texts are encoded whole), texts are cut at spaces and line ends, and each distinct piece is encoded
-once for as long as the task remembers it.
+(checked on loading, else texts are encoded whole), texts are cut at spaces and line ends, and each distinct piece, without the
+marks at its end, is encoded once for as long as the task remembers it.
 
 Edge cases: null and empty texts hold only the end id. Very long texts are cut like others, a long run without white space
 isn't. Strings of special tokens inside texts are handled as the library does by default. Repeated rows are written each.
@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import shared_dir, ship, written
 
 #: Pieces that a task remembers, and the longest one that it does.
-REMEMBERED, LONGEST = 1 << 18, 64
+REMEMBERED, LONGEST = 1 << 19, 64
+#: Marks at a piece's end that are tokens of their own after a letter or digit.
+MARKS, ALNUM = ".,;:!?", set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 PROBES = ["it's 42 a.m.", "<|endoftext|>", "naïve ÀB中文字 😀", "été", "́x", "don't", "x" * 70, "3rd-party's", "ΑΣ ΑΣ", "tab\tin", "nb sp", "…!?"]
 
 
@@ -66,20 +68,50 @@ def encoder(path: str, end_id: int) -> tuple[Callable[[list[str]], list[bytes]],
     apart = not flags and all(ids([a + gap + b])[0] == b"".join(ids([a, b])) for a in PROBES for b in PROBES for gap in (" ", "\n", " \n "))
     if not apart:
         return lambda texts: [x + end for x in ids(texts)], kind
+
+    specials = [t["content"] for t in rules.get("added_tokens", [])]
+    starts = {t[0] for t in specials}
     known: dict[str, bytes] = {"": b""}
 
+    def parts(piece: str) -> list[str]:
+        """What the library encodes of a piece: up to its last letter or digit, and the marks that follow, which are tokens of
+        their own; ASCII in lower case, as the normalizer lowers it."""
+        core = piece.rstrip(MARKS)
+        out = [core, piece[len(core) :]] if core and core[-1] in ALNUM else [piece]
+        return [p.lower() if p.isascii() and not any(c in p for c in starts) else p for p in out if p]
+
+    def learn(new: list[str]) -> None:
+        """The ids of new parts: many in one call, with a special token between them."""
+        plain = [p for p in new if not any(x in p for x in specials)]
+        for at in range(0, len(plain), 1000):
+            own = plain[at : at + 1000]
+            found = np.array(tok.encode_batch_fast([specials[0].join(own)], add_special_tokens=False)[0].ids, kind)
+            ends = [*np.flatnonzero(found == tok.token_to_id(specials[0])).tolist(), len(found)]
+            raw, start = found.tobytes(), 0
+            for p, e in zip(own, ends, strict=True):
+                known[p] = raw[start * kind.itemsize : e * kind.itemsize]
+                start = e + 1
+        if len(plain) < len(new):
+            rest = [p for p in new if any(x in p for x in specials)]
+            known.update(zip(rest, ids(rest), strict=True))
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for own in pieces for p in own if p not in known})
-        fresh = dict(zip(new, ids(new), strict=True))
-        known.update((p, x) for p, x in fresh.items() if len(p) <= LONGEST)
-        fresh = {p: x for p, x in fresh.items() if len(p) > LONGEST}
-        get = known.__getitem__ if not fresh else lambda p: fresh[p] if p in fresh else known[p]
-        return [b"".join(map(get, own)) + end for own in pieces]
-
+        new = {p: parts(p) for p in set().union(*pieces) - known.keys()}
+        learn(list({x for own in new.values() for x in own} - known.keys()))
+        for p, own in new.items():
+            known[p] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
+        out = [b"".join(map(known.__getitem__, own)) + end for own in pieces]
+        for p in [x for x in new if len(x) > LONGEST]:
+            del known[p]
+        return out
+
+    probes = [x for p in [*PROBES, "The"] for x in (p, p + ".", p + "!?", p.upper() + ",;", p + "'s.")]
+    if not specials or encode(probes) != [x + end for x in ids(probes)]:
+        return lambda texts: [x + end for x in ids(texts)], kind
     return encode, kind
 
 
