@@ -23,6 +23,7 @@ Extra columns are ignored, whatever their names. An empty table gives a manifest
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, ship, written
 
-#: Pieces that a task remembers, and the longest one that it does.
+#: Pieces of a generation that a worker remembers, and the longest one that it does.
 REMEMBERED, LONGEST = 1 << 19, 64
+#: What stands between pieces that are encoded in one call; pieces with this character are encoded alone.
+SEPARATOR = " \x01 "
 #: Marks at a piece's end that are tokens of their own after a letter or digit.
 MARKS, ALNUM = ".,;:!?", set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 PROBES = ["it's 42 a.m.", "<|endoftext|>", "naïve ÀB中文字 😀", "été", "́x", "don't", "x" * 70, "3rd-party's", "ΑΣ ΑΣ", "tab\tin", "nb sp", "…!?"]
@@ -51,68 +54,90 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def encoder(path: str, end_id: int) -> tuple[Callable[[list[str]], list[bytes]], np.dtype]:
-    """A function from texts to the bytes of their ids with the end id, and the ids' type."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    kind = np.dtype("<u2" if max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else "<u4")
-    ids = lambda texts: [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    end = np.array([end_id], kind).tobytes()
-    with open(path, encoding="utf-8") as f:
-        rules = json.load(f)
-    flags = [t for t in rules.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"]]
-    apart = not flags and all(ids([a + gap + b])[0] == b"".join(ids([a, b])) for a in PROBES for b in PROBES for gap in (" ", "\n", " \n "))
-    if not apart:
-        return lambda texts: [x + end for x in ids(texts)], kind
-
-    specials = [t["content"] for t in rules.get("added_tokens", [])]
-    starts = {t[0] for t in specials}
-    known: dict[str, bytes] = {"": b""}
-
-    def parts(piece: str) -> list[str]:
-        """What the library encodes of a piece: up to its last letter or digit, and the marks that follow, which are tokens of
-        their own; ASCII in lower case, as the normalizer lowers it."""
-        core = piece.rstrip(MARKS)
-        out = [core, piece[len(core) :]] if core and core[-1] in ALNUM else [piece]
-        return [p.lower() if p.isascii() and not any(c in p for c in starts) else p for p in out if p]
-
-    def learn(new: list[str]) -> None:
-        """The ids of new parts: many in one call, with a special token between them."""
-        plain = [p for p in new if not any(x in p for x in specials)]
-        for at in range(0, len(plain), 1000):
-            own = plain[at : at + 1000]
-            found = np.array(tok.encode_batch_fast([specials[0].join(own)], add_special_tokens=False)[0].ids, kind)
-            ends = [*np.flatnonzero(found == tok.token_to_id(specials[0])).tolist(), len(found)]
-            raw, start = found.tobytes(), 0
-            for p, e in zip(own, ends, strict=True):
-                known[p] = raw[start * kind.itemsize : e * kind.itemsize]
-                start = e + 1
-        if len(plain) < len(new):
-            rest = [p for p in new if any(x in p for x in specials)]
-            known.update(zip(rest, ids(rest), strict=True))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > REMEMBERED:
-            known.clear()
-            known[""] = b""
+class Encoder:
+    """The ids of texts as bytes. Texts are cut at spaces and line ends where no token of the vocabulary crosses these (see
+    `apart`); the ids of the pieces are remembered, in two generations of bounded size, so that frequent ones stay."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        self.special = [t["content"] for t in added]
+        self.starts = re.compile("[" + re.escape("".join({t[0] for t in self.special} | {SEPARATOR.strip()})) + "]")
+        between = self.tok.encode(SEPARATOR, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        gaps = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] or "\n" in t["content"] for t in added)
+        ends = [x for p in [*PROBES, "The"] for x in (p, p + ".", p + "!?", p.upper() + ",;", p + "'s.")]
+        two = [a + gap + b for a in PROBES for b in PROBES for gap in (" ", "\n", " \n ")]
+        self.apart = gaps and self.between is not None and self.by_pieces(two + ends) == self.whole(two + ends)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, new: list[str]) -> None:
+        """The ids of new pieces: many in one call, with a separator between them."""
+        odd = [p for p in new if self.starts.search(p)]
+        self.known.update(zip(odd, self.whole(odd), strict=True))
+        plain = [p for p in new if not self.starts.search(p)] if odd else new
+        size = self.kind.itemsize
+        for at in range(0, len(plain), 2000):
+            own = plain[at : at + 2000]
+            found = np.array(self.tok.encode_batch_fast([SEPARATOR.join(own)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(found == self.between) * size).tolist()
+            raw = found.tobytes()
+            starts = [0, *[e + size for e in ends]]
+            self.known.update(zip(own, [raw[s:e] for s, e in zip(starts, [*ends, len(raw)], strict=True)], strict=True))
+
+    def by_pieces(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {"": b""}
+        known, older = self.known, self.older
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {p: parts(p) for p in set().union(*pieces) - known.keys()}
-        learn(list({x for own in new.values() for x in own} - known.keys()))
-        for p, own in new.items():
-            known[p] = known[own[0]] if len(own) == 1 else known[own[0]] + known[own[1]]
-        out = [b"".join(map(known.__getitem__, own)) + end for own in pieces]
-        for p in [x for x in new if len(x) > LONGEST]:
-            del known[p]
+        new = set().union(*pieces) - known.keys()
+        again = new & older.keys()
+        known.update([(p, older[p]) for p in again])
+        split = []
+        for p in new - again:
+            # after a letter or digit, marks are tokens of their own; ASCII can be lowered before the normalizer does it
+            core = p.rstrip(MARKS)
+            core, tail = (core, p[len(core) :]) if core and core[-1] in ALNUM else (p, "")
+            split.append((p, core.lower() if core.isascii() and not self.starts.search(core) else core, tail))
+        parts = ({c for _, c, _ in split} | {t for _, _, t in split}) - known.keys()
+        again = parts & older.keys()
+        known.update([(p, older[p]) for p in again])
+        self.learn(list(parts - again))
+        known.update([(p, known[c] + known[t]) for p, c, t in split])
+        out = [b"".join(map(known.__getitem__, own)) for own in pieces]
+        for p in [x for x in parts | new if len(x) > LONGEST]:
+            known.pop(p, None)
         return out
 
-    probes = [x for p in [*PROBES, "The"] for x in (p, p + ".", p + "!?", p.upper() + ",;", p + "'s.")]
-    if not specials or encode(probes) != [x + end for x in ids(probes)]:
-        return lambda texts: [x + end for x in ids(texts)], kind
-    return encode, kind
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        return self.by_pieces(texts) if self.apart else self.whole(texts)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> tuple[Callable[[list[str]], list[bytes]], np.dtype]:
+    """A function from texts to the bytes of their ids with the end id, and the ids' type. What is remembered stays for later
+    tasks of the same worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    e = _encoders[path]
+    kind = e.kind if end_id < 1 << 8 * e.kind.itemsize else np.dtype("<u4")
+    end = np.array([end_id], kind).tobytes()
+    if kind == e.kind:
+        return lambda texts: [x + end for x in e(texts)], kind
+    return lambda texts: [np.frombuffer(x, e.kind).astype(kind).tobytes() + end for x in e(texts)], kind
 
 
 def write_files(docs: DataFrame, path: str, end_id: int, folder: str | None = None) -> str:
