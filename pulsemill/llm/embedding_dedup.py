@@ -1,6 +1,6 @@
 """Embedding near-duplicates with randomised-rotation binary codes.
 
-Every vector is scaled to length one and rotated at random. Once per vector a code is stored: the signs of the rotated
+Every vector is scaled to length one and rotated at random (by sign flips and Hadamard transforms). Once per vector a code is stored: the signs of the rotated
 coordinates, one bit each; the correction factor f, the inner product of these signs (as a vector of length one) with the
 vector; and, for its part as the other side of a comparison, the coordinates in 4 bits, whose highest bit is the sign. The
 signs of one vector times the 4-bit coordinates of another, by popcounts, over f, estimate their cosine without bias; the
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,33 @@ from .common import connected_components, forest, join_hot, pairs_in_runs, same_
 LEVELS = 15  # steps of the 4-bit coordinates
 
 
-def rotation(d: int, seed: int, k: int) -> np.ndarray:
-    return np.linalg.qr(np.random.default_rng([seed, d, k]).normal(size=(d, d)))[0]
+def turned_size(d: int) -> int:
+    """Coordinates of a rotated vector: vectors are padded to a power of two."""
+    return 1 << max(0, d - 1).bit_length()
+
+
+def rotated(x: np.ndarray, seed: int, k: int) -> np.ndarray:
+    """The rows of x, padded, in the k-th pseudo-random rotation: three rounds of random sign flips and a Hadamard transform, which
+    take O(d log d) for each row and no matrix."""
+    n, d = x.shape
+    size = turned_size(d)
+    out = np.zeros((n, size))
+    out[:, :d] = x
+    signs = np.random.default_rng([seed, size, k]).integers(0, 2, (3, size)) * 2.0 - 1
+    left, right = hadamard(1 << (size.bit_length() - 1) // 2), hadamard(1 << size.bit_length() // 2)
+    for r in range(3):  # the transform of all coordinates is one of each row and one of each column of a square of them
+        out = ((out * (signs[r] / math.sqrt(size))).reshape(-1, len(right)) @ right).reshape(n, len(left), len(right))
+        out = (out.transpose(0, 2, 1).reshape(-1, len(left)) @ left).reshape(n, size)
+    return out
+
+
+@lru_cache
+def hadamard(size: int) -> np.ndarray:
+    """The Hadamard matrix of a power of two; those of half a vector's bits are small."""
+    h = np.ones((1, 1))
+    while len(h) < size:
+        h = np.block([[h, h], [h, -h]])
+    return h
 
 
 def agreement(d: int, cosine: float, seed: int = 1, pairs: int = 20_000) -> float:
@@ -59,12 +85,12 @@ def agreement(d: int, cosine: float, seed: int = 1, pairs: int = 20_000) -> floa
 
 
 def bucket_keys(x: np.ndarray, tables: int, per_table: int, seed: int) -> np.ndarray:
-    d = x.shape[1]
+    d = turned_size(x.shape[1])
     keys = np.zeros((len(x), tables), np.int64)
     rows = np.arange(len(x))
     for t in range(tables):
         for j in range(per_table):
-            y = x @ rotation(d, seed, 1 + t * per_table + j)
+            y = rotated(x, seed, 1 + t * per_table + j)
             top = np.abs(y).argmax(axis=1)
             keys[:, t] = keys[:, t] * (2 * d) + 2 * top + (y[rows, top] > 0)
     return keys
@@ -75,6 +101,7 @@ class Codes:
     the rounding error as single precision numbers."""
 
     def __init__(self, raw: list[bytes], d: int):
+        d = turned_size(d)
         self.d, self.width = d, -(-d // 64) * 8
         table = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
         self.planes = np.ascontiguousarray(table[:, : 4 * self.width]).view(np.uint64).reshape(len(raw), 4, -1)
@@ -84,8 +111,8 @@ class Codes:
 
     @staticmethod
     def pack(unit: np.ndarray, seed: int) -> list[bytes]:
-        n, d = unit.shape
-        turned = unit @ rotation(d, seed, 0)
+        turned = rotated(unit, seed, 0)
+        n, d = turned.shape
         step = 2 * np.abs(turned).max(axis=1, keepdims=True) / LEVELS
         level = np.clip(np.floor(turned / step + LEVELS / 2 + 0.5), 0, LEVELS).astype(np.uint8)
         sign = np.where(level > LEVELS // 2, 1.0, -1.0)
@@ -117,7 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     classes = v.where("x IS NOT NULL").groupBy("same", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     n, d_most = classes.agg(F.count("*"), F.max(F.size("x"))).first()
-    d_most = max(2, d_most or 2)
+    d_most = max(2, turned_size(d_most or 2))
     per_table = max(1, math.ceil(math.log2(max(2, n / bucket)) / math.log2(2 * d_most)))
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agreement(d_most, threshold) ** per_table))
 
