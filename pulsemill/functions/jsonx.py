@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import after_think
+from .text import after_think, strip
 
 INTERACTIONS = ["repost", "comment", "like", "view", "favorite"]
 
@@ -37,10 +37,40 @@ def interaction_total(json: Column, keys: list[str] | None = None) -> Column:
     return total
 
 
+# What readers see where a model's answer holds no summary.
+NO_CONTENT, NO_FIELD = "摘要生成失败：LLM返回空内容", "摘要解析失败：Missing summary field"
+EMBEDDED, SHORT = 50, 20  # a summary found inside a text has to be longer; cleaned text that is shorter isn't used
+
+
+def broken_string(c: Column, field: str) -> Column:
+    """The value of a field in JSON that doesn't parse, up to the last quote that leaves the quotes inside in pairs, unescaped;
+    null where none is. It looks at the field's first place that has a value."""
+    rest = F.regexp_extract(c, rf'(?s)"{field}"\s*:\s*"([^"].*)$', 1)
+
+    def cut(r: Column) -> Column:
+        quotes = F.length(r) - F.length(F.replace(r, F.lit('"'), F.lit("")))
+        value = F.call_function("substring_index", r, F.lit('"'), (quotes - F.when(quotes % 2 == 0, 1).otherwise(0)).cast("int"))
+        return F.when(quotes > 0, F.replace(F.replace(value, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")))
+
+    return let(rest, cut)
+
+
 def summary_field(c: Column) -> Column:
-    """The summary of a model's answer: from its JSON, else by pattern, else the cleaned text."""
-    json = F.get_json_object(lenient_json(c), "$.summary")
-    return F.coalesce(F.nullif(json, F.lit("")), F.nullif(F.regexp_extract(c, r'"summary"\s*:\s*"([^"]+)"', 1), F.lit("")), F.trim(c))
+    """The summary of a model's answer, which may be broken. In turn: the answer's own JSON; JSON inside a longer text, if its
+    summary has over 50 characters; the field's text in JSON that was cut off; the text without JSON's marks; the text."""
+    whole = lambda t: F.when(F.try_parse_json(t).isNotNull(), F.coalesce(F.get_json_object(t, "$.summary"), F.lit(NO_FIELD)))
+
+    def inside(t: Column) -> Column:
+        told = lambda pattern: let(F.regexp_extract(t, pattern, 0), lambda j: F.when((j != "") & F.try_parse_json(j).isNotNull(), F.get_json_object(j, "$.summary")))
+        found = F.coalesce(told(r'(?s)\{[^{}]*"summary"[^{}]*\}'), told(r"(?s)\{.+\}"))
+        return let(found, lambda x: F.when(F.length(x) > EMBEDDED, x))
+
+    def cleaned(t: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(t, r'^\s*\{\s*"summary"\s*:\s*"', ""), r'"\s*[,}]?\s*$', "")
+        return let(strip(bare), lambda x: F.when(F.length(x) < SHORT, strip(t)).otherwise(x))
+
+    got = let(after_think(c), lambda t: F.coalesce(whole(t), inside(t), broken_string(t, "summary"), cleaned(t)))
+    return F.when(F.coalesce(c, F.lit("")) == "", NO_CONTENT).otherwise(got)
 
 
 def category_answer(c: Column, categories: list[str]) -> tuple[Column, Column]:

@@ -97,10 +97,18 @@ def strip_think(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
+#: What a text loses at its ends.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(BLANKS))
+
+
 def after_think(c: Column) -> Column:
-    """What follows the closing tag, or else what stands before the opening one."""
-    after = F.regexp_extract(c, r"(?is)</think>\s*(.+)", 1)
-    return F.trim(F.when(after != "", after).otherwise(F.regexp_replace(c, r"(?is)<think>.*", "")))
+    """What follows the closing tag, or else what stands before the opening one; the text as it is where there is neither."""
+    after, before = F.regexp_extract(c, r"(?is)</think>\s*(.+)", 1), F.regexp_extract(c, r"(?is)^(.+?)<think>", 1)
+    return F.when(after != "", strip(after)).when(before != "", strip(before)).otherwise(c)
 
 
 def unit_number(c: Column) -> Column:

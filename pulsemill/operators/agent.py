@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text
 from ..functions.timex import hours_between, ts_text
 from ..providers import ChatModel, StubChat, hashed_vector
 from . import search
@@ -22,27 +23,51 @@ INTENTS = {"compare": ["对比", "比较", "区别"], "analysis": ["分析", "
 # Words that shape a question and say nothing where a run of characters begins or ends.
 SHAPING = ["的", "有", "了", "是", "主题", "话题"]
 
+#: Topics that a listing gives.
+QUERY_LIMIT = 20
+
 TOOLS = [
     {"name": "topic_query", "parameters": {"fields": "array", "filters": "object", "order": "string", "limit": "integer"}},
     {"name": "topic_search", "parameters": {"keywords": "array", "match": "string", "platforms": "array", "limit": "integer"}},
 ]
 
 
-def plan(question: str) -> list[dict]:
-    """Tool calls for a question, by its words; none for small talk."""
+def resolve(question: str, history: list[dict] | None = None) -> tuple[str, dict, bool, str]:
+    """(the question, with the user's one before it where it only refines that; time filters it asks for; whether it only
+    refines; the tool of the newest answer whose footer names one). history: messages (role, content), oldest first."""
+    said = question.strip()
+    days = next((n for pattern, n in text.RECENT if re.search(pattern, said)), None)
+    refines = not re.search(r"[A-Za-z0-9]{3,}|[一-鿿]{2,}", re.sub(text.MODIFIERS, "", said))
+    before = next((m["content"].strip() for m in reversed(history or []) if m.get("role", "").lower() == "user" and (m.get("content") or "").strip()), "")
+    tools = [re.search(r"本次使用工具：([^）)\n]+)", m.get("content") or "") for m in reversed(history or []) if m.get("role", "").lower() == "assistant"]
+    named = (next((t for t in ("topic_query", "topic_search") if t in {x.strip() for x in found[1].split(",")}), "") for found in tools if found)
+    time_filter = {"all_time": bool(re.search(text.FORCE_ALL, said)), "recent_days": days}
+    return f"{before} {said}" if refines and before else said, time_filter, refines, next((t for t in named if t), "")
+
+
+def plan(question: str, history: list[dict] | None = None) -> list[dict]:
+    """Tool calls for a question, by its words; none for small talk. One that only refines the question before it ("only the last
+    7 days") asks that one again, with the tool of the last answer. Listings come longest echo first, unless heat is asked for."""
+    question, time_filter, refines, tool = resolve(question, history)
     intent = next((k for k, ws in INTENTS.items() if any(w in question for w in ws)), "chat" if len(question.strip()) < 4 else "search")
+    if refines and history and (tool or intent == "chat"):
+        intent = "query" if tool == "topic_query" else "search"
     platforms = list(dict.fromkeys(p for a, p in K.PLATFORM_ALIASES.items() if a in question))
     rest = question
+    for pattern, _ in text.RECENT:
+        rest = re.sub(pattern, " ", rest)
+    rest = re.sub(text.FORCE_ALL, " ", rest)
     for w in sorted([*K.STOPWORDS, *K.PLATFORM_ALIASES, *(w for ws in INTENTS.values() for w in ws)], key=lambda w: (-len(w), w)):
         rest = rest.replace(w, " ")
     edges = "|".join(SHAPING)
     runs = [re.sub(f"^(?:{edges})+|(?:{edges})+$", "", w) for w in re.findall(r"[A-Za-z0-9]{2,}|[一-鿿]{2,}", rest)]
-    words = list(dict.fromkeys(w for w in runs if len(w) > 1))[:8]
+    words = list(dict.fromkeys(w for w in runs if len(w) > 1 and not re.fullmatch(f"(?:{text.MODIFIERS})+", w)))[:8]
+    span = {"recent_days": time_filter["recent_days"]} if time_filter["recent_days"] else {}
     if intent == "chat":
         return []
     if intent == "query":
-        return [{"tool": "topic_query", "args": {"platforms": platforms, "title_contains": words[0] if words else None, "order": "heat_desc" if "热" in question else "last_active_desc"}}]
-    return [{"tool": "topic_search", "args": {"keywords": words, "platforms": platforms, "match_all": False}}]
+        return [{"tool": "topic_query", "args": {"platforms": platforms, "title_contains": words[0] if words else None, "order": "heat_desc" if "热" in question else "echo_length_desc", "limit": QUERY_LIMIT, **span}}]
+    return [{"tool": "topic_search", "args": {"keywords": words, "platforms": platforms, "match_all": False, **span}}]
 
 
 def topic_search(topics: DataFrame, items: DataFrame, vectors: DataFrame, question: str, keywords: list[str], platforms: list[str] | None = None, match_all: bool = False, since: Column | None = None, until: Column | None = None, limit: int = 10) -> DataFrame:
@@ -114,19 +139,23 @@ def global_context(ranked: DataFrame, topics: DataFrame, summaries: DataFrame, i
     return chunks(rows.withColumn("content", none)).select("pos", "topic_id", "type", "chunk").orderBy("pos")
 
 
-def execute(calls: list[dict], question: str, topics: DataFrame, summaries: DataFrame, items: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
+def execute(calls: list[dict], question: str, topics: DataFrame, summaries: DataFrame, items: DataFrame, vectors: DataFrame, limit: int = 10, as_of: Column | None = None) -> DataFrame:
     """(pos, topic_id, chunk): what the tools find, in the order of the calls; a search for the question where they find nothing.
-    An unknown tool is refused."""
+    An unknown tool is refused. Recent days are those before as_of, by default now."""
+    now = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
+    ago = lambda days: None if days is None else now - F.make_dt_interval(days=F.lit(days))
     told = T.newest_summary(summaries).select("topic_id", F.col("content").alias("summary"))
 
-    def searched(k: int, **args) -> DataFrame:
-        r = topic_search(topics, items, vectors, question, limit=limit, **args)
+    def searched(k: int, recent_days=None, **args) -> DataFrame:
+        r = topic_search(topics, items, vectors, question, limit=limit, since=ago(recent_days), **args)
+        r = r if recent_days is None else r.where(F.col("last_active") >= ago(recent_days))
         r = r.join(told, "topic_id", "left").withColumn("__r", F.row_number().over(Window.orderBy(F.desc("hours"), "topic_id")))
         return r.select(F.lit(k).alias("k"), "__r", "topic_id", F.lit("topic_summary").alias("type"), "title", "summary", *[F.lit(None).cast("string").alias(c) for c in ("platform", "at", "content")])
 
-    def queried(k: int, platforms=None, title_contains=None, order="last_active_desc") -> DataFrame:
-        r = T.topic_query(T.item_view(topics, summaries, items), platforms=platforms or None, title_contains=title_contains, order=order, limit=limit)
-        r = r.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("last_active"), "topic_id")))
+    def queried(k: int, platforms=None, title_contains=None, order="last_active_desc", limit=limit, recent_days=None) -> DataFrame:
+        by = T.QUERY_ORDERS.get(order, "last_active")
+        r = T.topic_query(T.item_view(topics, summaries, items), ["topic_id", "title", "last_active", by], platforms=platforms or None, title_contains=title_contains, start=ago(recent_days), order=order, limit=limit)
+        r = r.withColumn("__r", F.row_number().over(Window.orderBy(F.desc_nulls_last(by), "topic_id")))
         at = F.date_format("last_active", "yyyy-MM-dd HH:mm")
         return r.select(F.lit(k).alias("k"), "__r", "topic_id", F.lit("node").alias("type"), "title", F.col("item_summary").alias("summary"), F.col("item_platform").alias("platform"), at.alias("at"), F.lit(None).cast("string").alias("content"))
 
@@ -145,16 +174,16 @@ def footer(tools: list[str]) -> str:
     return f"\n\n（本次使用工具：{', '.join(sorted(set(tools))) or '无'}）"
 
 
-def respond(question: str, topics: DataFrame, summaries: DataFrame, items: DataFrame, vectors: DataFrame, model: ChatModel | None = None, mode: str = "global", topic_id: int | None = None) -> dict:
+def respond(question: str, topics: DataFrame, summaries: DataFrame, items: DataFrame, vectors: DataFrame, model: ChatModel | None = None, mode: str = "global", topic_id: int | None = None, history: list[dict] | None = None, as_of: Column | None = None) -> dict:
     """An answer: in topic mode from one topic's context; in global mode the plan's tools are run and their results are the
     context; small talk goes to the model as it is."""
     if mode not in ("global", "topic") or (mode == "topic") != (topic_id is not None):
         raise ValueError("mode is global, or topic with a topic_id")
     if mode == "topic":
         return ask(question, topic_context(topic_id, summaries, items), model)
-    calls = plan(question)
+    calls, question = plan(question, history), resolve(question, history)[0]
     if calls:
-        got = ask(question, execute(calls, question, topics, summaries, items, vectors), model)
+        got = ask(question, execute(calls, question, topics, summaries, items, vectors, as_of=as_of), model)
     else:
         said = (model or StubChat()).complete([{"role": "user", "content": question}])
         got = {"answer": said["content"] or FALLBACK, "citations": [], "diagnostics": {"chunks": 0, **said["usage"]}}
@@ -184,22 +213,41 @@ def strip_stream(parts: Iterator[str]) -> Iterator[str]:
         yield held
 
 
-def ask(question: str, context: DataFrame | None, model: ChatModel | None = None) -> dict:
-    """An answer with its citations. The context is a few chunks (a top list), the only thing that comes to the driver."""
+def asked(question: str, context: DataFrame | None) -> tuple[list, list[dict]]:
+    """The context's chunks (a top list, the only thing that comes to the driver) and the messages for a model."""
     rows = context.limit(50).collect() if context is not None else []
-    text = "\n".join(r["chunk"] for r in rows)
+    said = "\n".join(r["chunk"] for r in rows)
+    return rows, [{"role": "user", "content": f"{said}\n问：{question}\n答：{said[:200]}"}]
+
+
+def citations(rows: list) -> list[dict]:
+    return [{"pos": r["pos"], "snippet": r["chunk"][:150]} for r in rows]
+
+
+def ask(question: str, context: DataFrame | None, model: ChatModel | None = None) -> dict:
+    """An answer with its citations."""
+    rows, messages = asked(question, context)
     if not rows:
         return {"answer": FALLBACK, "citations": [], "diagnostics": {"chunks": 0}}
-    got = (model or StubChat()).complete([{"role": "user", "content": f"{text}\n问：{question}\n答：{text[:200]}"}])
+    got = (model or StubChat()).complete(messages)
     answer = "".join(strip_stream(iter([got["content"]]))).strip()
-    return {"answer": answer or FALLBACK, "citations": [{"pos": r["pos"], "snippet": r["chunk"][:150]} for r in rows], "diagnostics": {"chunks": len(rows), **got["usage"]}}
+    return {"answer": answer or FALLBACK, "citations": citations(rows), "diagnostics": {"chunks": len(rows), **got["usage"]}}
 
 
 def ask_stream(question: str, context: DataFrame | None, model: ChatModel | None = None) -> Iterator[str]:
-    """Server-sent events: tokens, citations, done."""
+    """Server-sent events: a token event for each part as the model gives it, then citations and done. Whatever fails, also
+    in the middle of an answer, is an error event, which is the last one."""
     event = lambda name, data: f"event: {name}\ndata: {json.dumps(data, ensure_ascii=False)}\n\n"
-    got = ask(question, context, model)
-    for piece in re.findall(r"\S+\s*", got["answer"]):
-        yield event("token", {"content": piece})
-    yield event("citations", got["citations"])
-    yield event("done", {"tokens": len(got["answer"].split()), **got["diagnostics"]})
+    try:
+        rows, messages = asked(question, context)
+        said = ""
+        for part in strip_stream((model or StubChat()).stream(messages)) if rows else ():
+            if part:
+                said += part
+                yield event("token", {"content": part})
+        if not said.strip():
+            yield event("token", {"content": FALLBACK})
+        yield event("citations", citations(rows))
+        yield event("done", {"chunks": len(rows), "completion_tokens": len(said) // 2})
+    except Exception as x:  # told to the reader
+        yield event("error", {"message": str(x)[:500]})

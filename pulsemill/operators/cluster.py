@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
 
 
-def jaccard_pairs(rows: DataFrame, by: str, key: str, tokens: str, threshold: float) -> DataFrame:
+#: Rows of one (group, token) that meet in one task; more are dealt to several.
+MOST = 2_000
+WORDS = 8  # 64-bit words of the bitmaps that bound overlaps
+
+
+def jaccard_pairs(rows: DataFrame, by: str, key: str, tokens: str, threshold: float, most: int = MOST) -> DataFrame:
     """(group, a, b, jaccard), a < b, of all pairs in a group with this Jaccard similarity of their token arrays: an exact
-    prefix-filtered join. Tokens are ordered by their count, rarest first; two sets of this similarity share one of the first
-    n - ceil(threshold n) + 1 tokens of each, so only these are joined; sizes differ by the factor at most; and at their first
-    common token enough tokens of both must follow. Candidates are verified on 64-bit hashes of the tokens."""
-    r = rows.select(F.col(by).alias("g"), F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
-    each = r.select("g", "k", F.size("t").alias("n"), F.explode("t").alias("w"))
-    often = each.groupBy("w").agg(F.count("*").alias("c"))
-    ranked = each.join(often, "w").withColumn("rn", F.row_number().over(Window.partitionBy("g", "k").orderBy("c", "w")))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("g", "k", "n", "w", "rn")
-    a, b = prefix.select("g", "w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra")), prefix.select("g", "w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("rn").alias("rb"))
-    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
-    enough = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1 >= need
-    pairs = a.join(b, ["g", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & enough).select("g", "a", "b").distinct()
-    r = r.withColumn("t", F.transform("t", lambda w: F.xxhash64(w)))
-    p = pairs.join(r.select("g", F.col("k").alias("a"), F.col("t").alias("ta")), ["g", "a"]).join(r.select("g", F.col("k").alias("b"), F.col("t").alias("tb")), ["g", "b"])
-    both = F.size(F.array_intersect("ta", "tb"))
-    p = p.withColumn("jaccard", both / (F.size("ta") + F.size("tb") - both).cast("double"))
-    return p.where(F.col("jaccard") >= threshold).select("g", "a", "b", "jaccard")
+    prefix-filtered join. Tokens are ordered by their count in the group, rarest first; two sets of this similarity share one of
+    the first n - ceil(threshold n) + 1 tokens of each, so only these are joined; sizes differ by the factor at most; at
+    their first common token enough tokens of both must follow; and their union has no fewer tokens than their bitmaps have bits.
+    Rows carry the bitmap and the tokens as 64-bit hashes, on which a pair is verified where it meets, once: at its first common token.
+
+    A token of over `most` rows is dealt out: its rows are cut by hash, one side to its part, the other to all of them."""
+    r = rows.select(F.col(by).alias("g"), F.col(key).alias("k"), F.transform(F.array_distinct(tokens), lambda w: F.xxhash64(w)).alias("t")).where(F.size("t") > 0)
+    each = r.select("g", "k", F.explode("t").alias("w"))
+    often = each.groupBy("g", "w").agg(F.count("*").alias("c"))
+    sets = each.join(often, ["g", "w"]).groupBy("g", "k").agg(F.sort_array(F.collect_list(F.struct("c", "w"))).alias("s"))
+    place = lambda x: F.pmod(x, F.lit(64 * WORDS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(x) % 64).cast("int"))
+    word = lambda i: F.aggregate("t", F.lit(0).cast("bigint"), lambda m, x: F.when(F.floor(place(x) / 64) == i, m.bitwiseOR(bit(x))).otherwise(m)).alias(f"m{i}")
+    sets = sets.select("g", "k", "s", F.size("s").alias("n"), F.col("s.w").alias("t")).select("*", *[word(i) for i in range(WORDS)])
+    short = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    maps = [f"m{i}" for i in range(WORDS)]
+    prefix = sets.select("g", "k", "n", "t", *maps, F.posexplode(short).alias("rn", "one")).withColumns({"w": F.col("one.w"), "parts": F.ceil(F.col("one.c") / most).cast("int")}).drop("one")
+    left = prefix.withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    right = prefix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = lambda df, x: df.select("g", "w", "part", *[F.col(c).alias(x + c) for c in ("k", "n", "rn", "t", *maps)])
+    need = F.lit(threshold / (1 + threshold)) * (F.col("an") + F.col("bn")) - 1e-9
+    enough = F.least(F.col("an") - F.col("arn"), F.col("bn") - F.col("brn")) >= need
+    union = reduce(Column.__add__, [F.bit_count(F.col("a" + m).bitwiseOR(F.col("b" + m))) for m in maps])
+    near = (F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn") - 1e-9) & enough & (F.col("an") + F.col("bn") - union >= need)
+    pairs = side(left, "a").join(side(right, "b"), ["g", "w", "part"]).where((F.col("ak") < F.col("bk")) & near)
+    both = F.array_intersect("at", "bt")  # in the order of the first: its first is the pair's first common token
+    pairs = pairs.withColumn("both", both).where(F.get("both", F.lit(0)) == F.col("w"))
+    pairs = pairs.withColumn("jaccard", F.size("both") / (F.col("an") + F.col("bn") - F.size("both")).cast("double"))
+    return pairs.where(F.col("jaccard") >= threshold).select("g", F.col("ak").alias("a"), F.col("bk").alias("b"), "jaccard")
 
 
 def leader_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONTEXT_LIMIT, CONTEXT_SAFETY
-from ..functions.text import footer_tool, token_estimate
+from ..functions.text import followup, footer_tool, strip, token_estimate
 
 
 def available_tokens(prompt, query, completion):
@@ -48,3 +48,15 @@ def last_tool(messages: DataFrame) -> DataFrame:
 
 def last_user_query(messages: DataFrame) -> DataFrame:
     return messages.where((F.col("role") == "user") & (F.trim("text") != "")).groupBy("conv_id").agg(F.max_by(F.trim("text"), "turn").alias("query"))
+
+
+def followups(messages: DataFrame) -> DataFrame:
+    """For each conversation that ends with a user's turns, its newest one as a question: conv_id, question, resolved (with the user's question
+    before it, where it only refines that one), all_time, recent_days, refine_only and last_tool. messages: conv_id, turn, role, text."""
+    said = messages.where((F.col("role") == "user") & (strip(F.col("text")) != ""))
+    asked = said.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("q")).select("conv_id", F.col("q.turn").alias("at"), strip(F.col("q.text")).alias("question"))
+    history = messages.join(asked.select("conv_id", "at"), "conv_id").where("turn < at").drop("at")
+    f = followup(F.col("question"))
+    out = asked.join(last_user_query(history), "conv_id", "left").join(last_tool(history), "conv_id", "left").withColumns(f)
+    resolved = F.when(F.col("refine_only") & F.col("query").isNotNull(), F.concat_ws(" ", "query", "question")).otherwise(F.col("question"))
+    return out.select("conv_id", "question", resolved.alias("resolved"), "all_time", "recent_days", "refine_only", F.coalesce("last_tool", F.lit("")).alias("last_tool"))

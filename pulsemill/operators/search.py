@@ -1,57 +1,55 @@
-"""Vector searches. A query vector, or few, is a parameter; the table is scanned once, with a bounded top list for each task."""
+"""Vector searches. A query vector is a parameter; a table is scanned once, with a bounded top list for each task, and of an
+index only the groups are read that can hold one of the nearest."""
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CANDIDATE_DAYS
 from ..functions.vec import cosine, distance, norm, similarity
+from . import knn
+
+if TYPE_CHECKING:
+    from .vector_index import VectorIndex
 
 
 def array_of(q: list[float]) -> Column:
     return F.lit([float(x) for x in q])
 
 
-def top_k(vectors: DataFrame, q: list[float], k: int, object_type: str | None = None, metric: str = "cosine") -> DataFrame:
-    v = vectors.where(F.col("object_type") == object_type) if object_type else vectors
-    v = v.withColumn("distance", distance(F.col("x"), array_of(q), metric))
+def top_k(vectors: DataFrame | VectorIndex, q: list[float], k: int, object_type: str | None = None, metric: str = "cosine") -> DataFrame:
+    if isinstance(vectors, DataFrame):
+        v = vectors.where(F.col("object_type") == object_type) if object_type else vectors
+    else:
+        v = vectors.rows_for(q, k, object_type, metric)
+    v = v.withColumn("distance", distance(F.col("x"), array_of(q), metric)).where("distance IS NOT NULL")
     nearest = F.desc("distance") if metric == "ip" else F.asc("distance")
     return v.orderBy(nearest, "id").limit(k).withColumn("similarity", similarity(F.col("distance"), metric))
 
 
-def topics_strict(vectors: DataFrame, q: list[float], limit: int = 3, least: float = 0.7) -> DataFrame:
+def topics_strict(vectors: DataFrame | VectorIndex, q: list[float], limit: int = 3, least: float = 0.7) -> DataFrame:
     """The best similarity of each topic among the 10 x limit nearest, at least `least`; the best `limit` topics."""
     hits = top_k(vectors, q, 10 * limit, "topic_summary").where(F.col("similarity") >= least)
     return hits.groupBy("topic_id").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "topic_id").limit(limit)
 
 
-def topics_lenient(vectors: DataFrame, q: list[float], limit: int = 5) -> DataFrame:
+def topics_lenient(vectors: DataFrame | VectorIndex, q: list[float], limit: int = 5) -> DataFrame:
     """The first `limit` distinct topics among the 2 x limit nearest."""
     hits = top_k(vectors, q, 2 * limit, "topic_summary")
     return hits.groupBy("topic_id").agg(F.min("distance").alias("distance")).orderBy("distance", "topic_id").limit(limit)
 
 
-def candidates(items: DataFrame, summaries: DataFrame, k: int = 6, least: float = 0.5, topics: int = 3, queries_per_block: int = 2_000) -> DataFrame:
+def candidates(items: DataFrame, summaries: DataFrame, k: int = 6, least: float = 0.5, topics: int = 3) -> DataFrame:
     """(id, topic_id, similarity, rank): for each item vector its k nearest summary vectors, of these those of at least this
-    similarity, and of these the first distinct topics.
-
-    The items of a merge run are a stated query set (at most a batch of groups); they are sent in blocks of a fixed size to
-    every part of the summaries, which keep k rows for each item before anything is shuffled. Blocks are asked one by one,
-    so what is broadcast doesn't grow with the run."""
-    n = items.count()
-    q = items.select(F.col("id").alias("q"), F.col("x").alias("qx"), norm(F.col("x")).alias("qn"))
-    s = summaries.select("topic_id", F.col("id").alias("sid"), F.col("x").alias("sx"), norm(F.col("x")).alias("sn"))
-    found = None
-    blocks = max(1, -(-n // queries_per_block))
-    for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else q
-        sims = s.join(F.broadcast(part)).withColumn("similarity", cosine(F.col("qx"), F.col("sx"), F.col("qn"), F.col("sn"))).select("q", "topic_id", "sid", "similarity")
-        near = sims.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "sid"))).where((F.col("rn") <= k) & (F.col("similarity") >= least))
-        found = near if found is None else found.unionByName(near)
-    best = found.groupBy("q", "topic_id").agg(F.min("rn").alias("rn"), F.max("similarity").alias("similarity"))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("rn"))).where(F.col("rank") <= topics)
-    return best.select(F.col("q").alias("id"), "topic_id", "similarity", "rank")
+    similarity, and of these the first distinct topics. Both sides may have any size (see knn)."""
+    found = knn.nearest(items.select("id", "x"), knn.Cells(summaries), k, least)
+    found = found.join(summaries.select(F.col("id").alias("other"), "topic_id"), "other")
+    best = found.groupBy("id", "topic_id").agg(F.min("rank").alias("rn"), F.max("similarity").alias("similarity"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("rn"))).where(F.col("rank") <= topics)
+    return best.select("id", "topic_id", "similarity", "rank")
 
 
 def fallback(items: DataFrame, found: DataFrame, topics: DataFrame, n: int = 3) -> DataFrame:

@@ -34,7 +34,7 @@ def resolved(answers: DataFrame) -> DataFrame:
     a = F.col("answer")
     needs, updated = jsonx.incremental_answer(a)
     ok = F.col("status") == "success"
-    whole = F.when(ok, F.nullif(F.trim(jsonx.summary_field(text.after_think(a))), F.lit("")))
+    whole = F.when(ok, F.nullif(text.strip(jsonx.summary_field(a)), F.lit("")))
     change = F.when(ok & needs, F.nullif(F.trim(updated), F.lit("")))
     full = F.col("mode") == "full"
     content = F.when(full, F.coalesce(whole, placeholder(F.col("title")))).otherwise(change)

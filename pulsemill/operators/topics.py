@@ -136,11 +136,10 @@ def downselect(topics: DataFrame, ratio: float) -> DataFrame:
 def key_nodes(nodes: DataFrame, most: int = 15) -> DataFrame:
     """The first node of a topic, its two with most interactions, and the last five; each once, in time order, `most` at most.
     nodes: topic_id, id, appended_at, interaction_total, has_interactions."""
-    w = Window.partitionBy("topic_id")
-    n = nodes.withColumns({
-        "__first": F.row_number().over(w.orderBy("appended_at", "id")),
-        "__peak": F.when(F.col("has_interactions"), F.row_number().over(w.orderBy(F.desc("has_interactions"), F.desc("interaction_total"), "id"))),
-        "__last": F.row_number().over(w.orderBy(F.desc("appended_at"), F.desc("id"))),
-    })
-    n = n.where((F.col("__first") == 1) | (F.coalesce("__peak", F.lit(99)) <= 2) | (F.col("__last") <= 5)).drop("__first", "__peak", "__last")
+    # each part is cut to a few rows of a topic before its shuffle, so a topic with very many nodes is no hot task
+    narrow = [F.col(c) for c in nodes.columns]
+    first = nodes.groupBy("topic_id").agg(F.min_by(F.struct(*narrow), F.struct("appended_at", "id")).alias("__n")).select("__n.*")
+    peaks = latest(nodes.where("has_interactions"), "topic_id", [F.desc("interaction_total"), F.asc("id")], 2, "__rn").drop("__rn")
+    last = latest(nodes, "topic_id", [F.desc("appended_at"), F.desc("id")], 5, "__rn").drop("__rn")
+    n = first.unionByName(peaks).unionByName(last).dropDuplicates(["topic_id", "id"])
     return latest(n, "topic_id", [F.asc("appended_at"), F.asc("id")], most, "pos")

@@ -302,7 +302,7 @@ def categories(s, d):
 
 # ---------------------------------------------------------------- timeline
 
-_TL = """, tl AS (SELECT *, trim(title) AS k1, trim(coalesce(summary, title)) AS k2, coalesce(published_at, fetched_at) AS at_ FROM items),
+_TL = """, tl AS (SELECT *, trim(title) AS k1, trim(coalesce(nullif(summary, ''), title)) AS k2, coalesce(published_at, fetched_at) AS at_ FROM items),
 agg AS (SELECT topic_id, arg_max(id, (at_, id)) AS item_id, count(*) AS reports, min(at_) AS first_at, max(at_) AS last_at, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms FROM tl GROUP BY topic_id, k1, k2)
 """
 
@@ -435,9 +435,17 @@ def last_user_query(s, d):
     return context.last_user_query(A.read(s, d, "conversations"))
 
 
-@query("SELECT item_id, trim(text) AS stripped, trim(text) AS after FROM benchmark")
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(f""", th AS (SELECT item_id, CASE item_id % 6 WHEN 0 THEN '<think>a' || chr(10) || 'b</think> ' || text WHEN 1 THEN text || ' <think>' || text WHEN 2 THEN '<think>' || text WHEN 3 THEN text
+  WHEN 4 THEN text || '<THINK>x</Think>' || chr(10) || text || chr(10) ELSE '<think>a</think>' || text || '<think>b</think>' || text END AS t FROM benchmark),
+ex AS (SELECT item_id, t, regexp_extract(t, '(?is)</think>\\s*(.+)', 1) AS a, regexp_extract(t, '(?is)^(.+?)<think>', 1) AS b FROM th)
+SELECT item_id, trim(regexp_replace(t, '<think>.*?</think>', '', 'gs')) AS stripped, CASE WHEN a <> '' THEN trim(a, {_BLANK}) WHEN b <> '' THEN trim(b, {_BLANK}) ELSE t END AS after FROM ex""")
 def strip_think(s, d):
-    t = F.concat(F.lit("<think>a\nb</think> "), "text")
+    m, x, lit = F.col("item_id") % 6, F.col("text"), F.lit
+    t = F.when(m == 0, F.concat(lit("<think>a\nb</think> "), x)).when(m == 1, F.concat(x, lit(" <think>"), x)).when(m == 2, F.concat(lit("<think>"), x)).when(m == 3, x)
+    t = t.when(m == 4, F.concat(x, lit("<THINK>x</Think>\n"), x, lit("\n"))).otherwise(F.concat(lit("<think>a</think>"), x, lit("<think>b</think>"), x))
     return A.read(s, d, "benchmark").select("item_id", text.strip_think(t).alias("stripped"), text.after_think(t).alias("after"))
 
 
@@ -741,4 +749,4 @@ def late_items(s, d):
     return a.select("id", "period", F.lit("open").alias("state")).unionByName(b.select("id", "period", F.lit("late").alias("state")))
 
 # The other queries register themselves.
-from . import workflow  # noqa: E402, F401
+from . import answers, similarity, workflow  # noqa: E402, F401

@@ -17,7 +17,7 @@ at = lambda x: F.lit(x).cast("timestamp_ntz")
 _ANSWERS = """, tx AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS w FROM documents),
 ans AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{"needs_update": false, "updated_summary": "' || w || '"}' WHEN 1 THEN '{"updated_summary": "' || w || '"}' WHEN 2 THEN '<think>' || w || '</think> so {"needs_update": true, "updated_summary": "' || w || '"} done'
   WHEN 3 THEN '{"updated_summary": "' || w || '", "new' WHEN 4 THEN w ELSE '' END AS a FROM tx),
-body AS (SELECT doc_id, trim(regexp_replace(a, '^.*</think>', '', 's')) AS b FROM ans),
+body AS (SELECT doc_id, CASE WHEN regexp_extract(a, '(?is)</think>\\s*(.+)', 1) <> '' THEN trim(regexp_extract(a, '(?is)</think>\\s*(.+)', 1), ' ' || chr(10)) ELSE a END AS b FROM ans),
 obj AS (SELECT doc_id, b, CASE WHEN regexp_matches(b, '\\{.*\\}', 's') AND json_valid(regexp_extract(b, '\\{.*\\}', 0, 's')) THEN regexp_extract(b, '\\{.*\\}', 0, 's') END AS j FROM body)
 """
 
@@ -123,7 +123,7 @@ def active_node_counts(s, d):
     return T.active_node_counts(A.topics(s, d), A.items(s, d), at("2024-01-30 12:00:00"))
 
 
-@query(f""", tl AS (SELECT *, trim(title) AS k1, trim(coalesce(summary, title)) AS k2, coalesce(published_at, fetched_at) AS at_ FROM items),
+@query(f""", tl AS (SELECT *, trim(title) AS k1, trim(coalesce(nullif(summary, ''), title)) AS k2, coalesce(published_at, fetched_at) AS at_ FROM items),
 g AS (SELECT topic_id, arg_max(id, (at_, id)) AS item_id, count(*) AS n, min(at_) AS a, max(at_) AS b, string_agg(platform, ',' ORDER BY at_ DESC, id DESC) AS p, string_agg(url, ',' ORDER BY at_ DESC, id DESC) AS u FROM tl GROUP BY topic_id, k1, k2)
 SELECT topic_id, item_id, CASE WHEN n > 1 THEN n END AS reports, CASE WHEN n > 1 THEN {TS.format('a')} END AS first_at, CASE WHEN n > 1 THEN {TS.format('b')} END AS last_at, CASE WHEN n > 1 THEN p END AS platforms, CASE WHEN n > 1 THEN u END AS urls, CASE WHEN n > 1 THEN n END AS n_times FROM g""")
 def timeline_reports(s, d):

@@ -5,7 +5,6 @@ its error and doesn't fail the others. Parsers turn the payload column into item
 
 from __future__ import annotations
 
-import time
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import digits_number, hot_text_number, html_text, is_noise, unit_number
 from ..functions.timex import period_label
+from .pages import embedded_object, first_list, get
 
 RAW = "platform string, status string, error string, payload string"
 ITEM = "array<struct<title:string,summary:string,url:string,hot_value:double,interactions:map<string,string>>>"
@@ -36,21 +36,12 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Platform) -> Iterator[tuple]:
         """The first address that answers with something wins; each is tried three times, with growing pauses."""
-        import urllib.request
-
-        tries, wait, error = int(self.options.get("tries", 3)), float(self.options.get("wait", 2)), "no address"
+        error = "no address"
         for url in part.urls:
-            for k in range(tries):
-                try:
-                    with urllib.request.urlopen(url, timeout=float(self.options.get("timeout", 10))) as r:  # noqa: S310
-                        if text := r.read().decode("utf-8", "replace"):
-                            yield part.platform, "success", None, text
-                            return
-                    error = "empty answer"
-                except Exception as x:  # the error is the row
-                    error = f"{type(x).__name__}: {x}"[:500]
-                if k + 1 < tries:
-                    time.sleep(min(10.0, wait * 2**k))
+            text, error = get(url, int(self.options.get("tries", 3)), float(self.options.get("wait", 2)), float(self.options.get("timeout", 10)))
+            if text is not None:
+                yield part.platform, "success", None, text
+                return
         yield part.platform, "failed", error, None
 
 
@@ -105,25 +96,45 @@ def zhihu_url(t: Column) -> Column:
 
 
 def _zhihu(p: Column) -> Column:
-    target = "struct<title:string,excerpt:string,content:string,id:string,type:string,url:string,origin:struct<url:string>,link:struct<url:string>,answer_count:long,follower_count:long,comment_count:long,voteup_count:long>"
-    j = F.from_json(p, f"data array<struct<detail_text:string,target:{target}>>")
-    counts = ("answer_count", "follower_count", "comment_count", "voteup_count")
-    return F.transform(j["data"], lambda x: _item(x["target"]["title"], first_of(x["target"]["excerpt"], x["target"]["content"]), zhihu_url(x["target"]), hot_text_number(x["detail_text"]), {c: x["target"][c] for c in counts}))
+    """From the JSON answer, else from the state that the page embeds."""
+    target = "struct<title:string,excerpt:string,content:string,id:string,type:string,url:string,origin:struct<url:string>,link:struct<url:string>,answer_count:long,follower_count:long,comment_count:long,hot_value:long,voteup_count:long>"
+    rows = f"array<struct<detail_text:string,target:{target}>>"
+    state = F.from_json(embedded_object(p, r"window\.__INITIAL_STATE__"), f"topstory struct<hotList:{rows}>, hotList {rows}")
+    data = F.coalesce(F.from_json(p, f"data {rows}")["data"], state["topstory"]["hotList"], state["hotList"])
+    counts = ("answer_count", "follower_count", "comment_count", "hot_value", "voteup_count")
+
+    def one(x: Column) -> Column:
+        title = F.trim(x["target"]["title"])
+        said = first_of(F.trim(x["target"]["excerpt"]), F.trim(x["target"]["content"]), title)
+        return _item(title, said, zhihu_url(x["target"]), hot_text_number(x["detail_text"]), {c: x["target"][c] for c in counts})
+
+    return F.transform(data, one)
 
 
 def _toutiao(p: Column) -> Column:
+    """From the JSON answer, else from the first list of the state that the page embeds."""
+    listed = F.concat(F.lit('{"data": '), first_list(embedded_object(p, "__SSR_HYDRATED_DATA__")), F.lit("}"))
+    p = F.when(p.rlike(r"(?s)^\s*[\[{]"), p).otherwise(F.coalesce(listed, p))
     # names that differ in case only can't be fields of one struct: the two spellings are read one after the other
     upper = F.from_json(p, "data array<struct<Title:string,Url:string,HotValue:string,desc:string>>")["data"]
     lower = F.from_json(p, "data array<struct<title:string,word:string,url:string,link:string,hot_value:string,hot:string,hot_score:string,desc:string>>")["data"]
     return F.zip_with(upper, lower, lambda u, v: (lambda t: _item(t, first_of(v["desc"], t), first_of(u["Url"], v["url"], v["link"]), unit_number(first_of(u["HotValue"], v["hot_value"], v["hot"], v["hot_score"]))))(first_of(u["Title"], v["title"], v["word"])))
 
 
+def without_adverts(p: Column) -> Column:
+    """A page without the list entries that are adverts: by their class, or by what they hold."""
+    entry = lambda x: F.regexp_extract(x, r"(?is)^(<li\b.*?</li>)", 1)
+    advert = lambda x: entry(x).rlike(r"(?is)^<li\b[^>]*class\s*=\s*[\"'](?:[^\"']*\s)?ad(?:\s[^\"']*)?[\"']|<ins\b[^>]*sinaads")
+    pieces = F.split(p, r"(?i)(?=<li\b)")
+    return F.array_join(F.transform(pieces, lambda x: F.when(advert(x), F.regexp_replace(x, r"(?is)^<li\b.*?</li>", "")).otherwise(x)), "")
+
+
 def _sina(p: Column) -> Column:
     row = "array<struct<title:string,url:string,intro:string,media_name:string,comment_count:string,read_count:string>>"
     j = F.from_json(p, f"data struct<news:{row}>, result struct<data:{row}>")
     url = lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/"), F.concat(F.lit("https://news.sina.com.cn"), u)).otherwise(u)
     api = F.transform(F.coalesce(j["data"]["news"], j["result"]["data"]), lambda x: _item(x["title"], first_of(x["intro"], x["title"]), url(x["url"]), F.lit(None), {"comment_count": x["comment_count"], "read_count": x["read_count"]}))
-    return F.coalesce(api, F.transform(links(p), lambda a: _item(a["text"], a["text"], url(a["href"]), F.lit(0.0))))
+    return F.coalesce(api, F.transform(links(without_adverts(p)), lambda a: _item(a["text"], a["text"], url(a["href"]), F.lit(0.0))))
 
 
 def _baidu(p: Column) -> Column:
@@ -183,9 +194,19 @@ def enrich(found: DataFrame, run_id: str, fetched_at: Column) -> DataFrame:
 
 
 def run_report(raw: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each platform, and how its run went."""
-    n = found.groupBy("platform").agg(F.count("*").alias("items"))
-    return raw.select("platform", "status", "error").join(n, "platform", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    """One row for each platform, and how its run went: items, and of these those that are noise and those that are kept."""
+    noise = is_noise(F.col("title"), F.coalesce("url", F.lit("")))
+    n = found.groupBy("platform").agg(F.count("*").alias("items"), F.count_if(noise).alias("skipped"), F.count_if(~noise).alias("kept"))
+    return raw.select("platform", "status", "error").join(n, "platform", "left").fillna(0, ["items", "skipped", "kept"])
+
+
+def run_row(report: DataFrame, run_id: str, started_at: Column, finished_at: Column) -> DataFrame:
+    """The run's own row: success if every platform answered, failed if none did, else partial; and the sums over platforms."""
+    good, every = F.count_if(F.col("status") == "success"), F.count("*")
+    status = F.when(good == every, "success").when(good == 0, "failed").otherwise("partial")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("items", "skipped", "kept")]
+    failed = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("status") != "success", F.struct("platform", F.coalesce("error", F.lit(""))))))))
+    return report.agg(status.alias("status"), every.alias("platforms"), good.alias("answered"), *sums, failed.alias("errors")).select(F.lit(run_id).alias("run_id"), "*", started_at.alias("started_at"), finished_at.alias("finished_at"))
 
 
 def dump(found: DataFrame, path: str) -> None:

@@ -1,23 +1,39 @@
 """The scheduled work as pure steps over tables, and as a stream of item files: merge items of a period into events, events into
-topics, refresh what readers see. Every step can be repeated: names are hashes, and writes replace rows by key."""
+topics, refresh what readers see. Every step can be repeated: names are hashes, decisions are kept in a ledger, and writes replace rows by key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.text import embedding_input, ngrams, normalize_title
 from ..functions.vec import cosine
-from ..operators import cluster, heat, search
+from ..operators import cluster, heat, knn, search
 from ..providers import embed, same_event
 from ..sources.storage import Store, checkpointed
 
 
+#: Earlier periods in which a run looks for items that came too late: two days.
+LATE_PERIODS = 8
+
+
+def period_key(period: str) -> str:
+    """What sorts period labels in time: the day and the place in it."""
+    day, _, slot = period.partition("_")
+    return day + str(K.PERIOD_ORDER.index(slot) + 1 if slot in K.PERIOD_ORDER else 9)
+
+
+def period_order(period: Column) -> Column:
+    """period_key of a column."""
+    return F.concat(F.substring(period, 1, 10), F.array_position(F.array(*[F.lit(p) for p in K.PERIOD_ORDER]), F.split(period, "_")[1]).cast("string"))
+
+
 def late(items: DataFrame, period: str) -> tuple[DataFrame, DataFrame]:
     """(of this period or later, late): items of earlier periods would wait for ever; they are told apart and reported."""
-    order = F.concat(F.substring("period", 1, 10), F.array_position(F.array(*[F.lit(p) for p in K.PERIOD_ORDER]), F.split("period", "_")[1]).cast("string"))
-    now = period[:10] + str(K.PERIOD_ORDER.index(period.split("_")[1]) + 1)
+    order, now = period_order(F.col("period")), period_key(period)
     return items.where(order >= now), items.where(order < now)
 
 
@@ -47,65 +63,116 @@ def group_heads(events: DataFrame) -> DataFrame:
     return g
 
 
-def merge_topics(heads: DataFrame, topics: DataFrame, least: float = K.MERGE_CONFIDENCE, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(topics after the merge, group_id -> topic_id). Groups first look for a topic of before (the nearest of at least this
-    similarity); the rest are clustered among themselves, so that two groups of one event make one topic. topics has x, the
-    vector of its title. A topic's new last activity is the newest of its items', also where that is older, as callers know it."""
-    spark = heads.sparkSession
-    h = heads.orderBy("id").limit(most) if most else heads
-    h = checkpointed(embed(h, "title"))
-    if topics.isEmpty():
-        found = spark.createDataFrame([], "id long, topic_id long, similarity double, rank int")
-    else:
-        found = search.candidates(h.select("id", "x"), topics.select("topic_id", F.col("topic_id").alias("id"), "x"), least=K.CANDIDATE_COSINE).where((F.col("rank") == 1) & (F.col("similarity") >= least))
+def place_groups(heads: DataFrame, topics: DataFrame, least: float = K.MERGE_CONFIDENCE, as_of: Column | None = None) -> DataFrame:
+    """heads (id, group_id, title) with x and the topic each belongs to: the nearest of at least this similarity among the active
+    topics with activity in the CANDIDATE_DAYS before as_of (without it, among all); the rest are clustered among
+    themselves, so that two groups of one event make one topic. topics has x, the vector of its title."""
+    h = checkpointed(embed(heads, "title"))
+    old = topics if as_of is None else search.mergeable(topics, topics, as_of)
+    found = search.candidates(h.select("id", "x"), old.select("topic_id", F.col("topic_id").alias("id"), "x"), least=K.CANDIDATE_COSINE).where((F.col("rank") == 1) & (F.col("similarity") >= least))
     with_target = checkpointed(h.join(found.select("id", "topic_id"), "id", "left"))
     new = with_target.where("topic_id IS NULL").drop("topic_id")
-    pairs = search.cosine_pairs(new.select(F.lit(0).alias("g"), "id", "x"), "g", least)
-    led = cluster.leader_clusters(new.select(F.col("id").alias("k")), pairs).select(F.col("k").alias("id"), F.col("leader").alias("topic_id"))
-    placed = with_target.where("topic_id IS NOT NULL").unionByName(new.join(led, "id"))
-    delta = placed.groupBy("topic_id").agg(F.min_by("title", "id").alias("n_title"), F.min("first_seen").alias("n_first"), F.max("last_active").alias("n_last"), F.sum("n").alias("n_items"), F.sum("heat").alias("n_heat"), F.min_by("x", "id").alias("n_x"))
-    merged = topics.join(delta, "topic_id", "full").select(
-        "topic_id", F.coalesce("title", "n_title").alias("title"), F.coalesce("first_seen", "n_first").alias("first_seen"), F.coalesce("n_last", "last_active").alias("last_active"),
-        (F.coalesce("intensity_total", F.lit(0)) + F.coalesce("n_items", F.lit(0))).alias("intensity_total"), F.greatest("heat", "n_heat").alias("heat"), F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("x", "n_x").alias("x"),
+    led = knn.leaders(new.select("id", "x"), least).select("id", F.col("leader").alias("topic_id"))
+    return with_target.where("topic_id IS NOT NULL").unionByName(new.join(led, "id"))
+
+
+TOPICS = "topic_id long, title string, first_seen timestamp_ntz, last_active timestamp_ntz, intensity_total long, heat double, status string, x array<double>, imported_total long"
+PLACED = "item_id long, period string, group_id string, topic_id long, seq long, fetched_at timestamp_ntz, heat_normalized double, title string, x array<double>"
+
+
+def table_or(store: Store, name: str, ddl: str, parts: list[str] | None = None) -> DataFrame:
+    return store.read(name, parts) if store.exists(name) else store.spark.createDataFrame([], ddl)
+
+
+def run_events(spark: SparkSession, store: Store, period: str) -> dict[str, int]:
+    """The first stage: the period's waiting items get their group and status in one write, which touches the period only."""
+    events = merge_events(store.read("items", [period]).where("merge_status = 'pending_event_merge'"))
+    events = checkpointed(events)
+    n, kept = events.agg(F.count("*"), F.count_if(F.col("merge_status") == "pending_global_merge")).first()
+    if n:
+        known = store.read("items", [period])
+        own = [c for c in known.columns if c not in ("group_id", "heat_normalized", "merge_status")]
+        store.upsert("items", events.select(*own, "group_id", "heat_normalized", "merge_status"))
+    return {"input": n, "kept": kept}
+
+
+def run_topics(spark: SparkSession, store: Store, period: str, as_of: datetime | None = None, most: int | None = K.MAX_GROUPS) -> dict[str, int]:
+    """The second stage: the first `most` waiting groups of the period are placed, and the tables follow. as_of: the run's time;
+    without it, the newest of the groups' items.
+
+    Where an item goes is decided once: the ledger `placements` gets a row for each item in one write, before any other state. A
+    run that is repeated after a failure, wherever it was, leaves out what the ledger has, and derives the rest from it."""
+    waiting = store.read("items", [period]).where("merge_status = 'pending_global_merge'")
+    placed = table_or(store, "placements", PLACED, [period])
+    waiting = checkpointed(waiting.join(placed.select(F.col("item_id").alias("id")), "id", "left_anti"))
+    heads = group_heads(waiting)
+    groups = heads.count()
+    if groups:
+        now = F.lit(as_of or heads.agg(F.max("last_active")).first()[0]).cast("timestamp_ntz")
+        heads = heads.orderBy("id").limit(most) if most and most < groups else heads
+        topics = table_or(store, "topics", TOPICS)
+        to = place_groups(heads.select("id", "group_id", "title"), topics, as_of=now)
+        to = to.select("group_id", F.col("id").alias("seq"), "topic_id", F.col("title").alias("head_title"), "x")
+        rows = waiting.join(to, "group_id")
+        head = F.col("id") == F.col("seq")
+        rows = rows.select(
+            F.col("id").alias("item_id"), "period", "group_id", "topic_id", "seq", "fetched_at", "heat_normalized", F.when(head, F.col("head_title")).alias("title"), F.when(head, F.col("x")).alias("x")
+        )
+        store.append("placements", rows)
+    return {"groups": groups, "left": max(0, groups - most) if most else 0, "topics": settle(spark, store, period)}
+
+
+def settle(spark: SparkSession, store: Store, period: str) -> int:
+    """Derives a period's state from the ledger: its nodes and heat, which are replaced, the topics that it touches, and the
+    status of its items. It can be repeated at any time. Returns how many topics the period touches."""
+    if not store.exists("placements"):
+        return 0
+    placed = store.read("placements", [period])
+    store.replace_parts("nodes", placed.select("topic_id", "item_id", F.col("fetched_at").alias("appended_at"), "period", "heat_normalized"), [period])
+    groups = placed.groupBy("topic_id", "period", "seq").agg(
+        F.sum("heat_normalized").alias("heat"), F.count("*").alias("source_count"), F.min("fetched_at").alias("first_seen"), F.max("fetched_at").alias("last_active")
+    )
+    heats = heat.add_groups(groups).join(groups.groupBy("topic_id").agg(F.min("first_seen").alias("first_seen"), F.max("last_active").alias("last_active")), "topic_id")
+    store.replace_parts("period_heat", heats, [period])
+    touched = checkpointed(placed.select("topic_id").distinct())
+    known = checkpointed(store.read_keys("topics", touched) if store.exists("topics") else spark.createDataFrame([], TOPICS))
+    oldest = known.agg(F.min("first_seen")).first()[0]
+    since = min(period_key(period), f"{oldest:%Y-%m-%d}0" if oldest else "9")
+    totals = store.read("period_heat", [p for p in store.partitions("period_heat") if period_key(p) >= since]).join(touched, "topic_id", "left_semi")
+    totals = totals.groupBy("topic_id").agg(
+        F.sum("source_count").alias("__n"), F.min("first_seen").alias("__first"), F.max_by("last_active", F.struct(period_order(F.col("period")), "last_active")).alias("__last"), F.max("heat").alias("__heat")
+    )
+    head = placed.where("title IS NOT NULL").groupBy("topic_id").agg(F.min_by(F.struct("title", "x"), "seq").alias("__head"))
+    t = totals.join(known, "topic_id", "left").join(head, "topic_id", "left")
+    imported = F.coalesce("imported_total", "intensity_total", F.lit(0))  # what a topic had before the ledger knew of it
+    t = t.select(
+        "topic_id", F.coalesce("title", "__head.title").alias("title"), F.least("first_seen", "__first").alias("first_seen"), F.col("__last").alias("last_active"),
+        (imported + F.col("__n")).alias("intensity_total"), F.greatest("heat", "__heat").alias("heat"), F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("x", "__head.x").alias("x"),
+        imported.cast("long").alias("imported_total"),
     )
-    return merged, placed.select("group_id", "topic_id")
-
-
-TOPICS = "topic_id long, title string, first_seen timestamp_ntz, last_active timestamp_ntz, intensity_total long, heat double, status string, x array<double>"
-
-
-def run_period(spark: SparkSession, store: Store, period: str) -> dict[str, int]:
-    """Both stages for one period, over the store's tables; run again, also after it failed between two writes, it changes
-    nothing more: nodes are upserted first, and a topic's intensity is how many nodes it has. Returns what a run log keeps."""
-    items = store.read("items")
-    log = {"late": late(items.where("merge_status = 'pending_event_merge'"), period)[1].count()}
-    events = checkpointed(merge_events(items.where(F.col("period") == period)))
-    log["input"], log["kept"] = events.count(), events.where("merge_status = 'pending_global_merge'").count()
-    if log["input"]:
-        topics = store.read("topics") if store.exists("topics") else spark.createDataFrame([], TOPICS)
-        merged, placed = merge_topics(group_heads(events), topics)
-        merged, placed = checkpointed(merged), checkpointed(placed)
-        nodes = events.join(placed, "group_id").select("topic_id", F.col("id").alias("item_id"), F.col("fetched_at").alias("appended_at"), "period", "heat_normalized")
-        status = F.when(F.col("merge_status") == "pending_global_merge", "merged").otherwise(F.col("merge_status"))
-        done = items.drop("merge_status").join(events.select("id", status.alias("merge_status")), "id").select(items.columns)
-        store.upsert("nodes", nodes, ["topic_id", "item_id"])
-        counted = store.read("nodes").groupBy("topic_id").agg(F.count("*").alias("__n"))
-        counted = merged.join(counted, "topic_id", "left").withColumn("intensity_total", F.coalesce("__n", "intensity_total"))
-        store.replace("topics", counted.select(merged.columns))
-        now = store.read("nodes").where(F.col("period") == period).groupBy("topic_id", "period")  # of earlier runs of the period, too
-        store.upsert("period_heat", now.agg(F.sum("heat_normalized").alias("heat"), F.count("*").alias("source_count")), ["topic_id", "period"])
-        store.upsert("items", done, ["id"])
-        log["topics"] = merged.count()
-    return log
+    store.upsert("topics", t)
+    store.replace_parts("topic_changes", touched.select("topic_id", F.lit(period).alias("period"), F.current_timestamp().cast("timestamp_ntz").alias("changed_at")), [period])
+    items = store.read("items", [period])
+    done = items.where("merge_status = 'pending_global_merge'").join(placed.select(F.col("item_id").alias("id")), "id", "left_semi")
+    store.upsert("items", done.withColumn("merge_status", F.lit("merged")))
+    return touched.count()
+
+
+def run_period(spark: SparkSession, store: Store, period: str, as_of: datetime | None = None, most: int | None = K.MAX_GROUPS) -> dict[str, int]:
+    """Both stages for one period. Run again, also after a failure between any two writes, it changes nothing more. It reads and
+    writes the period's partitions, and of the topics and their earlier heat what the period touches. Returns what a run log keeps."""
+    earlier = [p for p in store.partitions("items") if period_key(p) < period_key(period)][-LATE_PERIODS:]
+    log = {"late": store.read("items", earlier).where("merge_status = 'pending_event_merge'").count()}
+    return log | run_events(spark, store, period) | run_topics(spark, store, period, as_of, most)
 
 
 def start(spark: SparkSession, store: Store, path: str, schema: str, checkpoint: str):
     """A stream over item files: each micro-batch is stored by id, then every period in it is merged. Runs on what is there."""
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        known = rows.join(store.read("items").select("id"), "id", "left_anti") if store.exists("items") else rows
+        periods = sorted((r[0] for r in rows.select("period").distinct().collect()), key=period_key)
+        known = rows.join(store.read("items", periods).select("id"), "id", "left_anti") if store.exists("items") else rows
         store.append("items", known.dropDuplicates(["id"]))
-        periods = sorted((r[0] for r in rows.select("period").distinct().collect()), key=lambda p: (p[:10], K.PERIOD_ORDER.index(p.split("_")[1])))
         for p in periods:  # a batch holds the periods of a few runs
             run_period(spark, store, p)
 

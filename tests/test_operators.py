@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from pulsemill.operators import access, agent, cluster, context, heat, metrics, search
 from pulsemill.operators import topics as T
-from pulsemill.providers import chat_model, embed, judge_batch
+from pulsemill.providers import StubChat, chat_model, embed, judge_batch
 from pulsemill.sources import adapters as A
 from pulsemill.sources import hotlist
+from pulsemill.sources.schema import Table
 from pulsemill.sources.storage import Store
 from pulsemill.streaming import pipeline
 
@@ -86,14 +87,6 @@ def test_top_k_equals_sort(spark):
     assert [r.id for r in search.top_k(v, q.tolist(), 10).collect()] == want
 
 
-def test_blocks_of_queries_change_nothing(spark):
-    v = A.vectors(spark, SF)
-    i, s = v.where("object_type = 'source_item'"), v.where("object_type = 'topic_summary'")
-    one = search.candidates(i, s, least=0.2)
-    some = search.candidates(i, s, least=0.2, queries_per_block=40)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, some.collect())) != []
-
-
 def test_metrics_of_nothing(spark):
     t = T.with_hours(A.topics(spark, SF)).limit(0)
     rows = metrics.category_metrics(t).collect()
@@ -169,11 +162,11 @@ def test_a_failed_period_counts_once(spark, tmp_path, failing):
     class Fails(Store):
         writes = 0
 
-        def replace(self, name, df, partition_by=None):
+        def _publish(self, *a, **b):
             Fails.writes += 1
             if Fails.writes == failing:
                 raise OSError("lost")
-            super().replace(name, df, partition_by)
+            super()._publish(*a, **b)
 
     whole, broken = Store(spark, str(tmp_path / "whole")), Store(spark, str(tmp_path / "broken"))
     for s in (whole, broken):
@@ -215,7 +208,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    s = Store(spark, str(tmp_path))
+    s = Store(spark, str(tmp_path), {"t": Table(keys=("k",), partition="day")})
     df = spark.createDataFrame([(1, "a", "d1"), (2, "b", "d2")], "k int, v string, day string")
     s.append("t", df)
     s.upsert("t", spark.createDataFrame([(2, "c", "d2"), (3, "d", "d3")], df.schema), ["k"])
@@ -246,6 +239,19 @@ def test_plan():
     assert agent.plan("搜索 alpha 离婚")[0] == {"tool": "topic_search", "args": {"keywords": ["alpha", "离婚"], "platforms": [], "match_all": False}}
 
 
+def test_plan_with_history():
+    """A turn that only refines the one before asks that one again, with its tool and the new time filter."""
+    asked = [{"role": "user", "content": "微博最热的电影主题有哪些"}, {"role": "assistant", "content": "十个。\n\n（本次使用工具：topic_query）"}]
+    assert agent.resolve("只看近7天", asked) == ("微博最热的电影主题有哪些 只看近7天", {"all_time": False, "recent_days": 7}, True, "topic_query")
+    first = agent.plan(asked[0]["content"])[0]
+    assert agent.plan("只看近7天", asked) == [{"tool": "topic_query", "args": {**first["args"], "recent_days": 7}}]
+    assert agent.plan("不要最近", asked) == [first] and agent.resolve("不限时间", asked)[1]["all_time"]
+    assert agent.plan("只看近7天") == [{"tool": "topic_search", "args": {"keywords": [], "platforms": [], "match_all": False, "recent_days": 7}}]
+    searched = [{"role": "user", "content": "搜索 alpha"}, {"role": "assistant", "content": "x（本次使用工具：topic_search）"}, {"role": "assistant", "content": "no footer"}]
+    assert agent.plan("改为最近30天", searched)[0] == {"tool": "topic_search", "args": {"keywords": ["alpha"], "platforms": [], "match_all": False, "recent_days": 30}}
+    assert agent.plan("知乎最新列表", asked)[0]["args"]["order"] == "echo_length_desc" and agent.plan("知乎最新列表", asked)[0]["args"]["platforms"] == ["zhihu"]
+
+
 def test_ask(spark):
     ctx = agent.topic_context(3, A.summaries(spark, SF), A.items_titled(spark, SF))
     got = agent.ask("what?", ctx)
@@ -253,6 +259,14 @@ def test_ask(spark):
     events = list(agent.ask_stream("what?", ctx))
     assert events[0].startswith("event: token\ndata: ") and events[-1].startswith("event: done") and all(e.endswith("\n\n") for e in events)
     assert agent.ask("x", None)["answer"] == agent.FALLBACK
+
+    class Breaks(StubChat):
+        def stream(self, messages, **options):
+            yield from ("one ", "<think>no</think>", "two")
+            raise OSError("cut off")
+
+    broken = list(agent.ask_stream("what?", ctx, Breaks()))
+    assert [json.loads(e.split("data: ")[1]) for e in broken] == [{"content": "one "}, {"content": "two"}, {"message": "cut off"}] and broken[-1].startswith("event: error")
     v = embed(A.topics(spark, SF).select("topic_id", F.col("topic_id").alias("id"), "title"), "title").withColumn("object_type", F.lit("topic_summary"))
     one = A.topics(spark, SF).first()
     hits = agent.topic_search(A.topics(spark, SF), A.items(spark, SF), v, one.title, []).collect()

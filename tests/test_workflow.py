@@ -38,7 +38,7 @@ def test_drain_and_refresh(spark, tmp_path):
     runs = store.read("runs").collect()
     assert sorted((r.period, r.status) for r in runs) == [("2024-01-01_AM", "success"), ("2024-01-01_PM", "success")] and all('"kept": 4' in r.counters for r in runs)
     assert sorted((r.topic_id, r.source_count) for r in store.read("period_heat").collect()) == [(1, 2), (1, 2), (3, 2), (3, 2)]
-    want = dict.fromkeys(["peaks", "categories", "summaries", "stats", "view", "category_metrics"], "ok")
+    want = dict.fromkeys(["timestamp", "peaks", "categories", "summaries", "stats", "view", "category_metrics"], "ok")
     assert upkeep.refresh(spark, store, as_of()) == want
     tables = {n: store.read(n).count() for n in ("topic_categories", "summaries", "summary_vectors", "topic_item_view", "category_days")}
     assert tables == {"topic_categories": 2, "summaries": 2, "summary_vectors": 2, "topic_item_view": 8, "category_days": 3}
@@ -47,6 +47,31 @@ def test_drain_and_refresh(spark, tmp_path):
     assert store.read("topics").join(peaks, "topic_id").where("abs(heat - p) > 1e-12").count() == 0
 
 
+def test_refresh_of_changed_topics_equals_a_full_one(spark, tmp_path):
+    """Three rounds of merging and refreshing leave what one full refresh leaves, and a round writes only rows of its topics."""
+    step, whole = Store(spark, str(tmp_path / "step")), Store(spark, str(tmp_path / "whole"))
+    titles = ["alpha star marries beta", "new law on rivers passed", "third thing entirely different", "xyz quiet words here now"]
+    for k, (period, at) in enumerate([("2024-01-01_MORN", "2024-01-01 09:00:00"), ("2024-01-01_AM", "2024-01-01 11:00:00"), ("2024-01-01_PM", "2024-01-01 15:00:00")]):
+        rows = [(100 * k + j, period, "weibo", titles[(k + j // 2) % 4], "s", float(j), "pending_event_merge", '{"like": %d}' % j) for j in range(4)]
+        items = spark.createDataFrame(rows, "id long, period string, platform string, title string, summary string, heat_value double, merge_status string, interactions string").withColumn("fetched_at", F.lit(at).cast("timestamp_ntz"))
+        for s in (step, whole):
+            s.append("items", items)
+            pipeline.run_period(spark, s, period)
+        view = step.manifest("topic_item_view")["parts"]
+        assert set(upkeep.refresh(spark, step, as_of()).values()) == {"ok"}
+        changed = {p for p, f in step.manifest("topic_item_view")["parts"].items() if f != view.get(p)}
+        buckets = spark.createDataFrame(step.read("topic_changes", [period]).select("topic_id").collect()).selectExpr("concat('v', pmod(xxhash64(topic_id), 64)) AS b")
+        assert changed == {r.b for r in buckets.collect()}
+    assert upkeep.changed_topics(step)[0].count() == 0
+    assert set(upkeep.refresh(spark, whole, as_of(), full=True).values()) == {"ok"}
+    for name in ("topic_item_view", "topic_categories", "topic_stats", "category_days", "topics", "summaries"):
+        a, b = step.read(name), whole.read(name)
+        leave = {"changed_at", "content", "method", "summary"}  # summaries are of the time they were written
+        cols = [c for c in a.columns if c not in leave]
+        assert sorted(map(repr, a.select(cols).collect())) == sorted(map(repr, b.select(cols).collect())), name
+    assert step.read("system_config").where("key = 'last_merge_time'").first()["value"] == "2024-01-02 00:00:00"
+
+
 def test_a_failed_stage_is_logged_and_others_run(spark, tmp_path):
     store = full_store(spark, tmp_path / "s")
 
@@ -57,7 +82,7 @@ def test_a_failed_stage_is_logged_and_others_run(spark, tmp_path):
         upkeep.logged(spark, store, "2024-01-01_AM", "merge", bad)
     assert [(r.status, r.error) for r in store.read("runs").collect()] == [("failed", "lost")]
     done = upkeep.refresh(spark, store, as_of())  # there are no topics yet
-    assert set(done) == {"peaks", "categories", "summaries", "stats", "view", "category_metrics"} and all(v != "ok" for v in done.values())
+    assert set(done) == {"timestamp", "peaks", "categories", "summaries", "stats", "view", "category_metrics"} and all(v != "ok" for v in done.values())
 
 
 def test_a_second_run_of_a_period_adds_sources(spark, tmp_path):
@@ -94,7 +119,7 @@ def test_summary_of_a_failing_model_is_a_placeholder_and_an_update_keeps_the_old
 def test_agent_runs_its_plan(spark):
     t, s, i, v = A.topics(spark, SF), A.summaries(spark, SF), A.items_titled(spark, SF), A.vectors(spark, SF)
     got = agent.respond("微博最热的主题有哪些", t, s, i, v)
-    assert got["diagnostics"]["tools"] == ["topic_query"] and got["answer"].endswith("（本次使用工具：topic_query）") and len(got["citations"]) == 10
+    assert got["diagnostics"]["tools"] == ["topic_query"] and got["answer"].endswith("（本次使用工具：topic_query）") and len(got["citations"]) == 20
     want = T.topic_query(T.item_view(t, s, i), platforms=["weibo"], order="heat_desc", limit=10)
     calls = [{"tool": "topic_query", "args": {"platforms": ["weibo"], "title_contains": None, "order": "heat_desc"}}]
     context = agent.execute(calls, "q", t, s, i, v)
