@@ -45,7 +45,8 @@ def first_list(json: Column) -> Column:
 
 
 def element(page: Column, name: str, tag: str = "div") -> Column:
-    """The first element with this class or id, with what it holds; null if there is none or it isn't closed."""
+    """The first element with this class or id, with what it holds but scripts and styles; null if there is none or it isn't closed."""
+    page = F.regexp_replace(page, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
     rest = F.regexp_extract(page, rf"(?is)(<{tag}\b[^>]*\b(?:class|id)\s*=\s*[\"'](?:[^\"']*\s)?{name}(?:\s[^\"']*)?[\"'].*)$", 1)
     pieces = F.filter(F.split(rest, rf"(?i)(?=</?{tag}\b)"), lambda x: x != "")
 
@@ -60,9 +61,8 @@ def element(page: Column, name: str, tag: str = "div") -> Column:
 
 
 def element_text(html: Column) -> Column:
-    """The texts of an element, each without blanks at its ends, put together; scripts and styles left out."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    said = F.array_join(F.transform(F.split(bare, r"<[^>]*>"), strip), "")
+    """The texts of an element, each without blanks at its ends, put together."""
+    said = F.array_join(F.transform(F.split(html, r"<[^>]*>"), strip), "")
     for mark, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         said = F.replace(said, F.lit(mark), F.lit(char))
     return F.regexp_replace(said, r"\s+", " ")

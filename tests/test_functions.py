@@ -77,7 +77,11 @@ def test_json(spark):
     assert value(spark, jsonx.lenient_json(lit('so {"a": 1} ok'))) == '{"a": 1}' and value(spark, jsonx.lenient_json(lit("no {"))) is None
     assert value(spark, jsonx.engagement(lit('{"hot_score": "", "engagement": "12"}'))) == 12 and value(spark, jsonx.engagement(lit('{"hot_score": "x"}'))) is None
     assert value(spark, jsonx.interaction_total(lit('{"like": 2, "view": "5", "other": 9}'))) == 7
-    assert value(spark, jsonx.summary_field(lit('<x>{"summary": "good", "key_points": []}'))) == "good"
+    long = "good " * 11
+    assert value(spark, jsonx.summary_field(lit('<x>{"summary": "%s", "key_points": []}' % long))) == long
+    # 50 characters or fewer inside a text: read as broken, up to the last quote that leaves those inside in pairs
+    assert value(spark, jsonx.summary_field(lit('<x>{"summary": "good", "key_points": []}'))) == 'good", "key_points'
+    assert value(spark, jsonx.summary_field(lit('{"summary": "good \\"day\\" and\\nmore", "key'))) == 'good "day" and\nmore'
     cat, conf = jsonx.category_answer(lit('{"category": "entertainment", "confidence": 1.7}'), ["entertainment", "current_affairs"])
     assert (value(spark, cat), value(spark, conf)) == ("entertainment", 1.0)
     cat, conf = jsonx.category_answer(lit("it is current_affairs"), ["entertainment", "current_affairs"])
