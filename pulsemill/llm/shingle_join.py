@@ -68,6 +68,18 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(slot, minlength=1 << order) & 1).astype(np.uint8)).tobytes()
 
 
+#: Bytes of a bitmap that rows of shingles carry at most; whole ones are compared for the pairs that these leave open.
+BRIEF = 256
+
+
+def brief(bits: bytes) -> bytes:
+    """The bitmap folded to BRIEF bytes if it is larger: parities of neighbouring slots together."""
+    if len(bits) <= BRIEF:
+        return bits
+    slots = np.unpackbits(np.frombuffer(bits, np.uint8)).reshape(8 * BRIEF, -1)
+    return np.packbits(np.bitwise_xor.reduce(slots, axis=1)).tobytes()
+
+
 def differing_bits(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """In how many bits the bitmaps of each pair differ, the larger one folded: a lower bound of how many shingles do."""
     size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
@@ -116,12 +128,12 @@ def rarest(x: np.ndarray, similarity: float, often: np.ndarray, count: np.ndarra
 
 FIELDS = [
     T.StructField("set_id", T.LongType()), T.StructField("n", T.IntegerType()),
-    T.StructField("prefix", T.BinaryType()), T.StructField("bits", T.BinaryType()),
+    T.StructField("prefix", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("brief", T.BinaryType()),
 ]
 
 
 def set_columns(words: list[list[bytes]], width: int, similarity: float, often: np.ndarray, count: np.ndarray) -> list[pa.Array]:
-    """set_id, n, prefix and bitmap of each text."""
+    """set_id, n, prefix, bitmap and folded bitmap of each text."""
     ids, size, prefix, bits = [], [], [], []
     for w in words:
         x = shingle_set(w, width)
@@ -129,7 +141,7 @@ def set_columns(words: list[list[bytes]], width: int, similarity: float, often:
         size.append(len(x))
         prefix.append(rarest(x, similarity, often, count).tobytes())
         bits.append(bitmap(x) if len(x) else b"")
-    return [pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+    return [pa.array(ids, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary()), pa.array([brief(b) for b in bits], pa.binary())]
 
 
 def may_be_similar(n: np.ndarray, place: np.ndarray, other_n: np.ndarray, other_place: np.ndarray, similarity: float) -> np.ndarray:
@@ -181,7 +193,7 @@ def _shared(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
 
 
 def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, width: int = 5, most: int = 1024) -> DataFrame:
-    """Edges (u, v) between components of sets (set_id, n, prefix, bits, row, component; set_id distinct) that connect
+    """Edges (u, v) between components of sets (set_id, n, prefix, bits, brief, row, component; set_id distinct) that connect
     just what pairs of at least this similarity connect. docs (row, text) has the texts; a set's row is one with its text."""
     ship(docs.sparkSession)
     row = "key bigint, place int, set_id bigint, n int, component bigint"
@@ -246,15 +258,20 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, width: in
 
     stars = with_other("hub").unionByName(with_other("next"))
     left, right = (sets.select(F.col("set_id").alias(k), F.col("bits").alias(x), F.col("n").alias(m)) for k, x, m in (("a", "x", "n"), ("b", "y", "m")))
-    both = stars.distinct().join(left, "a").join(right, "b").select("a", "b", "u", "v", "x", "y", "n", "m")
-    stars = verified(both.mapInArrow(open_pairs, "a bigint, b bigint, u bigint, v bigint"), "stars")
+    pair = "a bigint, b bigint, u bigint, v bigint"
+
+    def by_bitmaps(pairs: DataFrame) -> DataFrame:
+        """The pairs that the whole bitmaps leave open."""
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v", "x", "y", "n", "m").mapInArrow(open_pairs, pair)
+
+    stars = verified(by_bitmaps(stars.distinct()), "stars")
 
     keys = ["key", "__i", "__j"]
 
     def apart(edges: DataFrame) -> DataFrame:
         """Rows of shingles that sets of several components share, after these edges, dealt out and sorted by shingle."""
         wider = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("wider"))
-        now = sets.select("set_id", "bits", "component").join(wider, "component", "left")
+        now = sets.select("set_id", F.col("brief").alias("bits"), "component").join(wider, "component", "left")
         now = now.select("set_id", "bits", F.coalesce("wider", "component").alias("component"))
         own = rows.select("key", "place", "set_id", "n", "size").join(now, "set_id")
         few = own.where(F.col("size").between(1, most)).drop("size").withColumns({c: F.lit(0) for c in ("__r", "__i", "__j")})
@@ -281,11 +298,18 @@ def similar_links(docs: DataFrame, sets: DataFrame, similarity: float, width: in
                     if len(a):
                         swap = of[a] > of[b]
                         a, b = np.where(swap, b, a), np.where(swap, a, b)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[a], of[b], component[a], component[b])], ["a", "b", "u", "v"])
+                        whole = np.maximum(n[a], n[b]) <= 8 * BRIEF
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[a], of[b], component[a], component[b], whole)], ["a", "b", "u", "v", "whole"])
 
         return pairs
 
-    pair = "a bigint, b bigint, u bigint, v bigint"
-    near = verified(apart(stars).mapInArrow(open_in_runs(8), pair).distinct(), "near")
-    edges = stars.unionByName(near)
-    return edges.unionByName(verified(apart(edges).mapInArrow(open_in_runs(None), pair).distinct(), "rest"))
+    def linked(edges: DataFrame, reach: int | None, name: str) -> DataFrame:
+        """The edges of similar pairs among what these edges leave apart. Pairs of sets whose rows have folded bitmaps are held
+        against their whole ones before any text is read."""
+        near = written(apart(edges).mapInArrow(open_in_runs(reach), f"{pair}, whole boolean").distinct(), f"{name}-pairs")
+        long = near.where("NOT whole").drop("whole")
+        near = near.where("whole").drop("whole")
+        return verified(near if long.isEmpty() else near.unionByName(by_bitmaps(long)), name)
+
+    edges = stars.unionByName(linked(stars, 8, "near"))
+    return edges.unionByName(linked(edges, None, "rest"))

@@ -149,7 +149,7 @@ def groups(docs: DataFrame, width: int = 3, radius: int = 3, similarity: float |
         linked = written(linked, "linked")
         of_row = of_set.join(reps.select("row"), "row").join(linked, "fp", "left").select("row", F.coalesce("component", "fp").alias("component"))
         sets = fps.join(of_row, "row")
-        sets = written(sets.select("set_id", "n", "prefix", "bits", "row", "component"), "sets")
+        sets = written(sets.select("set_id", "n", "prefix", "bits", "brief", "row", "component"), "sets")
         more = shingle_join.similar_links(docs, sets, similarity)
         wider = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("wider"))
         of = nodes.select("fp").join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")).join(wider, "component", "left")
