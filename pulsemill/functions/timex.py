@@ -25,6 +25,12 @@ def ts_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
 
+def iso_text(ts: Column) -> Column:
+    """ISO 8601, with microseconds where there are any."""
+    micros = F.date_format(ts, "SSSSSS")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)))
+
+
 def date_range(q: Column, as_of: Column) -> tuple[Column, Column]:
     """(start, end) that a query names, on the date as_of: explicit dates first, then relative spans; null if none."""
     found = F.regexp_extract_all(q, F.lit(r"(\d{4}[\-/年]\d{1,2}[\-/月]\d{1,2})"), F.lit(1))

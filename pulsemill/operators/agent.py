@@ -220,8 +220,13 @@ def asked(question: str, context: DataFrame | None) -> tuple[list, list[dict]]:
     return rows, [{"role": "user", "content": f"{said}\n问：{question}\n答：{said[:200]}"}]
 
 
+def citation(c: dict) -> dict:
+    """What readers get of a citation; what it lacks is empty."""
+    return {"topic_id": c.get("topic_id"), "node_id": c.get("node_id"), **{k: c.get(k) or "" for k in ("source_url", "snippet", "platform")}}
+
+
 def citations(rows: list) -> list[dict]:
-    return [{"pos": r["pos"], "snippet": r["chunk"][:150]} for r in rows]
+    return [{"pos": r["pos"], **citation({**r.asDict(), "snippet": r["chunk"][:150]})} for r in rows]
 
 
 def ask(question: str, context: DataFrame | None, model: ChatModel | None = None) -> dict:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import jsonx, prompts, text
 from ..providers import judge_batch
+from ..sources.storage import checkpointed
 from . import topics as T
 
 # What a topic without nodes, or with an unusable answer, gets; and the confidence from which rules decide.
@@ -32,19 +35,32 @@ def by_rule(topics: DataFrame, items: DataFrame, force_model: bool = False) -> D
     )
 
 
-def by_model(rows: DataFrame, provider: str = "stub", **options) -> DataFrame:
-    """rows of by_rule, each asked of a model; failures and answers that name no category get the default."""
-    asked = judge_batch(rows.select("topic_id", prompts.classify(F.col("title"), F.slice("texts", 1, 10)).alias("prompt")), "prompt", provider, **options)
+def asked(rows: DataFrame, provider: str = "stub", **options) -> DataFrame:
+    """rows of by_rule, each asked of a model: topic_id, prompt, answer, status."""
+    return judge_batch(rows.select("topic_id", prompts.classify(F.col("title"), F.slice("texts", 1, 10)).alias("prompt")), "prompt", provider, **options)
+
+
+def told(answers: DataFrame) -> DataFrame:
+    """What the answers say; failures and answers that name no category get the default."""
     category, confidence = jsonx.category_answer(text.after_think(F.col("answer")), list(K.CATEGORIES))
     ok = (F.col("status") == "success") & category.isNotNull()
-    return asked.select("topic_id", F.when(ok, category).otherwise(DEFAULT).alias("category"), F.when(ok, confidence).otherwise(DEFAULT_CONFIDENCE).alias("confidence"), F.lit("llm").alias("method"))
+    return answers.select("topic_id", F.when(ok, category).otherwise(DEFAULT).alias("category"), F.when(ok, confidence).otherwise(DEFAULT_CONFIDENCE).alias("confidence"), F.lit("llm").alias("method"))
+
+
+def by_model(rows: DataFrame, provider: str = "stub", **options) -> DataFrame:
+    return told(asked(rows, provider, **options))
 
 
-def classify(topics: DataFrame, items: DataFrame, provider: str = "stub", force_model: bool = False, **options) -> DataFrame:
-    """(topic_id, category, confidence, method) of each topic. Only topics that rules leave open go to the model."""
+def classify(topics: DataFrame, items: DataFrame, provider: str = "stub", force_model: bool = False, record: Callable[[DataFrame], None] | None = None, **options) -> DataFrame:
+    """(topic_id, category, confidence, method) of each topic. Only topics that rules leave open go to the model; record gets
+    its answers, which are kept, so that a model is asked once."""
     t = by_rule(topics, items, force_model)
     sure = t.where("method IS NOT NULL").select("topic_id", "category", "confidence", "method")
-    return sure.unionByName(by_model(t.where("method IS NULL"), provider, **options))
+    answers = asked(t.where("method IS NULL"), provider, **options)
+    if record is not None:
+        answers = checkpointed(answers)
+        record(answers)
+    return sure.unionByName(told(answers))
 
 
 def unclassified(topics: DataFrame) -> DataFrame:

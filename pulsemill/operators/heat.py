@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_WEIGHT, PERIOD_ORDER, PLATFORM_WEIGHTS
 
 
+def weights_of(setting: str) -> dict[str, float]:
+    """Platform weights as a setting has them: a JSON object of numbers; ValueError for anything else."""
+    found = json.loads(setting)
+    if not isinstance(found, dict) or not all(isinstance(v, int | float) and not isinstance(v, bool) for v in found.values()):
+        raise ValueError("weights are a JSON object of numbers")
+    return {k: float(v) for k, v in found.items()}
+
+
 def weight(platform: Column, weights: dict[str, float] | None = None) -> Column:
     table = F.create_map(*[F.lit(x) for kv in (weights or PLATFORM_WEIGHTS).items() for x in kv])
     return F.coalesce(table[platform], F.lit(DEFAULT_WEIGHT))

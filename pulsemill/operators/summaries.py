@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .. import constants as K
 from ..functions import jsonx, prompts, text
 from ..functions.timex import hours_between
 from ..providers import embed, judge_batch
+from ..sources.storage import Store, checkpointed
 from . import topics as T
 
 
@@ -42,15 +45,18 @@ def resolved(answers: DataFrame) -> DataFrame:
     return answers.select("topic_id", content.alias("content"), method.alias("method")).where("content IS NOT NULL")
 
 
-def refresh(topics: DataFrame, nodes: DataFrame, summaries: DataFrame, as_of: Column, provider: str = "stub", **options) -> DataFrame:
+def refresh(topics: DataFrame, nodes: DataFrame, summaries: DataFrame, as_of: Column, provider: str = "stub", record: Callable[[DataFrame], None] | None = None, **options) -> DataFrame:
     """New summaries (topic_id, content, method, generated_at) of the topics that are due. nodes also have a text, of which
-    the key nodes' go into the prompt: 15 at most for each topic."""
+    the key nodes' go into the prompt: 15 at most for each topic. record gets the model's answers, which are kept, so that a model is asked once."""
     t = due(topics, nodes, summaries, as_of).where("mode <> 'keep'")
     said = F.sort_array(F.collect_list(F.struct("pos", "text")))
     key = T.key_nodes(nodes.join(t.select("topic_id"), "topic_id", "left_semi")).groupBy("topic_id").agg(F.transform(said, lambda s: s["text"]).alias("texts"))
     t = t.join(key, "topic_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
     prompt = F.when(F.col("mode") == "full", prompts.full_summary(F.col("title"), F.col("texts"))).otherwise(prompts.incremental_summary(F.col("title"), F.col("old"), F.col("texts")))
     answers = judge_batch(t.select("topic_id", "title", "mode", prompt.alias("prompt")), "prompt", provider, **options)
+    if record is not None:
+        answers = checkpointed(answers)
+        record(answers)
     return resolved(answers).withColumn("generated_at", as_of)
 
 
@@ -67,3 +73,13 @@ def judgements(answers: DataFrame, kind: str, target: str, as_of: Column) -> Dat
         F.lit(kind).alias("kind"), F.col(target).cast("bigint").alias("target_id"), "status", F.col("prompt").alias("request"), F.col("answer").alias("response"),
         tokens("prompt").alias("tokens_prompt"), tokens("answer").alias("tokens_completion"), as_of.alias("created_at"),
     )
+
+
+def recorder(store: Store, kind: str, as_of: Column, provider: str = "stub", target: str = "topic_id") -> Callable[[DataFrame], None]:
+    """What writes answers to the store's judgements; the same answer of the same time again takes its own place."""
+
+    def put(answers: DataFrame) -> None:
+        rows = judgements(answers, kind, target, as_of.cast("timestamp_ntz")).withColumn("provider", F.lit(provider))
+        store.upsert("judgements", rows.withColumn("id", F.sha1(F.concat_ws(":", "kind", F.col("target_id").cast("string"), F.col("created_at").cast("string"), "request"))))
+
+    return put

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import jsonx
-from ..operators import context
+from ..functions import jsonx, timex
+from ..operators import context, heat
 from ..sources import adapters as A
 from ..sources import pages
 from .catalogue import query
@@ -81,3 +81,17 @@ def followup_plan(s, d):
     answer = F.concat(t, F.when(k % 4 == 0, "（本次使用工具：topic_query, topic_search）").when(k % 4 == 1, "（本次使用工具：topic_search）").otherwise(""))
     said = F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", answer).otherwise(t)
     return context.followups(A.read(s, d, "conversations").select("conv_id", "turn", "role", said.alias("text")))
+
+
+@query("SELECT topic_id, strftime(last_active, '%Y-%m-%dT%H:%M:%S') || CASE WHEN extract('microsecond' FROM last_active) % 1000000 = 0 THEN '' ELSE strftime(last_active, '.%f') END AS last_active, strftime(first_seen + INTERVAL 1500 MICROSECOND, '%Y-%m-%dT%H:%M:%S.%f') AS later FROM topics")
+def topics_iso(s, d):
+    return A.topics(s, d).select("topic_id", timex.iso_text(F.col("last_active")).alias("last_active"), timex.iso_text(F.col("first_seen") + F.expr("INTERVAL '0.0015' SECOND")).alias("later"))
+
+
+_WEIGHTS = '{"weibo": 2, "sina": 0.5}'
+
+
+@query("""SELECT platform, count(*) AS n, round(sum(CASE platform WHEN 'weibo' THEN 2.0::DOUBLE WHEN 'sina' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END * coalesce(heat_value, 0.0)), 4) AS weighted FROM core GROUP BY platform""")
+def heat_by_setting(s, d):
+    w = heat.weight(F.col("platform"), heat.weights_of(_WEIGHTS))
+    return A.items(s, d).groupBy("platform").agg(F.count("*").alias("n"), F.round(F.sum(w * F.coalesce("heat_value", F.lit(0.0))), 4).alias("weighted"))

@@ -34,6 +34,11 @@ class Table:
             return F.lit("all")
         return F.coalesce(F.concat(F.lit("v"), F.expr(self.partition).cast("string")), F.lit("null"))
 
+    def typed(self, keys: DataFrame) -> DataFrame:
+        """keys in the declared types, on which partitions depend."""
+        kinds = {f.name: f.dataType for f in self.columns()}
+        return keys.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in keys.columns])
+
     def checked(self, df: DataFrame) -> DataFrame:
         """df with the declared columns in their types. One that is missing is null, or an error if it is declared NOT NULL; so
         is a null in it, when the rows are written."""
@@ -71,7 +76,10 @@ TABLES = {
     "index_vectors": Table("object_type string NOT NULL, id long NOT NULL, topic_id long, x array<double>, cell int NOT NULL", ("object_type", "id"), "concat(object_type, '-', cell)"),
     "index_cells": Table("object_type string NOT NULL, cell int NOT NULL, n long, radius double, reach double", ("object_type", "cell"), "object_type"),
     "index_centres": Table("cell int NOT NULL, centre array<double>, length double", ("cell",)),
-    "judgements": Table("id string NOT NULL, type string, status string, request string, response string, period string", ("id",), "period"),
+    "judgements": Table(
+        "id string NOT NULL, kind string NOT NULL, target_id long, status string, request string, response string, tokens_prompt long, tokens_completion long, created_at timestamp_ntz, provider string",
+        ("id",), "date_format(created_at, 'yyyy-MM-dd')",
+    ),
     "category_days": Table("day string NOT NULL, category string", ("day", "category"), "day"),
     "runs": Table("run_id string NOT NULL, period string, stage string, status string, started_at timestamp_ntz, finished_at timestamp_ntz, counters string, error string", ("run_id",), "substring(period, 1, 10)"),
     "late_items": Table("id long NOT NULL, period string NOT NULL", ("id",), "period"),

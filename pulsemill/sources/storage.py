@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
@@ -16,9 +18,26 @@ from pyspark.sql import types as T
 from .schema import TABLES, Table
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        _shipped.add(sc.applicationId)
+        package = Path(__file__).parents[1]
+        to = Path(tempfile.mkdtemp(prefix="pulsemill-")) / "pulsemill_package.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(str(to))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where that is unset, on one machine only, a folder of our own."""
     sc = spark.sparkContext
+    ship(spark)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local[") and sc.master != "local":
@@ -169,6 +188,7 @@ class Store:
 
     def read_keys(self, name: str, keys: DataFrame) -> DataFrame:
         """The rows with these keys (columns of the table, by which it is cut), from the partitions that can hold them."""
+        keys = self._table(name).typed(keys)
         cut = keys.select(self._table(name).part().alias("p")).distinct()
         m = self.manifest(name)
         found = self._read(name, m, [r["p"] for r in cut.collect()])  # a row for each partition at most
@@ -218,7 +238,7 @@ class Store:
         """Rows with these keys (columns by which the table is cut) go, and the rows of df, which have no other keys, come. Only
         the partitions that have or get such rows are written."""
         base = self.manifest(name)
-        keys = checkpointed(keys.distinct())
+        keys = checkpointed(self._table(name).typed(keys).distinct())
         parts, schema = self._write(name, df)
         touched = {r["p"] for r in keys.select(self._table(name).part().alias("p")).distinct().collect()} & set(base["parts"])  # a row for each partition at most
         if touched:

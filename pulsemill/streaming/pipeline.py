@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.text import embedding_input, ngrams, normalize_title
 from ..functions.vec import cosine
-from ..operators import cluster, heat, knn, search
+from ..operators import cluster, heat, knn, search, summaries
 from ..providers import embed, same_event
 from ..sources.storage import Store, checkpointed
 
@@ -40,20 +40,25 @@ def late(items: DataFrame, period: str) -> tuple[DataFrame, DataFrame]:
 def merge_events(items: DataFrame, cos: float = K.CLUSTER_COSINE, jac: float = K.CLUSTER_JACCARD) -> DataFrame:
     """Pending items (id, period, platform, title, summary, heat_value) with group, leader, occurrence and status: share of heat,
     leader clusters by title and vector within the period, the judge's word on each member, groups of two at least go on."""
-    pending = heat.normalize(items.where("merge_status = 'pending_event_merge'")).withColumn("__text", embedding_input(F.col("title"), F.col("summary")))
-    pending = checkpointed(embed(pending, "__text").drop("__text"))
-    grams = pending.select("period", "id", ngrams(normalize_title(F.col("title"))).alias("g"))
-    pairs = cluster.jaccard_pairs(grams, "period", "id", "g", jac)
-    x = pending.select("id", "x")
+    pending = heat.normalize(items.where("merge_status = 'pending_event_merge'"))
+    pending = pending.withColumns({"__text": embedding_input(F.col("title"), F.col("summary")), "__title": normalize_title(F.col("title"))})
+    # items with one title and text have the same neighbours and one another: the first of them stands for all, so that a crowd
+    # of copies makes no pairs
+    copies = pending.groupBy("period", "__title", "__text").agg(F.min("id").alias("__rep"))
+    pending = pending.join(copies, ["period", "__title", "__text"]).withColumn("__rep", F.when(F.length("__title") >= 2, F.col("__rep")).otherwise(F.col("id")))
+    pending = checkpointed(pending)
+    first = checkpointed(embed(pending.where("id = __rep").select("period", "id", "__title", "__text"), "__text"))
+    pairs = cluster.jaccard_pairs(first.select("period", "id", ngrams(F.col("__title")).alias("g")), "period", "id", "g", jac)
+    x = first.select("id", "x")
     pairs = pairs.join(x.select(F.col("id").alias("a"), F.col("x").alias("ax")), "a").join(x.select(F.col("id").alias("b"), F.col("x").alias("bx")), "b")
     pairs = checkpointed(pairs.withColumn("cosine", cosine(F.col("ax"), F.col("bx"))).where(F.col("cosine") >= cos).select("a", "b", "jaccard", "cosine"))
-    led = cluster.leader_clusters(pending.select(F.col("id").alias("k")), pairs)
+    led = cluster.leader_clusters(first.select(F.col("id").alias("k")), pairs)
     same, confidence = same_event(F.col("jaccard"), F.col("cosine"))
     led = led.join(pairs.select(F.col("a").alias("leader"), F.col("b").alias("k"), "jaccard", "cosine"), ["leader", "k"], "left")
     accept = (F.col("k") == F.col("leader")) | F.coalesce(same, F.lit(False))
-    led = led.select(F.col("k").alias("id"), F.when(accept, F.col("leader")).otherwise(F.col("k")).alias("leader"), F.coalesce(confidence, F.lit(1.0)).alias("confidence"))
-    out = pending.drop("x", "merge_status").join(led, "id").withColumn("group_id", cluster.group_name(F.col("period"), F.col("leader")))
-    return cluster.occurrence(out, "group_id", K.MIN_OCCURRENCE)
+    led = led.select(F.col("k").alias("__rep"), F.when(accept, F.col("leader")).alias("leader"), F.coalesce(confidence, F.lit(1.0)).alias("confidence"))
+    out = pending.join(led, "__rep").withColumn("leader", F.coalesce("leader", "id")).drop("__rep", "__title", "__text", "merge_status")
+    return cluster.occurrence(out.withColumn("group_id", cluster.group_name(F.col("period"), F.col("leader"))), "group_id", K.MIN_OCCURRENCE)
 
 
 def group_heads(events: DataFrame) -> DataFrame:
@@ -64,13 +69,13 @@ def group_heads(events: DataFrame) -> DataFrame:
 
 
 def place_groups(heads: DataFrame, topics: DataFrame, least: float = K.MERGE_CONFIDENCE, as_of: Column | None = None) -> DataFrame:
-    """heads (id, group_id, title) with x and the topic each belongs to: the nearest of at least this similarity among the active
+    """heads (id, group_id, title) with x, the topic each belongs to and its similarity (null for a new one): the nearest of at least this similarity among the active
     topics with activity in the CANDIDATE_DAYS before as_of (without it, among all); the rest are clustered among
     themselves, so that two groups of one event make one topic. topics has x, the vector of its title."""
     h = checkpointed(embed(heads, "title"))
     old = topics if as_of is None else search.mergeable(topics, topics, as_of)
     found = search.candidates(h.select("id", "x"), old.select("topic_id", F.col("topic_id").alias("id"), "x"), least=K.CANDIDATE_COSINE).where((F.col("rank") == 1) & (F.col("similarity") >= least))
-    with_target = checkpointed(h.join(found.select("id", "topic_id"), "id", "left"))
+    with_target = checkpointed(h.join(found.select("id", "topic_id", "similarity"), "id", "left"))
     new = with_target.where("topic_id IS NULL").drop("topic_id")
     led = knn.leaders(new.select("id", "x"), least).select("id", F.col("leader").alias("topic_id"))
     return with_target.where("topic_id IS NOT NULL").unionByName(new.join(led, "id"))
@@ -90,6 +95,9 @@ def run_events(spark: SparkSession, store: Store, period: str) -> dict[str, int]
     events = checkpointed(events)
     n, kept = events.agg(F.count("*"), F.count_if(F.col("merge_status") == "pending_global_merge")).first()
     if n:
+        by_group = events.groupBy("group_id", "leader").agg(F.min_by("title", "id").alias("prompt"), F.to_json(F.struct(F.count("*").alias("items"), F.min("confidence").alias("confidence"))).alias("answer"), F.max("fetched_at").alias("at"))
+        newest = F.lit(by_group.agg(F.max("at")).first()[0])
+        summaries.recorder(store, "event_merge", newest, target="leader")(by_group.withColumn("status", F.lit("success")))
         known = store.read("items", [period])
         own = [c for c in known.columns if c not in ("group_id", "heat_normalized", "merge_status")]
         store.upsert("items", events.select(*own, "group_id", "heat_normalized", "merge_status"))
@@ -111,7 +119,9 @@ def run_topics(spark: SparkSession, store: Store, period: str, as_of: datetime |
         now = F.lit(as_of or heads.agg(F.max("last_active")).first()[0]).cast("timestamp_ntz")
         heads = heads.orderBy("id").limit(most) if most and most < groups else heads
         topics = table_or(store, "topics", TOPICS)
-        to = place_groups(heads.select("id", "group_id", "title"), topics, as_of=now)
+        to = checkpointed(place_groups(heads.select("id", "group_id", "title"), topics, as_of=now))
+        decision = F.struct(F.when(F.col("similarity").isNull(), "new").otherwise("merge").alias("decision"), "topic_id", F.col("similarity").alias("confidence"))
+        summaries.recorder(store, "global_merge", now, target="id")(to.select("id", F.lit("success").alias("status"), F.col("title").alias("prompt"), F.to_json(decision).alias("answer")))
         to = to.select("group_id", F.col("id").alias("seq"), "topic_id", F.col("title").alias("head_title"), "x")
         rows = waiting.join(to, "group_id")
         head = F.col("id") == F.col("seq")

@@ -127,10 +127,10 @@ class Touched:
             self.store.replace_rows(name, rows, self.ids)
 
 
-def _categories(t: Touched, provider: str) -> None:
+def _categories(t: Touched, as_of: Column, provider: str) -> None:
     topics = t.by_topic("topics").where("status = 'active'")
     new = topics.join(t.by_topic("topic_categories").select("topic_id"), "topic_id", "left_anti") if t.store.exists("topic_categories") else topics
-    t.store.upsert("topic_categories", classify.classify(new, t.items(), provider))
+    t.store.upsert("topic_categories", classify.classify(new, t.items(), provider, record=summaries.recorder(t.store, "classify", as_of, provider)))
 
 
 def _told(t: Touched) -> DataFrame:
@@ -141,7 +141,7 @@ def _summaries(t: Touched, as_of: Column, provider: str) -> None:
     nodes = t.items().select(
         "topic_id", "id", "appended_at", F.concat_ws(" ", "title", "summary").alias("text"), jsonx.interaction_total(F.col("interactions")).alias("interaction_total"), F.col("interactions").isNotNull().alias("has_interactions")
     )
-    new = summaries.refresh(t.by_topic("topics"), nodes, _told(t), as_of, provider)
+    new = summaries.refresh(t.by_topic("topics"), nodes, _told(t), as_of, provider, record=summaries.recorder(t.store, "summary", as_of, provider))
     new = new.select(F.abs(F.xxhash64("topic_id", "generated_at")).alias("id"), "topic_id", "content", "method", "generated_at")
     t.store.upsert("summaries", new)
     missing = _told(t)
@@ -176,7 +176,7 @@ def refresh(spark: SparkSession, store: Store, as_of: Column, provider: str = "s
     steps: dict[str, Callable[[], None]] = {
         "timestamp": lambda: put_config(store, "last_merge_time", str(spark.range(1).select(as_of.cast("string")).first()[0]), as_of) if store.exists("topics") else store.read("topics"),
         "peaks": lambda: _peaks(t),
-        "categories": lambda: _categories(t, provider),
+        "categories": lambda: _categories(t, as_of, provider),
         "summaries": lambda: _summaries(t, as_of, provider),
         "stats": lambda: _stats(t, as_of),
         "view": lambda: t.put("topic_item_view", T.item_view(t.topics(), _told(t), t.items()).drop("x", "imported_total")),

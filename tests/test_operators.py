@@ -234,6 +234,26 @@ def test_think_tags_in_a_stream():
         assert "".join(agent.strip_stream(iter(parts))) == "a<b  c"
 
 
+def test_weights_of_a_setting():
+    assert heat.weights_of('{"weibo": 2, "sina": 0.5}') == {"weibo": 2.0, "sina": 0.5}
+    for bad in ("[1]", '{"a": "x"}', '{"a": true}', "x"):
+        with pytest.raises(ValueError):
+            heat.weights_of(bad)
+
+
+def test_citations():
+    assert agent.citation({"topic_id": 3, "snippet": None}) == {"topic_id": 3, "node_id": None, "source_url": "", "snippet": "", "platform": ""}
+
+
+def test_key_nodes_are_cut_before_the_shuffle(spark):
+    """Each part of a topic's key nodes is limited in the tasks that read the nodes, and the first is an aggregate."""
+    nodes = spark.range(1000).select((F.col("id") % 3).alias("topic_id"), "id", F.col("id").cast("timestamp").cast("timestamp_ntz").alias("appended_at"), F.col("id").alias("interaction_total"), (F.col("id") % 2 == 0).alias("has_interactions"))
+    df = T.key_nodes(nodes)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Partial") >= 3 and "WindowGroupLimit" in plan
+    assert [r.id for r in df.where("topic_id = 0").orderBy("pos").collect()] == [0, 987, 990, 993, 996, 999]  # 996 and 990 have most interactions
+
+
 def test_plan():
     assert agent.plan("你好") == [] and agent.plan("微博最热的有哪些")[0]["args"]["platforms"] == ["weibo"]
     assert agent.plan("搜索 alpha 离婚")[0] == {"tool": "topic_search", "args": {"keywords": ["alpha", "离婚"], "platforms": [], "match_all": False}}

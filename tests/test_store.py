@@ -63,6 +63,19 @@ def test_schema_is_enforced(spark, store):
     assert store.read("t").count() == 6
 
 
+def test_rows_by_bucket(spark, tmp_path):
+    """Buckets depend on declared types, whatever type keys come in; rows of keys are replaced, also by none."""
+    s = Store(spark, str(tmp_path / "b"), {"t": Table("k long NOT NULL, v string", ("k",), "pmod(xxhash64(k), 8)")})
+    s.append("t", spark.range(40).selectExpr("CAST(id AS int) AS k", "CAST(id AS string) AS v"))
+    keys = spark.createDataFrame([(3,), (5,), (99,)], "k int")
+    assert sorted(r.k for r in s.read_keys("t", keys).collect()) == [3, 5]
+    before = s.manifest("t")["parts"]
+    s.replace_rows("t", spark.createDataFrame([(5, "new")], "k int, v string"), keys)
+    after = s.manifest("t")["parts"]
+    assert {r.k: r.v for r in s.read("t").collect()} == {k: "new" if k == 5 else str(k) for k in range(40) if k != 3}
+    assert 1 <= len({p for p in after if after[p] != before[p]}) <= 3
+
+
 def test_writers_at_the_same_time(spark, store, tmp_path):
     """Appends and writes to other partitions are published on top; a changed partition is a conflict, and nothing is lost."""
     other = Store(spark, str(tmp_path / "t"), DAY)
@@ -133,14 +146,14 @@ class Fails(Store):
         super()._publish(*a, **b)
 
 
-STATE = ("topics", "nodes", "period_heat", "items", "placements")
+STATE = ("topics", "nodes", "period_heat", "items", "placements", "judgements")
 
 
 def dump(store):
     return {n: sorted(repr(sorted(r.asDict().items())) for r in store.read(n).collect()) for n in STATE}
 
 
-@pytest.mark.parametrize("failing", range(1, 8))
+@pytest.mark.parametrize("failing", range(1, 10))
 def test_a_failed_run_is_repeated_without_a_trace(spark, tmp_path, monkeypatch, failing):
     monkeypatch.setattr(pipeline, "embed", chained)
     whole, broken = Store(spark, str(tmp_path / "whole")), str(tmp_path / "broken")
@@ -207,6 +220,27 @@ def test_a_run_places_at_most_so_many_groups(spark, tmp_path):
     once = _filled(spark, tmp_path / "o")
     pipeline.run_period(spark, once, AM)
     assert dump(store) == dump(once)
+    kinds = {(r.kind, r.target_id): r.response for r in store.read("judgements").collect()}
+    assert set(kinds) == {("event_merge", 1), ("event_merge", 3), ("event_merge", 5), ("global_merge", 1), ("global_merge", 3)} and '"decision":"new","topic_id":1' in kinds["global_merge", 1]
+
+
+def test_a_crowd_of_copies_makes_no_pairs(spark, monkeypatch):
+    """Copies of a leader, of a member, and of one that the judge refuses are where they are without the shortcut."""
+    titles = ["alpha star marries beta"] * 200 + ["alpha star marries beta today"] * 50 + ["new law on rivers passed"] * 3 + ["x"] * 4
+    at = "2024-01-01 11:00:00"
+    rows = [(k, AM, "weibo", t, "s", 1.0, at, "pending_event_merge") for k, t in enumerate(titles)]
+    items = spark.createDataFrame(rows, "id long, period string, platform string, title string, summary string, heat_value double, fetched_at string, merge_status string")
+    seen, inner = [], pipeline.cluster.jaccard_pairs
+    monkeypatch.setattr(pipeline.cluster, "jaccard_pairs", lambda df, *a: seen.append(df.count()) or inner(df, *a))
+    got = pipeline.merge_events(items).collect()
+    assert seen == [7]  # three titles and four that are too short to be compared
+    by_title = {t: {(r.leader, r.occurrence, r.merge_status) for r in got if r.title == t} for t in set(titles)}
+    assert len(got) == len(titles) and by_title["new law on rivers passed"] == {(250, 3, "pending_global_merge")}
+    assert by_title["alpha star marries beta"] == by_title["alpha star marries beta today"] == {(0, 250, "pending_global_merge")}
+    assert by_title["x"] == {(k, 1, "discarded") for k in range(253, 257)}
+    monkeypatch.setattr(pipeline, "same_event", lambda j, c: (F.lit(False), j))
+    refused = {(r.leader, r.occurrence) for r in pipeline.merge_events(items).collect() if r.title.endswith("today")}
+    assert refused == {(k, 1) for k in range(200, 250)}
 
 
 def test_cascade(spark, tmp_path):

@@ -43,6 +43,8 @@ def test_drain_and_refresh(spark, tmp_path):
     tables = {n: store.read(n).count() for n in ("topic_categories", "summaries", "summary_vectors", "topic_item_view", "category_days")}
     assert tables == {"topic_categories": 2, "summaries": 2, "summary_vectors": 2, "topic_item_view": 8, "category_days": 3}
     assert upkeep.refresh(spark, store, as_of()) == want and {n: store.read(n).count() for n in tables} == tables
+    kinds = {r.kind: r["count"] for r in store.read("judgements").groupBy("kind").count().collect()}
+    assert kinds == {"event_merge": 6, "global_merge": 4, "classify": 2, "summary": 2}
     peaks = store.read("period_heat").groupBy("topic_id").agg(F.max("heat").alias("p"))
     assert store.read("topics").join(peaks, "topic_id").where("abs(heat - p) > 1e-12").count() == 0
 
