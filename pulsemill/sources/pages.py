@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_title, strip
+from ..functions.text import html_title, let, strip
 
 DETAIL = "url string, status string, error string, payload string"
 
@@ -17,6 +17,10 @@ DETAIL = "url string, status string, error string, payload string"
 def balanced(t: Column, opening: str, closing: str, filled: bool = False) -> Column:
     """The text from the first opening bracket to the one that closes it, brackets inside JSON strings aside; null if it
     isn't closed. filled: from the first one that holds something."""
+    return let(t, lambda x: _balanced(x, opening, closing, filled))
+
+
+def _balanced(t: Column, opening: str, closing: str, filled: bool) -> Column:
     # same length, but without escapes: a string then ends at the next quote
     flat = F.replace(F.replace(t, F.lit("\\\\"), F.lit("\x01\x01")), F.lit('\\"'), F.lit("\x01\x01"))
     flat = F.regexp_replace(flat, rf"\{opening}(\s*)\{closing}", r"($1)") if filled else flat
@@ -36,7 +40,7 @@ def balanced(t: Column, opening: str, closing: str, filled: bool = False) -> Col
 def embedded_object(page: Column, name: str) -> Column:
     """The JSON object that a script of the page assigns to a name, where it parses."""
     found = balanced(F.regexp_extract(page, rf"(?s){name}\s*=\s*(\{{.*)$", 1), "{", "}")
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+    return let(found, lambda x: F.when(F.try_parse_json(x).isNotNull(), x))  # nothing follows what is balanced
 
 
 def first_list(json: Column) -> Column:
