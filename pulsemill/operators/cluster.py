@@ -2,31 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import checkpointed
+from . import blocks
+
+WORDS = 4096  # tokens that are columns of one product
 
 
 def jaccard_pairs(rows: DataFrame, by: str, key: str, tokens: str, threshold: float) -> DataFrame:
-    """(group, a, b, jaccard), a < b, of all pairs in a group with this Jaccard similarity of their token arrays: an exact
-    prefix-filtered join. Tokens are ordered by their count, rarest first; two sets of this similarity share one of the first
-    n - ceil(threshold n) + 1 tokens of each, so only these are joined; sizes differ by the factor at most; and at their first
-    common token enough tokens of both must follow. Candidates are verified on 64-bit hashes of the tokens."""
-    r = rows.select(F.col(by).alias("g"), F.col(key).alias("k"), F.array_distinct(tokens).alias("t")).where(F.size("t") > 0)
-    each = r.select("g", "k", F.size("t").alias("n"), F.explode("t").alias("w"))
-    often = each.groupBy("w").agg(F.count("*").alias("c"))
-    ranked = each.join(often, "w").withColumn("rn", F.row_number().over(Window.partitionBy("g", "k").orderBy("c", "w")))
-    prefix = ranked.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("g", "k", "n", "w", "rn")
-    a, b = prefix.select("g", "w", F.col("k").alias("a"), F.col("n").alias("na"), F.col("rn").alias("ra")), prefix.select("g", "w", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("rn").alias("rb"))
-    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
-    enough = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1 >= need
-    pairs = a.join(b, ["g", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & enough).select("g", "a", "b").distinct()
-    r = r.withColumn("t", F.transform("t", lambda w: F.xxhash64(w)))
-    p = pairs.join(r.select("g", F.col("k").alias("a"), F.col("t").alias("ta")), ["g", "a"]).join(r.select("g", F.col("k").alias("b"), F.col("t").alias("tb")), ["g", "b"])
-    both = F.size(F.array_intersect("ta", "tb"))
-    p = p.withColumn("jaccard", both / (F.size("ta") + F.size("tb") - both).cast("double"))
-    return p.where(F.col("jaccard") >= threshold).select("g", "a", "b", "jaccard")
+    """(group, a, b, jaccard), a < b, of all pairs in a group with this Jaccard similarity of their token arrays. Sets are known
+    by 64-bit hashes of their tokens; where two blocks of a group meet, what all pairs share is a product of 0/1 matrices
+    over the tokens found in both, which is exact. Candidates are never rows, whatever tokens the titles share."""
+    r = rows.select(F.col(by).alias("g"), F.col(key).cast("bigint").alias("id"), F.array_distinct(tokens).alias("t")).where("g IS NOT NULL AND id IS NOT NULL")
+    kind = r.schema["g"].dataType.simpleString()
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = pa.array([np.array(t or [], np.int64).tobytes() for t in b.column("t").to_pylist()], pa.binary())
+            some = pa.array([len(t.as_buffer()) > 0 for t in u], pa.bool_())
+            yield pa.RecordBatch.from_arrays([x.filter(some) for x in (b.column("g"), b.column("id"), u)], ["g", "id", "u"])
+
+    def meet(qi: np.ndarray, qu: bytes, qe: np.ndarray, vi: np.ndarray, vu: bytes, ve: np.ndarray, one: bool) -> Iterator[tuple]:
+        q, v = np.frombuffer(qu, np.int64), np.frombuffer(vu, np.int64)
+        nq, nv = np.diff(qe // 8, prepend=0), np.diff(ve // 8, prepend=0)
+        shared = np.intersect1d(q, v)
+        if not len(shared):
+            return
+
+        def places(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The row and the column of each shared token."""
+            at = np.minimum(np.searchsorted(shared, x), len(shared) - 1)
+            found = shared[at] == x
+            return np.repeat(np.arange(len(n)), n)[found], at[found]
+
+        (of_q, at_q), (of_v, at_v) = places(q, nq), places(v, nv)
+        for lo in range(0, len(qi), blocks.SLICE):
+            hi = min(len(qi), lo + blocks.SLICE)
+            both = np.zeros((hi - lo, len(vi)), np.float32)  # counts of less than 2^24 are exact
+            for first in range(0, len(shared), WORDS):
+                words = min(WORDS, len(shared) - first)
+                a, b = np.zeros((hi - lo, words), np.float32), np.zeros((len(vi), words), np.float32)
+                own = (of_q >= lo) & (of_q < hi) & (at_q >= first) & (at_q < first + words)
+                a[of_q[own] - lo, at_q[own] - first] = 1
+                own = (at_v >= first) & (at_v < first + words)
+                b[of_v[own], at_v[own] - first] = 1
+                both += a @ b.T
+            least = threshold / (1 + threshold) - 1e-6
+            x, y = np.nonzero(both >= (nq[lo:hi].astype(np.float32) * np.float32(least))[:, None] + (nv.astype(np.float32) * np.float32(least))[None, :] - np.float32(0.01))
+            c = both[x, y].astype(np.float64)
+            j = c / (nq[lo + x] + nv[y] - c)
+            keep = j >= threshold
+            yield blocks.ordered(qi[lo + x[keep]], vi[y[keep]], j[keep], one=one)
+
+    sets = r.select("g", "id", F.transform("t", lambda w: F.xxhash64(w)).alias("t")).mapInArrow(codes, f"g {kind}, id bigint, u binary")
+    return blocks.met(checkpointed(sets), None, meet, ["a", "b", "jaccard"], "a bigint, b bigint, jaccard double")
 
 
 def leader_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
